@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import remainder, table
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score
+
+    return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_minhash": op8_minhash,
+    "op10_katz": op10_katz,
 }
 
 ORACLE: dict[str, str] = {}

@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             for r in b.to_pylist():
                 key = _segments(unpack(r["text"], np.uint8), unpack(r["sizes"], np.int64), length, gram)[0]
                 key, count = np.unique(key, return_counts=True)
-                yield X.requests(r["batch"], key, count.astype(np.uint32), shards)
+                yield X.requests(r["batch"], key, count.astype(np.uint32).view([("n", "<u4")]), shards)
 
     counts = X.sum_by_key(batched.select("batch", "sizes", "text").mapInArrow(ask, X.REQUEST), [("n", "<u4")], [("n", "<u4")])
 
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 data, sizes = unpack(r["text"], np.uint8), unpack(r["sizes"], np.int64)
                 key, body, start, windows, doc = _segments(data, sizes, length, gram)
                 known = np.unique(key)
-                n = X.answers(r["parts"], known, shards, np.dtype("<u4"))
+                n = X.answers(r["parts"], known, shards, [("n", "<u4")])["n"]
                 again = n[np.searchsorted(known, key)] > 1
                 key, body, start, windows, doc = (x[again] for x in (key, body, start, windows, doc))
                 first = _first_of_equals(body, key)
