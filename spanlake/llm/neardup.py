@@ -6,9 +6,10 @@ share one of the 3 pairs of symbols of that chunk: each document is filed under
 0.75 a symbol differs with probability 1/4; more than 29 of 48 differ once in some ten million pairs.
 
 Documents with equal sets are one class, filed once.  Candidates are checked on their full shingle sets.  Members of
-a bucket are first compared with its centre, which joins groups of copies with few checks; what is left in different
-components is then compared within the bucket by signature, and the pairs that pass again on full sets.  A bucket too
-large for that is filed again under pairs of its members' other chunks, for which the same guarantee holds.
+a bucket are first compared with its centre, the member whose symbols the others share most: that joins a group of
+copies with one check each.  What is left in different components is then compared within the bucket by signature, and
+the pairs that pass again on full sets.  A bucket too large for that is filed again under pairs of its members' other
+chunks, for which the same guarantee holds.
 
 Null and empty texts have no shingles and no links.  A text of fewer words than a shingle is one shingle.  Rows of one
 id count as one document.  Extra columns are ignored.
@@ -111,21 +112,64 @@ def file_under(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(scan, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, agree) of the pairs whose signatures and set sizes allow a link."""
-    s = reps.select("rep", "n", "sig")
-    both = pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b")
+def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(key, rep, n, label, sig)`` over whole buckets of rows(key, rep, n, label, sig)."""
 
     def scan(batches):
+        held = None  # rows of the last key, which may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            agree = (_symbols(b.column("sa")) == _symbols(b.column("sb"))).sum(1)
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            ok = (agree >= SYMBOLS - DISTANCE) & (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array(agree[ok].astype(np.int32))], ["a", "b", "agree"])
-
-    return both.mapInArrow(scan, "a long, b long, agree int")
+            now = [*(b.column(c).to_numpy() for c in ("key", "rep", "n", "label")), _symbols(b.column("sig"))]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            held = [x[cut:] for x in now]
+            if cut:
+                yield work(*(x[:cut] for x in now))
+        if held is not None:
+            yield work(*held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, schema)
+
+
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
+
+
+def _to_centre(key, rep, n, label, sig) -> pa.RecordBatch:
+    """(a, b, agree): each member b of a bucket with its centre a, whose symbols agree with most others' symbols.
+
+    Counting equal symbols takes no pairs, however large the bucket is.
+    """
+    new = np.r_[True, key[1:] != key[:-1]]
+    bucket = np.cumsum(new) - 1
+    common = np.zeros(len(key), np.int64)
+    for j in range(SYMBOLS):
+        _, which, count = np.unique((bucket.astype(np.uint64) << np.uint64(32)) | sig[:, j], return_inverse=True, return_counts=True)
+        common += count[which]
+    order = np.lexsort((rep, -common, bucket))
+    centre = order[np.flatnonzero(new)][bucket]
+    agree = (sig == sig[centre]).sum(1)
+    ok = (rep != rep[centre]) & (agree >= SYMBOLS - DISTANCE) & _sizes_allow(n, n[centre])
+    return pa.RecordBatch.from_arrays([pa.array(rep[centre][ok]), pa.array(rep[ok]), pa.array(agree[ok].astype(np.int32))], ["a", "b", "agree"])
+
+
+def _across(key, rep, n, label, sig) -> pa.RecordBatch:
+    """(a, b): members of a bucket in different components that may be linked."""
+    out, left = [], np.arange(len(key))
+    for d in range(1, len(key)):
+        left = left[left + d < len(key)]
+        left = left[key[left] == key[left + d]]
+        if not len(left):
+            break
+        i, j = left, left + d
+        ok = (label[i] != label[j]) & _sizes_allow(n[i], n[j])
+        i, j = i[ok], j[ok]
+        ok = (sig[i] == sig[j]).sum(1) >= SYMBOLS - DISTANCE
+        out.append(np.c_[np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]])
+    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -155,42 +199,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows(key, rep, n, label, sig) in one bucket, in different components, that may be linked."""
-
-    def pairs(keys, rep, n, label, sig):
-        out, left = [], np.arange(len(keys))
-        for d in range(1, len(keys)):
-            left = left[left + d < len(keys)]
-            left = left[keys[left] == keys[left + d]]
-            if not len(left):
-                break
-            i, j = left, left + d
-            ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM)
-            i, j = i[ok], j[ok]
-            ok = (sig[i] == sig[j]).sum(1) >= SYMBOLS - DISTANCE
-            out.append(np.c_[np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]])
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    def scan(batches):
-        held = None  # rows of the last key, which may go on in the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = [*(b.column(c).to_numpy() for c in ("key", "rep", "n", "label")), _symbols(b.column("sig"))]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            held = [x[cut:] for x in now]
-            if cut:
-                yield pairs(*(x[:cut] for x in now))
-        if held is not None:
-            yield pairs(*held)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long").distinct()
-
-
 def _refile(rows: DataFrame) -> DataFrame:
     """Rows of large buckets under (bucket, pair of another chunk): equal in both buckets are at most smaller groups."""
 
@@ -218,22 +226,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BU
     reps = classes.select("rep", "n", "sig")
 
     filed = file_under(reps)
-    centres = filed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    members = materialize(filed.join(centres, "key"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    members = materialize(filed.join(shared, "key"))
 
-    stars = _agreeing(members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), reps)
-    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    tested = materialize(nearest)
+    rows = members.join(reps, "rep").select("key", "rep", "n", F.col("rep").alias("label"), "sig")
+    stars = _by_bucket(rows, _to_centre, "a long, b long, agree int")
+    tested = materialize(stars.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"))
     links = materialize(confirmed(tested, docs, size))
     labels = components(links)
 
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label"))
-    labelled = materialize(labelled)
+    labelled = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label")))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     rows = labelled.join(mixed, "key", "left_semi").join(reps, "rep").select("key", "rep", "n", "label", "sig", "members")
     small, large = rows.filter(F.col("members") <= bucket_limit).drop("members"), rows.filter(F.col("members") > bucket_limit).drop("members")
-    more = _bucket_pairs(small.unionByName(_refile(large))).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(more)
+    more = _by_bucket(small.unionByName(_refile(large)), _across, "a long, b long").distinct()
+    more = materialize(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(confirmed(more, docs, size))
         labels = components(links)
