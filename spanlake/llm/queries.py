@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .tables import remainder, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    out = score(docs, train(docs, table(spark, sf_dir, "labels").filter(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +38,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    held_out = remainder("doc_id", 4) == 2
+    out = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -44,8 +60,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language": op4_language,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_minhash": op8_minhash,
     "op10_katz": op10_katz,
