@@ -172,7 +172,7 @@ def question(key: Column, aliases: Column, custom: Column) -> Column:
 
 def context(report: Column, value: Column, left: int = 80, right: int = 80) -> Column:
     """The value's first place with what stands around it; the head of the report if it isn't there."""
-    at = F.locate_column(report, value) if hasattr(F, "locate_column") else F.instr(report, value)
+    at = F.instr(report, value)
     first = F.greatest(F.lit(1), at - left)
     return F.when(at > 0, F.substring(report, first, F.least(F.length(report), at - 1 + F.length(value) + right) - first + 1)).otherwise(F.left(report, F.lit(max(200, left + right + 160))))
 
