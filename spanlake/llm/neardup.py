@@ -7,8 +7,9 @@ share one of the 3 pairs of symbols of that chunk: each document is filed under
 
 Documents with equal sets are one class, filed once.  Candidates are checked on their full shingle sets.  Members of
 a bucket are first compared with its centre, the member whose symbols the others share most: that joins a group of
-copies with one check each.  What is left in different components is then compared within the bucket by signature, and
-the pairs that pass again on full sets.  A bucket too large for that is filed again under pairs of its members' other
+copies with few checks each.  What is left in different components is then compared within the bucket by a longer
+signature.  Passing pairs aren't emitted, only the homes (groups by nearest centre, of bounded size) that they lie
+between; the members of such homes meet once and are compared on full sets.  A bucket too large for that is filed again under pairs of its members' other
 chunks, for which the same guarantee holds.
 
 Null and empty texts have no shingles and no links.  A text of fewer words than a shingle is one shingle.  Rows of one
@@ -31,14 +32,20 @@ from .tables import materialize, prepare
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
 DISTANCE = 29
+#: Further symbols, of 8 bits, and how many of all symbols agree at least; at 0.75 three quarters do, and fewer than
+#: this are 5.4 standard deviations off.
+FURTHER, AGREE = 144, 112
+#: Sets of a centre's members that are checked together.
+HOME_ROWS = 512
 #: Links need intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
 BUCKET_LIMIT = 20_000
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    x = T.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(T.MIX_2))
-    return x[:SYMBOLS] | np.uint64(1), x[SYMBOLS:]
+    n = SYMBOLS + FURTHER
+    x = T.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(T.MIX_2))
+    return x[:n] | np.uint64(1), x[n:]
 
 
 def shingle_rows(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -64,7 +71,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            sig = np.zeros((len(n), SYMBOLS), np.uint64)
+            sig = np.zeros((len(n), SYMBOLS + FURTHER), np.uint64)
             full = np.flatnonzero(n)
             if len(full):
                 at = np.r_[0, np.cumsum(n[full])[:-1]]
@@ -75,9 +82,10 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     if lo == hi:
                         continue
                     part = flat[at[lo] : at[hi] if hi < len(at) else len(flat)]
-                    for j in range(SYMBOLS):
+                    for j in range(SYMBOLS + FURTHER):
                         sig[full[lo:hi], j] = np.minimum.reduceat((part ^ add[j]) * mul[j], at[lo:hi] - at[lo])
-            short = (T.mix(sig) >> np.uint64(32)).astype(np.uint32)
+            sig = T.mix(sig)
+            short = np.hstack([(sig[:, :SYMBOLS] >> np.uint64(32)).astype("<u4").view(np.uint8), (sig[:, SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary())],
                 ["doc_id", "n", "s1", "s2", "sig"],
@@ -86,8 +94,10 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, sig binary")
 
 
-def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SYMBOLS)
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols and the further ones."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * SYMBOLS + FURTHER)
+    return np.ascontiguousarray(both[:, : 4 * SYMBOLS]).view("<u4"), both[:, 4 * SYMBOLS :]
 
 
 def _pair_keys(sig: np.ndarray) -> np.ndarray:
@@ -101,26 +111,29 @@ def _pair_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def file_under(reps: DataFrame) -> DataFrame:
-    """(rep, key) rows."""
+    """(rep, slot, key) rows; the slot tells which pair of symbols."""
 
     def scan(batches):
         for b in batches:
-            keys = _pair_keys(_symbols(b.column("sig"))) if b.num_rows else np.zeros((0, SYMBOLS), np.uint64)
+            keys = _pair_keys(_symbols(b.column("sig"))[0]) if b.num_rows else np.zeros((0, SYMBOLS), np.uint64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SYMBOLS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("rep"), lists], ["rep", "keys"])
 
-    return reps.select("rep", "sig").mapInArrow(scan, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    return reps.select("rep", "sig").mapInArrow(scan, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("slot", "key"))
+
+
+COLUMNS = ("key", "rep", "n", "label", "slot")
 
 
 def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work(key, rep, n, label, sig)`` over whole buckets of rows(key, rep, n, label, sig)."""
+    """``work(key, rep, n, label, slot, symbols, further)`` over whole buckets of rows."""
 
     def scan(batches):
         held = None  # rows of the last key, which may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [*(b.column(c).to_numpy() for c in ("key", "rep", "n", "label")), _symbols(b.column("sig"))]
+            now = [*(b.column(c).to_numpy() for c in COLUMNS), *_symbols(b.column("sig"))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
@@ -130,14 +143,14 @@ def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
         if held is not None:
             yield work(*held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, schema)
+    return rows.select(*COLUMNS, "sig").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(scan, schema)
 
 
 def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
 
 
-def _to_centre(key, rep, n, label, sig) -> pa.RecordBatch:
+def _to_centre(key, rep, n, label, slot, sig, further) -> pa.RecordBatch:
     """(a, b, agree): each member b of a bucket with its centre a, whose symbols agree with most others' symbols.
 
     Counting equal symbols takes no pairs, however large the bucket is.
@@ -150,71 +163,142 @@ def _to_centre(key, rep, n, label, sig) -> pa.RecordBatch:
         common += count[which]
     order = np.lexsort((rep, -common, bucket))
     centre = order[np.flatnonzero(new)][bucket]
-    agree = (sig == sig[centre]).sum(1)
-    ok = (rep != rep[centre]) & (agree >= SYMBOLS - DISTANCE) & _sizes_allow(n, n[centre])
+    near = (sig == sig[centre]).sum(1)
+    agree = near + (further == further[centre]).sum(1)
+    ok = (rep != rep[centre]) & (near >= SYMBOLS - DISTANCE) & (agree >= AGREE) & _sizes_allow(n, n[centre])
     return pa.RecordBatch.from_arrays([pa.array(rep[centre][ok]), pa.array(rep[ok]), pa.array(agree[ok].astype(np.int32))], ["a", "b", "agree"])
 
 
-def _across(key, rep, n, label, sig) -> pa.RecordBatch:
-    """(a, b): members of a bucket in different components that may be linked."""
-    out, left = [], np.arange(len(key))
+def _may_link(i, j, n, label, sig, further) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) in different components whose sizes and signatures allow a link."""
+    ok = (label[i] != label[j]) & _sizes_allow(n[i], n[j])
+    i, j = i[ok], j[ok]
+    agree = (further[i] == further[j]).sum(1)
+    ok = agree >= AGREE - SYMBOLS
+    i, j, agree = i[ok], j[ok], agree[ok]
+    near = (sig[i] == sig[j]).sum(1)
+    ok = (near >= SYMBOLS - DISTANCE) & (agree + near >= AGREE)
+    return i[ok], j[ok]
+
+
+def _across(key, home, n, label, slot, sig, further) -> pa.RecordBatch:
+    """(a, b): homes that have members in one bucket, of different components, that may be linked."""
+    out, left = [np.zeros((0, 2), np.int64)], np.arange(len(key))
     for d in range(1, len(key)):
         left = left[left + d < len(key)]
         left = left[key[left] == key[left + d]]
         if not len(left):
             break
-        i, j = left, left + d
-        ok = (label[i] != label[j]) & _sizes_allow(n[i], n[j])
-        i, j = i[ok], j[ok]
-        ok = (sig[i] == sig[j]).sum(1) >= SYMBOLS - DISTANCE
-        out.append(np.c_[np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]])
-    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        i, j = _may_link(left, left + d, n, label, sig, further)
+        out.append(np.unique(np.c_[np.minimum(home[i], home[j]), np.maximum(home[i], home[j])], axis=0))
+    found = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets are similar enough."""
-    pairs = materialize(pairs.select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _refile(rows: DataFrame) -> DataFrame:
+    """Rows of large buckets under (bucket, pair of another chunk): equal in both buckets are at most smaller groups."""
+
+    def scan(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = _symbols(b.column("sig"))[0]
+            key, slot = b.column("key").to_numpy().view(np.uint64), b.column("slot").to_numpy()
+            new = _pair_keys(sig)
+            r, k = np.nonzero(np.arange(SYMBOLS)[None] // CHUNK != slot[:, None] // CHUNK)  # the bucket's own chunk says nothing new
+            at = pa.array(r)
+            again = pa.array(T.mix(key[r] ^ new[r, k] * np.uint64(T.BASE)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([again, *(b.column(c).take(at) for c in ("rep", "n", "label")), pa.array(np.full(len(r), -1, np.int32)), b.column("sig").take(at)], [*COLUMNS, "sig"])
+
+    return rows.select(*COLUMNS, "sig").mapInArrow(scan, "key long, rep long, n long, label long, slot int, sig binary")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles): the full sets of the documents ``ids(rep)``."""
 
     def sets_of(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_rows(b.column("text"), size)], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_rows(b.column("text"), size)], pa.binary())], ["rep", "shingles"])
 
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "doc_id long, shingles binary")
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    return docs.select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(sets_of, "rep long, shingles binary")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two sorted runs
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and common * DEN >= (len(x) + len(y) - common) * NUM
+
+
+def confirmed(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    A set isn't sent with each of its pairs, but once to each pair of homes(rep, home) that its pairs lie between.
+    """
+    at = pairs.select("a", "b").join(homes.toDF("a", "ha"), "a").join(homes.toDF("b", "hb"), "b")
+    at = materialize(at.select("a", "b", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("group")))
+    needed = at.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
+    rows = needed.select("group", "rep", F.lit(None).cast("long").alias("other"), "shingles").unionByName(
+        at.select("group", F.col("a").alias("rep"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("shingles"))
+    )
 
     def check(batches):
+        group, held = None, {}
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two sorted runs
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(common * DEN >= (len(x) + len(y) - common) * NUM and common > 0)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+            a, o = [], []
+            for g, r, other, x in zip(*(b.column(c).to_pylist() for c in ("group", "rep", "other", "shingles")), strict=True):
+                if g != group:
+                    group, held = g, {}
+                if other is None:  # sets come before the pairs
+                    held.setdefault(r, []).append(np.frombuffer(x, np.uint64))
+                elif any(_similar(x, y) for x in held.get(r, ()) for y in held.get(other, ())):
+                    a.append(r)
+                    o.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(check, "a long, b long")
 
 
-def _refile(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets under (bucket, pair of another chunk): equal in both buckets are at most smaller groups."""
+def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of ``pairs(a, b)`` of homes, of ``people(rep, home, n, label, sig, shingles)``.
+
+    Each set goes once to each pair of its home; there, members of different components whose signatures allow it are
+    compared on full sets.  Members found linked are one component from then on.
+    """
+    at = pairs.select("a", "b", F.xxhash64("a", "b").alias("group"))
+    at = at.select("group", "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("home"), (F.col("a") == F.col("b")).alias("same"))
+    rows = at.join(people, "home").select("group", "rep", "n", "label", (F.col("home") == F.col("a")).alias("left"), "same", "sig", "shingles")
+
+    def links(rep, n, label, left, same, sig, further, sets):
+        label, found = label.copy(), []
+        mine, other = np.flatnonzero(left), np.flatnonzero(~left)
+        for at, x in enumerate(mine):
+            rest = mine[at + 1 :] if same[0] else other
+            for y in _may_link(np.full(len(rest), x), rest, n, label, sig, further)[1]:
+                if label[x] != label[y] and _similar(sets[x], sets[y]):
+                    found.append((rep[x], rep[y]))
+                    label[label == label[y]] = label[x]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def scan(batches):
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _symbols(b.column("sig"))
-            key = b.column("key").to_numpy().view(np.uint64)
-            new = _pair_keys(sig)
-            own = (new == key[:, None]).reshape(len(key), -1, CHUNK).any(2).repeat(CHUNK, axis=1)  # the bucket's own chunk says nothing new
-            r, k = np.nonzero(~own)
-            at = pa.array(r)
-            yield pa.RecordBatch.from_arrays([pa.array(T.mix(key[r] ^ new[r, k] * np.uint64(T.BASE)).view(np.int64)), *(b.column(c).take(at) for c in ("rep", "n", "label", "sig"))], ["key", "rep", "n", "label", "sig"])
+            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "rep", "n", "label", "left", "same")), *_symbols(b.column("sig"))]
+            sets = np.empty(b.num_rows, object)
+            sets[:] = [np.frombuffer(x, np.uint64) for x in b.column("shingles").to_pylist()]
+            now.append(sets)
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                yield links(*(x[lo:hi] for x in now[1:]))
+            held = [x[starts[-1] :] for x in now]
+        if held is not None:
+            yield links(*held[1:])
 
-    return rows.mapInArrow(scan, "key long, rep long, n long, label long, sig binary")
+    return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(scan, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -229,20 +313,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BU
     shared = filed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     members = materialize(filed.join(shared, "key"))
 
-    rows = members.join(reps, "rep").select("key", "rep", "n", F.col("rep").alias("label"), "sig")
-    stars = _by_bucket(rows, _to_centre, "a long, b long, agree int")
-    tested = materialize(stars.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"))
-    links = materialize(confirmed(tested, docs, size))
+    rows = members.join(reps, "rep").select("key", "rep", "n", F.col("rep").alias("label"), "slot", "sig")
+    stars = materialize(_by_bucket(rows, _to_centre, "a long, b long, agree int").distinct())
+    # At home with the centre that it is most like; large homes are dealt into blocks.
+    centres = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("centre")).withColumnRenamed("b", "rep")
+    blocks = centres.groupBy("centre").agg(F.ceil(F.count("*") / HOME_ROWS).alias("blocks"))
+    centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
+    everyone = members.select("rep").distinct()
+    homes = materialize(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
+    sets = materialize(shingle_sets(docs, everyone, size))
+    links = materialize(confirmed(stars, homes, sets))
     labels = components(links)
 
-    labelled = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label")))
+    of = homes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "home", F.coalesce("label", "rep").alias("label"))
+    people = materialize(of.join(reps, "rep"))
+    labelled = members.join(people.select("rep", "label"), "rep")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    rows = labelled.join(mixed, "key", "left_semi").join(reps, "rep").select("key", "rep", "n", "label", "sig", "members")
+    rows = members.join(mixed, "key", "left_semi").join(people, "rep").select("key", F.col("home").alias("rep"), "n", "label", "slot", "sig", "members")
     small, large = rows.filter(F.col("members") <= bucket_limit).drop("members"), rows.filter(F.col("members") > bucket_limit).drop("members")
-    more = _by_bucket(small.unionByName(_refile(large)), _across, "a long, b long").distinct()
-    more = materialize(more.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = materialize(_by_bucket(small.unionByName(_refile(large)), _across, "a long, b long").distinct())
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, size))
+        links = materialize(links.unionByName(linked_across(more, people.join(sets, "rep"))))
         labels = components(links)
 
     return (
