@@ -36,7 +36,7 @@ KEYS_SQL = """keys AS (
     SELECT p_brand AS title, p_name AS key, p_type AS alias, min(p_partkey) AS ord FROM part GROUP BY ALL
 )"""
 RECORDS_SQL = """records AS (
-    SELECT l_orderkey AS id, l_linenumber AS ord, p_brand AS title, p_name AS key, l_partkey::VARCHAR || '/' || l_suppkey::VARCHAR AS value, l_suppkey AS s
+    SELECT l_orderkey AS id, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS ord, p_brand AS title, p_name AS key, l_partkey::VARCHAR || '/' || l_suppkey::VARCHAR AS value, l_suppkey AS s
     FROM lineitem JOIN part ON l_partkey = p_partkey
 )"""
 
@@ -98,4 +98,4 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     """Field rows (id, ord, title, key, value, s): an order's lines, with the part's brand as title and name as key."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     value = F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ord"), F.col("p_brand").alias("title"), F.col("p_name").alias("key"), value.alias("value"), F.col("l_suppkey").alias("s"))
+    return rows.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("ord"), F.col("p_brand").alias("title"), F.col("p_name").alias("key"), value.alias("value"), F.col("l_suppkey").alias("s"))
