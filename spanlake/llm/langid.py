@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from . import textscan as T
 from .tables import prepare
 
-BUCKETS, LONGEST, SMOOTHING, MAX_LANGUAGES = 1 << 17, 3, 0.5, 1000
+BUCKETS, LONGEST, SMOOTHING, MAX_LANGUAGES = 1 << 17, 3, 0.02, 1000
 UNKNOWN = "und"
 
 
