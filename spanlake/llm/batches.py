@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 
 
 def pack(x: np.ndarray | bytes) -> bytes:

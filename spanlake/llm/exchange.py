@@ -91,6 +91,6 @@ def sum_by_key(asked: DataFrame, fields: list[tuple[str, str]], reply: list[tupl
     return asked.groupBy("shard").applyInArrow(merge, REPLY)
 
 
-def shard_count(total_bytes: int, per_shard: int = 12 << 20) -> int:
+def shard_count(total_bytes: int, per_shard: int = 8 << 20) -> int:
     """So many shards that each holds about ``per_shard`` bytes of requests."""
     return max(8, -(-int(total_bytes) // per_shard))

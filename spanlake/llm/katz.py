@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textscan as T
 from .batches import gather, pack, unpack, with_replies
-from .tables import materialize, prepare
+from .tables import bucketed, materialize, prepare
 
 ADDED = 0.1
 #: Counts up to this are discounted.
@@ -125,7 +125,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (by words alone), score, both log10.
     """
     prepare(docs.sparkSession)
-    batched = materialize(gather(docs.withColumn("held_out", held_out).select("doc_id", "text", "held_out"), ["doc_id", "text", "held_out"], _make_batch, BATCH))
+    batched = bucketed(gather(docs.withColumn("held_out", held_out), ["doc_id", "text", "held_out"], _make_batch, BATCH), "batch")
     size = batched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     word_shards, pair_shards = X.shard_count(size, 32 << 20), X.shard_count(size)
     columns = ["batch", "held", "sizes", "vocab", "tokens"]
