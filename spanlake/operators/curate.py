@@ -44,7 +44,7 @@ def upsample(rows: DataFrame, title: str, id_: str) -> DataFrame:
     """Titles below the median are filled up with copies in turn; ``copy`` is 0 for the original."""
     counts = title_counts(rows, title)
     by = Window.partitionBy(title).orderBy(chance(0, F.col(id_)), id_)
-    ranked = rows.join(F.broadcast(counts.crossJoin(upper_median(counts))), title).withColumn("rn", F.row_number().over(by) - 1)
+    ranked = rows.join(counts.crossJoin(upper_median(counts)), title).withColumn("rn", F.row_number().over(by) - 1)
     copies = F.when(F.col("n") >= F.col("target"), F.lit(1)).otherwise(F.floor((F.col("target") - 1 - F.col("rn")) / F.col("n")) + 1)
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1))).drop("rn", "n", "target")
 
@@ -53,7 +53,7 @@ def quotas(rows: DataFrame, title: str, id_: str, target: int) -> DataFrame:
     """(title, id, quota): what titles below ``target`` lack, dealt evenly; the remainder goes to the first by chance."""
     counts = title_counts(rows, title).filter(F.col("n") < target)
     by = Window.partitionBy(title).orderBy(chance(1, F.col(id_)), id_)
-    r = rows.join(F.broadcast(counts), title).withColumn("rn", F.row_number().over(by))
+    r = rows.join(counts, title).withColumn("rn", F.row_number().over(by))
     need = F.lit(target) - F.col("n")
     return r.select(title, id_, (F.floor(need / F.col("n")) + (F.col("rn") <= need % F.col("n")).cast("long")).alias("quota"))
 
@@ -80,7 +80,7 @@ def stratified_split(rows: DataFrame, title: str, id_: str, share: float, seed:
     counts = title_counts(rows, title)
     k = F.least(F.greatest(F.lit(1), F.bround(F.col("n") * share)), F.col("n") - 1)
     by = Window.partitionBy(title).orderBy(chance(seed, F.col(id_)), id_)
-    return rows.join(F.broadcast(counts), title).withColumn("test", F.row_number().over(by) <= k).drop("n")
+    return rows.join(counts, title).withColumn("test", F.row_number().over(by) <= k).drop("n")
 
 
 def keep_negatives(rows: DataFrame, negative: Column, absent: Column, p: float, *key) -> DataFrame:
@@ -126,10 +126,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k most similar by cosine; ``queries`` is a stated, small set of (vec_id, embedding)."""
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int, block: int = 128) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k most similar other vectors by cosine, of rows (vec_id, embedding).
+
+    The stated queries meet all vectors in blocks of about ``block``; per query, only the best of each task are shuffled.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
-    qs = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    rows = vectors.crossJoin(qs).filter("vec_id <> query_id").withColumn("score", F.round(dot(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * norm(F.col("q"))), 6))
+    blocks = max(1, -(-queries.count() // block))
+    qs = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))).alias("qs"))
+    rows = vectors.withColumn("n", norm(F.col("embedding"))).crossJoin(qs.select("qs")).select("vec_id", "embedding", "n", F.explode("qs").alias("x")).filter("vec_id <> x.query_id")
+    rows = rows.select(F.col("x.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("embedding"), F.col("x.q")) / (F.col("n") * F.col("x.nq")), 6).alias("score"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -102,8 +102,8 @@ def merge_chunks(entities: DataFrame, gap: int | None = None) -> DataFrame:
 
 
 def expand_keys(entities: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """KEY spans grown to the left by the first of ``prefixes(prefix, ord)`` that stands before them in ``texts(doc, body)``."""
-    keys = entities.filter("type = 'KEY'").join(texts, "doc").crossJoin(F.broadcast(prefixes))
+    """KEY spans grown to the left by the first of the few ``prefixes(prefix, ord)`` that stands before them in ``texts(doc, body)``."""
+    keys = entities.filter("type = 'KEY'").join(texts, "doc").crossJoin(prefixes)
     n = F.length("prefix")
     fits = (F.col("start") >= n) & (F.substring("body", F.col("start") - n + 1, n) == F.col("prefix"))
     first = keys.filter(fits).groupBy("doc", "start", "end").agg(F.min_by(F.length("prefix"), "ord").alias("grow"))
