@@ -4,8 +4,9 @@ The longest previous factor of a place tells how long a match begins there that
 matches of ``length`` bytes or more go, so the first copy stays.  No suffix array of the whole corpus is built: every
 window of ``length`` bytes names an anchor, the smallest hash among the runs of ``gram`` bytes in it, so equal windows
 name equal anchors.  Consecutive windows of one anchor form a segment.  Segments whose anchor occurs once are done;
-the others meet, by anchor, in a shard, which sorts their suffixes and finds each suffix's previous factor.  Equal
-segments are collapsed in their batch of documents before they are sent, so hot passages are small wherever they meet.
+the others are noted, by anchor, in a shard, which tells those that repeat an earlier one whole.  Only the texts of
+anchors with several different segments meet again: there, suffixes are sorted and each suffix's previous factor is
+found.  Equal segments are collapsed in their batch of documents before they are sent, so hot passages stay small.
 
 Earlier means a smaller id (null first), or an earlier place in the same document; rows of one id count in the order
 of their contents.  Null and empty texts have no bytes.  Extra columns are ignored.
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textscan as T
 from .batches import gather, pack, unpack, with_replies
-from .tables import materialize, prepare
+from .tables import bucketed, materialize, prepare
 
 LENGTH, GRAM = 100, 40
-SEGMENT = np.dtype([("key", "<u8"), ("body", "<u8"), ("id", "<i8"), ("tie", "<u8"), ("start", "<i8"), ("windows", "<i4")])
+NOTE = np.dtype([("body", "<u8"), ("id", "<i8"), ("tie", "<u8"), ("start", "<i8"), ("windows", "<i4")])
+#: What a shard says of a segment: it is the first of its anchor's only body; it repeats an earlier segment; its
+#: anchor has several bodies, so its text is needed.
+ALONE, REPEATED, OPEN = 0, 1, 2
 
 
 def _make_batch(number: int, docs: pa.Table) -> pa.RecordBatch:
@@ -105,7 +109,7 @@ def previous_factors(text: np.ndarray, places: np.ndarray, length: int) -> np.nd
             found[order[1:]] = pair[order[1:]] == pair[order[:-1]]
             return found
         follow = np.zeros(n, np.uint64)
-        follow[: n - step] = rank[step:]
+        follow[: max(0, n - step)] = rank[step:]
         rank = np.unique((rank << np.uint64(32)) | follow, return_inverse=True)[1].astype(np.uint64)
         span += step
     raise ValueError("length must be over 8")
@@ -118,40 +122,54 @@ def _flat(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text whose suffixes are ranked at once; a shard with more is cut by anchor.
-RANKED_BYTES = 24 << 20
-
-
-def _shard(group: pa.Table, length: int) -> pa.Table:
-    batches = group.column("batch").to_pylist()
-    parts = [unpack(b, SEGMENT) for b in group.column("keys").to_pylist()]
-    seg = np.concatenate(parts)
-    text = np.concatenate([unpack(b, np.uint8) for b in group.column("vals").to_pylist()])
-    sizes = seg["windows"].astype(np.int64) + length - 1
-    place = np.cumsum(sizes) - sizes
-    order = np.lexsort((seg["start"], seg["tie"], seg["id"]))
-    first = np.zeros(len(seg), bool)
-    first[order] = _first_of_equals(seg["body"][order], seg["key"][order])
-    # Anchors with several different segments; their suffixes are ranked together.
-    keys, which, different = np.unique(seg["key"][first], return_inverse=True, return_counts=True)
-    todo = order[first[order]]
-    rank_of = np.empty(len(seg), np.int64)
-    rank_of[np.flatnonzero(first)] = which
-    todo = todo[different[rank_of[todo]] > 1]
-    removed = np.zeros(int(seg["windows"].sum()), bool)
-    at = np.cumsum(seg["windows"]) - seg["windows"]
-    removed[_flat(at[~first], seg["windows"][~first])] = True
-    slices = max(1, -(-int(sizes[todo].sum()) // RANKED_BYTES))
-    share = rank_of[todo] % slices
+RANKED_BYTES = 3 << 20
+
+
+def _judge(group: pa.Table) -> pa.Table:
+    """For each noted segment of a shard ALONE, REPEATED or OPEN."""
+    group = group.sort_by("batch")
+    parts = [X.unpack_keys(b) for b in group.column("keys").to_pylist()]
+    key, note = np.concatenate(parts), np.concatenate([unpack(b, NOTE) for b in group.column("vals").to_pylist()])
+    order = np.lexsort((note["start"], note["tie"], note["id"]))
+    first = np.zeros(len(key), bool)
+    first[order] = _first_of_equals(note["body"][order], key[order])
+    _, which, bodies = np.unique(key[first], return_inverse=True, return_counts=True)
+    verdict = np.full(len(key), REPEATED, np.uint8)
+    verdict[first] = np.where(bodies[which] > 1, OPEN, ALONE)
+    cut = np.cumsum([len(p) for p in parts])[:-1]
+    return pa.table({"batch": group.column("batch").cast(pa.int64()), "shard": group.column("shard").cast(pa.int32()), "vals": pa.array([pack(x) for x in np.split(verdict, cut)], pa.binary())})
+
+
+def _rank(group: pa.Table, length: int) -> pa.Table:
+    """For each window of the open segments of a shard, whether an earlier window equals it; packed bits."""
+    group = group.sort_by("batch")
+    parts = [X.unpack_keys(b) for b in group.column("keys").to_pylist()]
+    key, blobs = np.concatenate(parts), [(unpack(b["note"], NOTE), unpack(b["text"], np.uint8)) for b in group.column("open").to_pylist()]
+    note, text = np.concatenate([n for n, _ in blobs]), np.concatenate([t for _, t in blobs])
+    windows = note["windows"].astype(np.int64)
+    sizes = windows + length - 1
+    place, at = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+    order = np.lexsort((note["start"], note["tie"], note["id"]))
+    seen = np.zeros(int(windows.sum()), bool)
+    slices = max(1, -(-int(sizes.sum()) // RANKED_BYTES))
+    share = (key[order] >> np.uint64(3)) % np.uint64(slices)
     for s in range(slices):
-        own = todo[share == s]
+        own = order[share == np.uint64(s)]
         if len(own):
-            body = text[_flat(place[own], sizes[own])]
             begin = np.cumsum(sizes[own]) - sizes[own]
-            places = _flat(begin, seg["windows"][own])
-            removed[_flat(at[own], seg["windows"][own])] = previous_factors(body, places, length)
-    counts = [int(p["windows"].sum()) for p in parts]
-    bits = [pack(np.packbits(x)) for x in np.split(removed, np.cumsum(counts)[:-1])]
-    return pa.table({"batch": pa.array(batches, pa.int64()), "shard": group.column("shard").cast(pa.int32()), "vals": pa.array(bits, pa.binary())})
+            seen[_flat(at[own], windows[own])] = previous_factors(text[_flat(place[own], sizes[own])], _flat(begin, windows[own]), length)
+    counts = [int(n["windows"].sum()) for n, _ in blobs]
+    bits = [pack(np.packbits(x)) for x in np.split(seen, np.cumsum(counts)[:-1])]
+    return pa.table({"batch": group.column("batch").cast(pa.int64()), "shard": group.column("shard").cast(pa.int32()), "vals": pa.array(bits, pa.binary())})
+
+
+class _Noted:
+    """A batch's noted segments (key, place, windows, note) and those that repeat one of its own batch."""
+
+    def __init__(self, r: dict):
+        self.key, self.note = X.unpack_keys(r["keys"]), unpack(r["notes"], NOTE)
+        self.place, self.later = unpack(r["places"], np.int64), unpack(r["later"], np.int64).reshape(-1, 2)
+        self.windows = self.note["windows"].astype(np.int64)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -159,7 +177,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     import pyarrow.compute  # noqa: F401
 
     prepare(docs.sparkSession)
-    batched = materialize(gather(docs, ["doc_id", "text"], _make_batch, "batch long, size long, ids binary, nulls binary, ties binary, sizes binary, text binary"))
+    batched = bucketed(gather(docs, ["doc_id", "text"], _make_batch, "batch long, size long, ids binary, nulls binary, ties binary, sizes binary, text binary"), "batch")
     shards = X.shard_count(batched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], 8 << 20)
 
     def ask(rows):
@@ -171,75 +189,94 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     counts = X.sum_by_key(batched.select("batch", "sizes", "text").mapInArrow(ask, X.REQUEST), [("n", "<u4")], [("n", "<u4")])
 
-    def send(rows):
-        """Distinct segments to their shards; what the batch must remember of them, under shard -1."""
+    def note(rows):
+        """The segments whose anchors occur again, once each in a batch."""
         for b in rows:
             for r in b.to_pylist():
-                data, sizes = unpack(r["text"], np.uint8), unpack(r["sizes"], np.int64)
-                key, body, start, windows, doc = _segments(data, sizes, length, gram)
+                sizes = unpack(r["sizes"], np.int64)
+                key, body, start, windows, doc = _segments(unpack(r["text"], np.uint8), sizes, length, gram)
                 known = np.unique(key)
                 n = X.answers(r["parts"], known, shards, [("n", "<u4")])["n"]
                 again = n[np.searchsorted(known, key)] > 1
                 key, body, start, windows, doc = (x[again] for x in (key, body, start, windows, doc))
                 first = _first_of_equals(body, key)
-                later = np.c_[start[~first], windows[~first]]
-                seg = np.zeros(int(first.sum()), SEGMENT)
+                own = np.zeros(int(first.sum()), NOTE)
                 base = np.cumsum(sizes) - sizes
-                seg["key"], seg["body"], seg["windows"] = key[first], body[first], windows[first]
-                seg["id"], seg["tie"], seg["start"] = unpack(r["ids"], np.int64)[doc[first]], unpack(r["ties"], np.uint64)[doc[first]], start[first] - base[doc[first]]
-                local, sent = start[first], []
-                for s, ix in enumerate(X.split(seg["key"], shards)):
+                own["body"], own["windows"], own["start"] = body[first], windows[first], start[first] - base[doc[first]]
+                own["id"], own["tie"] = unpack(r["ids"], np.int64)[doc[first]], unpack(r["ties"], np.uint64)[doc[first]]
+                cols = [X.pack_keys(key[first]), pack(own), pack(start[first].astype(np.int64)), pack(np.c_[start[~first], windows[~first]].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], ["batch", "keys", "notes", "places", "later"])
+
+    noted = bucketed(with_replies(batched, counts).mapInArrow(note, "batch long, keys binary, notes binary, places binary, later binary"), "batch")
+
+    def send(rows):
+        for b in rows:
+            for r in b.to_pylist():
+                x = _Noted(r)
+                yield X.requests(r["batch"], x.key, x.note, shards)
+
+    verdicts = materialize(noted.select("batch", "keys", "notes", "places", "later").mapInArrow(send, X.REQUEST).groupBy("shard").applyInArrow(_judge, X.REPLY))
+
+    def send_open(rows):
+        for b in rows:
+            for r in b.to_pylist():
+                x, data = _Noted(r), unpack(r["text"], np.uint8)
+                open_ = np.flatnonzero(X.answers(r["verdicts"], x.key, shards, np.uint8) == OPEN)
+                for s, ix in enumerate(X.split(x.key[open_], shards)):
                     if len(ix):
-                        sent.append((s, pack(seg[ix]), pack(data[_flat(local[ix], seg["windows"][ix].astype(np.int64) + length - 1)])))
-                        sent.append((-1 - s, pack(local[ix].astype(np.int64)), pack(seg["windows"][ix])))
-                sent.append((-(2**31), pack(later[:, 0].astype(np.int64)), pack(later[:, 1].astype(np.int32))))
-                for s, k, v in sent:
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([r["batch"]], pa.int64()), pa.array([k], pa.binary()), pa.array([v], pa.binary())], ["shard", "batch", "keys", "vals"])
+                        ix = open_[ix]
+                        body = {"note": pack(x.note[ix]), "text": pack(data[_flat(x.place[ix], x.windows[ix] + length - 1)])}
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([r["batch"]], pa.int64()), pa.array([X.pack_keys(x.key[ix])], pa.binary()), pa.array([body], pa.struct([("note", pa.binary()), ("text", pa.binary())]))], ["shard", "batch", "keys", "open"])
 
-    sent = materialize(with_replies(batched, counts).mapInArrow(send, X.REQUEST))
-    found = sent.filter("shard >= 0").groupBy("shard").applyInArrow(lambda g: _shard(g, length), X.REPLY)
-    memory = sent.filter("shard < 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "keys", "vals")).alias("memory"))
+    known = with_replies(noted, verdicts, "verdicts")
+    texts = batched.select("batch", "text").join(known, "batch").mapInArrow(send_open, "shard int, batch long, keys binary, open struct<note:binary,text:binary>")
+    found = texts.groupBy("shard").applyInArrow(lambda g: _rank(g, length), X.REPLY)
 
     def finish(rows):
         for b in rows:
             for r in b.to_pylist():
-                data, sizes = unpack(r["text"], np.uint8), unpack(r["sizes"], np.int64)
+                data, sizes, x = unpack(r["text"], np.uint8), unpack(r["sizes"], np.int64), _Noted(r)
+                verdict = X.answers(r["verdicts"], x.key, shards, np.uint8)
                 gone = np.zeros(len(data), bool)
-                bits = {p["shard"]: p["vals"] for p in r["parts"] or []}
-                for m in r["memory"] or []:
-                    start, windows = unpack(m["keys"], np.int64), unpack(m["vals"], np.int32)
-                    places = _flat(start, windows.astype(np.int64))
-                    if m["shard"] > -(2**31):
-                        places = places[np.unpackbits(unpack(bits[-1 - m["shard"]], np.uint8), count=len(places)).astype(bool)]
-                    gone[places] = True
-                total = np.cumsum(gone, dtype=np.int32)
-                covered = total.copy()
-                covered[length:] -= total[:-length] if len(total) > length else 0
-                covered = covered > 0
-                offs = np.r_[0, np.cumsum(sizes)]
-                before = np.zeros(len(data), bool)
-                before[1:] = covered[:-1]
-                before[offs[:-1][sizes > 0]] = False
-                after = np.zeros(len(data), bool)
-                after[:-1] = covered[1:]
-                after[offs[1:][sizes > 0] - 1] = False
-                begin, end = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1
-                bound = np.searchsorted(begin, offs)
-                cut = np.r_[0, np.cumsum(~covered)]
-                removed = np.r_[0, np.cumsum(covered)]
-                doc = np.repeat(np.arange(len(sizes)), np.diff(bound))
-                span = pa.StructArray.from_arrays([pa.array(begin - offs[doc]), pa.array(end - offs[doc])], ["first", "end"])
-                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cut[offs].astype(np.int64)), pa.py_buffer(data[~covered])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(unpack(r["ids"], np.int64), mask=unpack(r["nulls"], bool)),
-                        pa.array(sizes),
-                        pa.array(removed[offs[1:]] - removed[offs[:-1]]),
-                        pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), span),
-                        kept.cast(pa.binary()),
-                    ],
-                    ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-                )
-
-    ready = with_replies(batched, found).join(memory, "batch", "left").select("batch", "ids", "nulls", "sizes", "text", "parts", "memory")
+                gone[_flat(x.later[:, 0], x.later[:, 1])] = True
+                repeated = verdict == REPEATED
+                gone[_flat(x.place[repeated], x.windows[repeated])] = True
+                open_ = np.flatnonzero(verdict == OPEN)
+                bits = {p["shard"]: p["vals"] for p in r["found"] or []}
+                for s, ix in enumerate(X.split(x.key[open_], shards)):
+                    if len(ix):
+                        places = _flat(x.place[open_[ix]], x.windows[open_[ix]])
+                        gone[places[np.unpackbits(unpack(bits[s], np.uint8), count=len(places)).astype(bool)]] = True
+                yield _cut(r, data, sizes, gone, length)
+
+    ready = batched.join(with_replies(known, found, "found"), "batch").select("batch", "ids", "nulls", "sizes", "text", "keys", "notes", "places", "later", "verdicts", "found")
     return ready.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
+
+
+def _cut(r: dict, data: np.ndarray, sizes: np.ndarray, gone: np.ndarray, length: int) -> pa.RecordBatch:
+    """The rows of a batch, in which the windows that begin where ``gone`` is set are removed."""
+    total = np.cumsum(gone, dtype=np.int32)
+    covered = total.copy()
+    covered[length:] -= total[:-length] if len(total) > length else 0
+    covered = covered > 0
+    offs = np.r_[0, np.cumsum(sizes)]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = covered[:-1], covered[1:]
+    before[offs[:-1][sizes > 0]] = False
+    after[offs[1:][sizes > 0] - 1] = False
+    begin, end = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1
+    bound = np.searchsorted(begin, offs)
+    left, removed = np.r_[0, np.cumsum(~covered)], np.r_[0, np.cumsum(covered)]
+    doc = np.repeat(np.arange(len(sizes)), np.diff(bound))
+    span = pa.StructArray.from_arrays([pa.array(begin - offs[doc]), pa.array(end - offs[doc])], ["first", "end"])
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left[offs].astype(np.int64)), pa.py_buffer(data[~covered])])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(unpack(r["ids"], np.int64), mask=unpack(r["nulls"], bool)),
+            pa.array(sizes),
+            pa.array(removed[offs[1:]] - removed[offs[:-1]]),
+            pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), span),
+            kept.cast(pa.binary()),
+        ],
+        ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+    )
