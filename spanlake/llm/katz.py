@@ -25,6 +25,8 @@ from .batches import gather, pack, unpack, with_replies
 from .tables import bucketed, materialize, prepare
 
 ADDED = 0.1
+#: Text of a batch: its tokens and bigrams take some 50 times as much memory in a task.
+BATCH_BYTES = 4 << 20
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 START, END = (int(x) for x in T.mix(np.array([11, 13], np.uint64)))
@@ -125,7 +127,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (by words alone), score, both log10.
     """
     prepare(docs.sparkSession)
-    batched = bucketed(gather(docs.withColumn("held_out", held_out), ["doc_id", "text", "held_out"], _make_batch, BATCH), "batch")
+    batched = bucketed(gather(docs.withColumn("held_out", held_out), ["doc_id", "text", "held_out"], _make_batch, BATCH, BATCH_BYTES), "batch")
     size = batched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     word_shards, pair_shards = X.shard_count(size, 32 << 20), X.shard_count(size)
     columns = ["batch", "held", "sizes", "vocab", "tokens"]

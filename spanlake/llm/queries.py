@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE
 from .tables import remainder, table
 
 
@@ -83,6 +84,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+__all__ = ["ORACLE", "QUERIES"]
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -95,38 +97,3 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_katz": op10_katz,
 }
-
-ORACLE: dict[str, str] = {
-    "op7_url_filter": r"""
-WITH parts AS (
-    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), split AS (
-    SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM parts
-), urls AS (
-    SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-           regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path
-    FROM split
-), rules(verdict, rule_host, rule_path) AS (
-    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
-), fits AS (
-    SELECT u.page_id, r.rule_host || r.rule_path AS rule, r.verdict,
-           row_number() OVER (PARTITION BY u.page_id ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS place
-    FROM urls u JOIN rules r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path)
-)
-SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
-FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.place = 1
-""",
-    "op9_topk": """
-WITH whole AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-    FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-), usable AS (
-    SELECT * FROM whole WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), ranked AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
-           row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
-    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
-)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
-""",
-}
