@@ -63,3 +63,29 @@ def cut_at_keywords(c: Column, words: list[str]) -> Column:
     """The text before the first of ``words`` with a colon, or at a line's start."""
     alternatives = "|".join("\\Q" + w + "\\E" for w in words)
     return F.regexp_replace(c, rf"(?s)((?:{alternatives})[：:]|\n(?:{alternatives})).*$", "")
+
+
+def breaks_after_values(docs: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, text) of docs(doc_id, text, values): a blank line after a value where the tokens since the last one would exceed ``budget``.
+
+    Texts within the budget, and those that hold none of their values of 3 characters or more, stay as they are.
+    """
+    wanted = F.filter("values", lambda v: F.length(F.trim(v)) >= 3)
+    pattern = F.concat(F.lit("(?<="), F.array_join(F.transform(wanted, lambda v: F.concat(F.lit("\\Q"), F.trim(v), F.lit("\\E"))), "|"), F.lit(")"))
+    pieces = F.when(F.size(wanted) > 0, F.expr("split(text, pattern)")).otherwise(F.array("text"))
+    rows = docs.withColumn("pattern", pattern).withColumn("pieces", pieces)
+    packed = F.array_join(F.transform(pack(F.col("pieces"), T.token_count, budget), lambda c: F.array_join(c, "")), "\n\n")
+    return rows.select("doc_id", F.when(T.token_count(F.col("text")) <= budget, F.col("text")).otherwise(packed).alias("text"))
+
+
+def sentence_chunks(docs: DataFrame, mark: str, most: int, least: int, tiny: int) -> DataFrame:
+    """(doc_id, chunk, body): texts cut behind the last ``mark`` within ``most`` characters, if ``least`` stand before it; pieces of ``tiny`` join the one before."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
+        cut = (F.size(acc) == 0) | ((F.length(last) + F.length(x) > most) & (F.length(last) >= least) & (F.length(x) > tiny))
+        return F.when(cut, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, x))))
+
+    sentences = F.filter(F.split("text", f"(?<=\\Q{mark}\\E)"), lambda x: x != "")
+    return docs.select("doc_id", F.posexplode(F.aggregate(sentences, none, add)).alias("chunk", "body"))

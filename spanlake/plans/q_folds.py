@@ -84,3 +84,15 @@ def k1(spark, d):
 @query("h8_bucket_sizes", "SELECT ('0x' || substr(md5('ridx:' || doc_id), 1, 8))::BIGINT % 10000 // 1000 AS tenth, count(*) AS n FROM documents GROUP BY ALL")
 def h8(spark, d):
     return table(spark, d, "documents").groupBy(F.floor(C.bucket("ridx:", F.col("doc_id")) / 1000).alias("tenth")).agg(F.count("*").alias("n"))
+
+
+@query("e8_breaks_after_values")
+def e8(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.slice(F.split("text", " "), 1, 40).alias("values"))
+    return D.breaks_after_values(docs, 100).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query("e10_sentence_chunks")
+def e10(spark, d):
+    out = D.sentence_chunks(table(spark, d, "documents").select("doc_id", "text"), ".", 500, 128, 10)
+    return out.select("doc_id", "chunk", F.length("body").alias("n"), F.md5("body").alias("digest"))

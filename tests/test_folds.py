@@ -1,0 +1,36 @@
+"""Folds on small literals: texts are kept whole, budgets hold."""
+
+from pyspark.sql import functions as F
+
+from spanlake.operators import fold as D
+
+
+def test_sentence_chunks(spark):
+    text = "".join(f"{'x' * n}." for n in (40, 30, 50, 5, 90, 3))
+    out = D.sentence_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), ".", 80, 30, 4).orderBy("doc_id", "chunk").collect()
+    assert [len(r.body) for r in out] == [72, 57, 95]
+    assert "".join(r.body for r in out) == text
+
+
+def test_breaks_after_values(spark):
+    docs = spark.createDataFrame([(1, "aa bb KEY1 cc dd KEY2 ee ff KEY1 gg", ["KEY1", "KEY2", "x"]), (2, "short KEY1", ["KEY1"]), (3, "aa bb cc dd ee ff gg hh", [])], "doc_id long, text string, values array<string>")
+    got = {r.doc_id: r.text for r in D.breaks_after_values(docs, 6).collect()}
+    assert got == {1: "aa bb KEY1 cc dd KEY2\n\n ee ff KEY1 gg", 2: "short KEY1", 3: "aa bb cc dd ee ff gg hh"}
+
+
+def test_pack_and_items(spark):
+    rows = spark.createDataFrame([(1, i, w) for i, w in enumerate(["a b", "c", "d e f g", "h"])], "id long, ord int, line string")
+    out = D.packed_items(rows, 3, ["；", " | "]).orderBy("par").collect()
+    assert [r.body for r in out] == ["a b；c", "d e f g", "h"]
+
+
+def test_json_object(spark):
+    cases = [('x {"a": 1} y', '{"a": 1}'), ('```json\n{"b": {"c": 2}}\n```', '{"b": {"c": 2}}'), ("none", None), ("{bad", None)]
+    got = spark.createDataFrame(cases, "t string, want string").select("want", D.json_object(F.col("t")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_cut_at_keywords_and_breaks(spark):
+    df = spark.createDataFrame([(1, "value one\nKey: rest", "ab The cd The ef")], "doc_id long, t string, text string")
+    assert df.select(D.cut_at_keywords(F.col("t"), ["Key"]).alias("x")).first().x == "value one"
+    assert D.breaks_before(df, ["The "], 4).first().text == "ab The cd \nThe ef"
