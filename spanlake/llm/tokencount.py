@@ -13,7 +13,9 @@ Every row gives a row; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +54,22 @@ class Counter:
     def word(self, text: str) -> int:
         """Pieces of the best path through ``text``."""
         n = len(text)
-        score, count = [0.0] + [0.0] * n, [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(text):
-            ends[end + 1].append(match)
-        for e in range(1, n + 1):
-            best, pieces = None, 0
-            for length, s in sorted(ends[e], reverse=True):  # the earliest start first
-                if best is None or score[e - length] + s > best:
-                    best, pieces = score[e - length] + s, count[e - length] + 1
-            c = text[e - 1]
-            if c not in self.single and (best is None or score[e - 1] + self.unknown > best):
-                best, pieces = score[e - 1] + self.unknown, count[e - 1] + len(c.encode())
-            score[e], count[e] = best, pieces
+        score, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        odd = deque(() if self.single.issuperset(text) else (e for e, c in enumerate(text, 1) if c not in self.single))
+
+        def unknown(e: int) -> None:
+            if score[e - 1] + self.unknown > score[e]:
+                score[e], count[e] = score[e - 1] + self.unknown, count[e - 1] + len(text[e - 1].encode())
+
+        # Matches come by their end, longest first: the earliest start stays on equal scores.
+        for end, (length, s) in self.automaton.iter(text):
+            end += 1
+            while odd and odd[0] < end:
+                unknown(odd.popleft())
+            if score[end - length] + s > score[end]:
+                score[end], count[end] = score[end - length] + s, count[end - length] + 1
+        for e in odd:
+            unknown(e)
         return count[n]
 
     def text(self, text: str) -> int:
