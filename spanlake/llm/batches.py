@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean
+
 
 
 BATCH_BYTES = 6 << 20
@@ -53,7 +55,7 @@ def gather(docs: DataFrame, columns: list[str], make: Callable[[int, pa.Table],
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.select(*columns).mapInArrow(scan, schema)
+    return docs.select(*columns).mapInArrow(lean(scan), schema)
 
 
 def with_replies(batched: DataFrame, replies: DataFrame, name: str = "parts") -> DataFrame:

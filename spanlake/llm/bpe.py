@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import prepare
+from .tables import lean, prepare
 
 #: Words and pieces remembered in a worker at most; then it starts anew.
 REMEMBERED = 600_000
+#: Words of one recursive query; its rounds' rows are what it takes memory for.
+LEARNED = 25_000
 LONG = 256
 #: Over any place in a word.
 PLACES = 1 << 20
@@ -129,8 +131,10 @@ class Codec:
         return out
 
     def learn(self, words: list[str]) -> None:
-        ids = self.encode([w.encode() for w in words])
-        self.words.update(zip(words, zip(ids, self.decode(ids), strict=True), strict=True))
+        for lo in range(0, len(words), LEARNED):
+            some = words[lo : lo + LEARNED]
+            ids = self.encode([w.encode() for w in some])
+            self.words.update(zip(some, zip(ids, self.decode(ids), strict=True), strict=True))
 
 
 _codecs: dict[str, Codec] = {}
@@ -185,4 +189,4 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n_tokens long, ids binary, decoded binary")

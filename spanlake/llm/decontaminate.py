@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .tables import materialize, prepare
+from .tables import lean, materialize, prepare
 
 WINDOW, GRAM = 10, 5
 #: Bits of the Bloom filter that spares the join most fingerprints, at most (8 MB); it only ever lets too many pass.
@@ -73,7 +73,7 @@ def _item_windows(spark: SparkSession, items: DataFrame) -> DataFrame:
                 ["item_id", "size", "window", "hash"],
             )
 
-    return items.select("item_id", "text").mapInArrow(scan, "item_id string, size int, window string, hash long")
+    return items.select("item_id", "text").mapInArrow(lean(scan), "item_id string, size int, window string, hash long")
 
 
 def _filter(windows: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
@@ -85,7 +85,7 @@ def _filter(windows: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
             at = np.unique(np.concatenate(_bits(h, bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
 
-    words = windows.select("hash").mapInArrow(fill, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = windows.select("hash").mapInArrow(lean(fill), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
     sizes = [r.size for r in windows.filter(F.col("size") < WINDOW).select("size").distinct().collect()]
@@ -141,7 +141,7 @@ def _fingerprint(docs: DataFrame, bloom: np.ndarray, bits: int, sizes: list[int]
                 )
                 serial += c.rows
 
-    return docs.select("doc_id", "text").mapInArrow(scan, FINGERPRINTS)
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), FINGERPRINTS)
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textscan as T
 from .batches import gather, pack, unpack, with_replies
-from .tables import bucketed, materialize, prepare
+from .tables import bucketed, lean, materialize, prepare
 
 ADDED = 0.1
 #: Text of a batch: its tokens and bigrams take some 50 times as much memory in a task.
@@ -104,7 +104,7 @@ def _ask(batched: DataFrame, shards: int, bigrams: bool) -> DataFrame:
                     keys, n = x.vocab[:-1], x.counts(x.token, len(x.vocab) - 1)
                 yield X.requests(r["batch"], keys, n.astype("<u4").view(COUNT), shards)
 
-    return batched.mapInArrow(ask, X.REQUEST)
+    return batched.mapInArrow(lean(ask), X.REQUEST)
 
 
 def _count_of_counts(replies: DataFrame, top: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _count_of_counts(replies: DataFrame, top: int) -> DataFrame:
                 r = np.minimum(n, top + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(top + 2)), pa.array(np.bincount(r, minlength=top + 2)), pa.array(np.bincount(r, n, minlength=top + 2).astype(np.int64))], ["r", "keys", "tokens"])
 
-    return replies.mapInArrow(scan, "r long, keys long, tokens long").groupBy("r").agg(F.sum("keys").alias("keys"), F.sum("tokens").alias("tokens"))
+    return replies.mapInArrow(lean(scan), "r long, keys long, tokens long").groupBy("r").agg(F.sum("keys").alias("keys"), F.sum("tokens").alias("tokens"))
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -164,7 +164,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def ready(source: DataFrame) -> DataFrame:
         return with_replies(with_replies(source, words, "words"), pairs, "pairs")
 
-    sums = X.sum_by_key(ready(batched.select(columns)).mapInArrow(ask_sums, X.REQUEST), SUMS, SUMS)
+    sums = X.sum_by_key(ready(batched.select(columns)).mapInArrow(lean(ask_sums), X.REQUEST), SUMS, SUMS)
 
     def finish(rows):
         unknown = ADDED / (tokens + ADDED * (vocabulary + 1))
@@ -193,4 +193,4 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return with_replies(ready(batched), sums, "sums").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_replies(ready(batched), sums, "sums").mapInArrow(lean(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

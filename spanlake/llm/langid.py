@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textscan as T
-from .tables import prepare
+from .tables import lean, prepare
 
 BUCKETS, LONGEST, SMOOTHING, MAX_LANGUAGES = 1 << 17, 3, 0.02, 1000
 UNKNOWN = "und"
@@ -89,7 +89,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
-        t = labelled.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        t = labelled.mapInArrow(lean(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
         counts[t.column("bucket").to_numpy(), t.column("lang").to_numpy()] = t.column("n").to_numpy()
     logs = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS))
     n = np.array([r["count"] for r in found], np.float64)
@@ -125,4 +125,4 @@ def identify(docs: DataFrame, training: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], [*b.schema.names, "lang_pred", "score"])
 
     kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
-    return kept.mapInArrow(predict, StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double"))
+    return kept.mapInArrow(lean(predict), StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as T
 from .components import components
-from .tables import materialize, prepare
+from .tables import lean, materialize, prepare
 
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
@@ -91,7 +91,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 ["doc_id", "n", "s1", "s2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n long, s1 long, s2 long, sig binary")
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def file_under(reps: DataFrame) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SYMBOLS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("rep"), lists], ["rep", "keys"])
 
-    return reps.select("rep", "sig").mapInArrow(scan, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("slot", "key"))
+    return reps.select("rep", "sig").mapInArrow(lean(scan), "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("slot", "key"))
 
 
 COLUMNS = ("key", "rep", "n", "label", "slot")
@@ -143,7 +143,7 @@ def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
         if held is not None:
             yield work(*held)
 
-    return rows.select(*COLUMNS, "sig").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(scan, schema)
+    return rows.select(*COLUMNS, "sig").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lean(scan), schema)
 
 
 def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _refile(rows: DataFrame) -> DataFrame:
             again = pa.array(T.mix(key[r] ^ new[r, k] * np.uint64(T.BASE)).view(np.int64))
             yield pa.RecordBatch.from_arrays([again, *(b.column(c).take(at) for c in ("rep", "n", "label")), pa.array(np.full(len(r), -1, np.int32)), b.column("sig").take(at)], [*COLUMNS, "sig"])
 
-    return rows.select(*COLUMNS, "sig").mapInArrow(scan, "key long, rep long, n long, label long, slot int, sig binary")
+    return rows.select(*COLUMNS, "sig").mapInArrow(lean(scan), "key long, rep long, n long, label long, slot int, sig binary")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -220,7 +220,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_rows(b.column("text"), size)], pa.binary())], ["rep", "shingles"])
 
-    return docs.select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(sets_of, "rep long, shingles binary")
+    return docs.select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(lean(sets_of), "rep long, shingles binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -256,7 +256,7 @@ def confirmed(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
                     o.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
 
-    return rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(check, "a long, b long")
+    return rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(lean(check), "a long, b long")
 
 
 def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
         if held is not None:
             yield links(*held[1:])
 
-    return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(scan, "a long, b long")
+    return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(lean(scan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textscan as T
 from .batches import gather, pack, unpack, with_replies
-from .tables import bucketed, materialize, prepare
+from .tables import bucketed, lean, materialize, prepare
 
 LENGTH, GRAM = 100, 40
 NOTE = np.dtype([("body", "<u8"), ("id", "<i8"), ("tie", "<u8"), ("start", "<i8"), ("windows", "<i4")])
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 key, count = np.unique(key, return_counts=True)
                 yield X.requests(r["batch"], key, count.astype(np.uint32).view([("n", "<u4")]), shards)
 
-    counts = X.sum_by_key(batched.select("batch", "sizes", "text").mapInArrow(ask, X.REQUEST), [("n", "<u4")], [("n", "<u4")])
+    counts = X.sum_by_key(batched.select("batch", "sizes", "text").mapInArrow(lean(ask), X.REQUEST), [("n", "<u4")], [("n", "<u4")])
 
     def note(rows):
         """The segments whose anchors occur again, once each in a batch."""
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 cols = [X.pack_keys(key[first]), pack(own), pack(start[first].astype(np.int64)), pack(np.c_[start[~first], windows[~first]].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], ["batch", "keys", "notes", "places", "later"])
 
-    noted = bucketed(with_replies(batched, counts).mapInArrow(note, "batch long, keys binary, notes binary, places binary, later binary"), "batch")
+    noted = bucketed(with_replies(batched, counts).mapInArrow(lean(note), "batch long, keys binary, notes binary, places binary, later binary"), "batch")
 
     def send(rows):
         for b in rows:
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 x = _Noted(r)
                 yield X.requests(r["batch"], x.key, x.note, shards)
 
-    verdicts = materialize(noted.select("batch", "keys", "notes", "places", "later").mapInArrow(send, X.REQUEST).groupBy("shard").applyInArrow(_judge, X.REPLY))
+    verdicts = materialize(noted.select("batch", "keys", "notes", "places", "later").mapInArrow(lean(send), X.REQUEST).groupBy("shard").applyInArrow(_judge, X.REPLY))
 
     def send_open(rows):
         for b in rows:
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([r["batch"]], pa.int64()), pa.array([X.pack_keys(x.key[ix])], pa.binary()), pa.array([body], pa.struct([("note", pa.binary()), ("text", pa.binary())]))], ["shard", "batch", "keys", "open"])
 
     known = with_replies(noted, verdicts, "verdicts")
-    texts = batched.select("batch", "text").join(known, "batch").mapInArrow(send_open, "shard int, batch long, keys binary, open struct<note:binary,text:binary>")
+    texts = batched.select("batch", "text").join(known, "batch").mapInArrow(lean(send_open), "shard int, batch long, keys binary, open struct<note:binary,text:binary>")
     found = texts.groupBy("shard").applyInArrow(lambda g: _rank(g, length), X.REPLY)
 
     def finish(rows):
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 yield _cut(r, data, sizes, gone, length)
 
     ready = batched.join(with_replies(known, found, "found"), "batch").select("batch", "ids", "nulls", "sizes", "text", "keys", "notes", "places", "later", "verdicts", "found")
-    return ready.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
+    return ready.mapInArrow(lean(finish), "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
 
 
 def _cut(r: dict, data: np.ndarray, sizes: np.ndarray, gone: np.ndarray, length: int) -> pa.RecordBatch:
