@@ -2,6 +2,8 @@
 
 Each stage takes the documents that the one before kept, as a table, and all but the last return them with the
 columns of ``documents``; ``run`` writes each stage's rows to the shared folder and reads them again.
+
+Ids may repeat and be null: stages number the rows of their input, and each row gets its own decision.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.tables import materialize, remainder, table
+from spanlake.llm.tables import materialize, numbered, remainder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,11 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows of one id stay together."""
+    """Keeps the document with the smallest id of each group; rows of one id that belong to one group stay together."""
     from spanlake.llm.neardup import near_duplicates as groups
 
-    kept = groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    rows = numbered(docs.select(*COLUMNS))
+    return rows.join(groups(rows, row="row").filter("kept").select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,22 +42,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     def as_text(batches):
         for b in batches:
             rest = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(rest, pa.string())], ["doc_id", "n_bytes", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(rest, pa.string())], ["row", "rest"])
 
-    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "n_bytes", "kept").mapInArrow(as_text, "doc_id long, n_bytes long, rest string")
-    cut = cut.dropDuplicates(["doc_id", "n_bytes"])
-    rows = docs.select(*COLUMNS, F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    joined = rows.join(cut, rows.doc_id.eqNullSafe(cut.doc_id) & (rows.n_bytes == cut.n_bytes), "left").select(*(rows[c] for c in COLUMNS), "rest")
+    rows = numbered(docs.select(*COLUMNS))
+    cut = remove_repeats(rows, row="row").filter("n_removed > 0").select("row", "kept").mapInArrow(as_text, "row long, rest string")
     text = F.coalesce("rest", "text")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")).filter("text <> ''")
+    return rows.join(cut, "row", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")).filter("text <> ''")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
     from spanlake.llm.decontaminate import decontaminate
 
-    hit = decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+    rows = numbered(docs.select(*COLUMNS))
+    hit = decontaminate(spark, rows, table(spark, sf_dir, "benchmark"), row="row").filter("contaminated").select("row")
+    return rows.join(hit, "row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,8 +99,9 @@ def _passes(bloom: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _fingerprint(docs: DataFrame, bloom: np.ndarray, bits: int, sizes: list[int]) -> DataFrame:
+def _fingerprint(docs: DataFrame, bloom: np.ndarray, bits: int, sizes: list[int], row: str | None = None) -> DataFrame:
     """For each document its number of words and those fingerprints that may be an item's, with the words around them."""
+    own, carried = [F.col(row).alias("row")] if row else [], ["row"] if row else []
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def scan(batches) -> Iterator[pa.RecordBatch]:
@@ -136,20 +137,21 @@ def _fingerprint(docs: DataFrame, bloom: np.ndarray, bits: int, sizes: list[int]
                         ids.slice(c.first, c.rows).cast(pa.int64()),
                         pa.array(np.diff(w.bounds).astype(np.int64)),
                         pa.array(hits, pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.string()))]))),
+                        *(x.slice(c.first, c.rows) for x in b.columns[2:]),
                     ],
-                    ["row_id", "doc_id", "n_words", "hits"],
+                    ["row_id", "doc_id", "n_words", "hits", *carried],
                 )
                 serial += c.rows
 
-    return docs.select("doc_id", "text").mapInArrow(lean(scan), FINGERPRINTS)
+    return docs.select("doc_id", "text", *own).mapInArrow(lean(scan), FINGERPRINTS + (", row long" if row else ""))
 
 
-def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents: row_id, doc_id, n_words; hits: row_id, first, size, window) of ``docs(doc_id, text)`` by ``items(item_id, text)``."""
     prepare(spark)
     windows = materialize(_item_windows(spark, items))
     bloom, sizes = _filter(windows, filter_bits)
-    scanned = materialize(_fingerprint(docs, bloom, filter_bits, sizes))
+    scanned = materialize(_fingerprint(docs, bloom, filter_bits, sizes, row))
     fingerprints = windows.select("size", "hash").distinct()
     candidates = scanned.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.*")
     joined = candidates.join(fingerprints, ["size", "hash"], "left_semi")
@@ -165,9 +167,12 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, filter_bits: in
     return scanned, extended.join(known, ["size", "window"], "left_semi"), windows
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted), spans (maximal hit runs of words), contaminated."""
-    scanned, found, windows = hits(spark, docs, items)
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted), spans (maximal hit runs of words), contaminated.
+
+    ``row`` names a column of longs that tells rows of one id apart; it is then returned as ``row``.
+    """
+    scanned, found, windows = hits(spark, docs, items, row=row)
     found = materialize(found)
     # Windows of one passage belong to the same items: send the set of items once per document, not once per window.
     sets = windows.select("size", "window", "item_id").distinct().groupBy("size", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
@@ -189,11 +194,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
     spans = runs.select("row_id", merge.alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
     return (
-        scanned.select("row_id", "doc_id", "n_words").join(spans, "row_id", "left").join(items_of, "row_id", "left")
+        scanned.drop("hits").join(spans, "row_id", "left").join(items_of, "row_id", "left")
         .select(
             "doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce(F.size("item_ids").cast("long"), F.lit(0).cast("long")).alias("n_items"),
             F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"),
             F.coalesce("spans", empty).alias("spans"), F.col("spans").isNotNull().alias("contaminated"),
+            *(["row"] if row else []),
         )
     )

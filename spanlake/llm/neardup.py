@@ -61,8 +61,9 @@ def shingle_rows(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield T.grams(w.hash[lo:hi], int(hi - lo)) if hi > lo else np.zeros(0, np.uint64)
 
 
-def sign(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), two sums that stand for the set, and the signature."""
+def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
+    """doc_id, n (set size), two sums that stand for the set, the signature, and the column ``row`` if it is named."""
+    own = [F.col(row).alias("row")] if row else []
 
     def scan(batches):
         mul, add = _multipliers()
@@ -87,11 +88,11 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
             sig = T.mix(sig)
             short = np.hstack([(sig[:, :SYMBOLS] >> np.uint64(32)).astype("<u4").view(np.uint8), (sig[:, SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary())],
-                ["doc_id", "n", "s1", "s2", "sig"],
+                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary()), *b.columns[2:]],
+                ["doc_id", "n", "s1", "s2", "sig", *(["row"] if row else [])],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", "text", *own).mapInArrow(lean(scan), "doc_id long, n long, s1 long, s2 long, sig binary" + (", row long" if row else ""))
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -301,10 +302,13 @@ def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(lean(scan), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept.
+
+    ``row`` names a column of longs that tells rows of one id apart; it is then returned as ``row``.
+    """
     prepare(docs.sparkSession)
-    signed = materialize(sign(docs, size))
+    signed = materialize(sign(docs, size, row))
     classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(classes.filter("rep is not null"))
     reps = classes.select("rep", "n", "sig")
@@ -338,6 +342,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BU
 
     return (
         signed.join(classes.drop("sig"), ["n", "s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("label", "rep", "doc_id").alias("component_id"), *(["row"] if row else []))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -45,8 +45,9 @@ def _make_batch(number: int, docs: pa.Table) -> pa.RecordBatch:
     text = text.take(pa.array(order))
     sizes = pa.compute.binary_length(text).to_numpy().astype(np.int64)
     data = b"".join(text.to_pylist())
-    cols = [pack(x) for x in (order_id[order], null[order], tie[order], sizes)]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(data)], pa.int64()), *(pa.array([x], pa.binary()) for x in (*cols, pack(data)))], ["batch", "size", "ids", "nulls", "ties", "sizes", "text"])
+    rows = docs.column("row").to_numpy()[order] if "row" in docs.column_names else np.zeros(0, np.int64)
+    cols = [pack(x) for x in (order_id[order], null[order], tie[order], sizes, rows)]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(data)], pa.int64()), *(pa.array([x], pa.binary()) for x in (*cols, pack(data)))], ["batch", "size", "ids", "nulls", "ties", "sizes", "rows", "text"])
 
 
 def _segments(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -172,12 +173,16 @@ class _Noted:
         self.windows = self.note["windows"].astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (the rest)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (the rest).
+
+    ``row`` names a column of longs that tells rows of one id apart; it is then returned as ``row``.
+    """
     import pyarrow.compute  # noqa: F401
 
     prepare(docs.sparkSession)
-    batched = bucketed(gather(docs, ["doc_id", "text"], _make_batch, "batch long, size long, ids binary, nulls binary, ties binary, sizes binary, text binary"), "batch")
+    own = [F.col(row).alias("row")] if row else []
+    batched = bucketed(gather(docs.select("doc_id", "text", *own), ["doc_id", "text", *(["row"] if row else [])], _make_batch, "batch long, size long, ids binary, nulls binary, ties binary, sizes binary, rows binary, text binary"), "batch")
     shards = X.shard_count(batched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], 8 << 20)
 
     def ask(rows):
@@ -247,10 +252,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     if len(ix):
                         places = _flat(x.place[open_[ix]], x.windows[open_[ix]])
                         gone[places[np.unpackbits(unpack(bits[s], np.uint8), count=len(places)).astype(bool)]] = True
-                yield _cut(r, data, sizes, gone, length)
+                out = _cut(r, data, sizes, gone, length)
+                yield out.append_column("row", pa.array(unpack(r["rows"], np.int64))) if row else out
 
-    ready = batched.join(with_replies(known, found, "found"), "batch").select("batch", "ids", "nulls", "sizes", "text", "keys", "notes", "places", "later", "verdicts", "found")
-    return ready.mapInArrow(lean(finish), "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
+    ready = batched.join(with_replies(known, found, "found"), "batch").select("batch", "ids", "nulls", "sizes", "rows", "text", "keys", "notes", "places", "later", "verdicts", "found")
+    return ready.mapInArrow(lean(finish), "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary" + (", row long" if row else ""))
 
 
 def _cut(r: dict, data: np.ndarray, sizes: np.ndarray, gone: np.ndarray, length: int) -> pa.RecordBatch:

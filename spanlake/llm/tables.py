@@ -56,6 +56,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` as a table whose rows have numbers of their own in ``row``; written, so they are the same at each reading."""
+    return materialize(df.withColumn("row", F.monotonically_increasing_id()))
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """Like ``materialize``, dealt by ``key`` once: joins on it leave these rows where they are."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ import __spark_entry__
 import corpus_pipeline
 from spanlake.llm import bpe
 
-from .conftest import ITEM
+from .conftest import ITEM, WORDS
 from .test_dedup import LOWER, brute_components, brute_repeats
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,6 +58,24 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == list(corpus_pipeline.COLUMNS) and out.collect() == []
 
 
+def test_each_row_has_its_own_decision(spark, sf_dir):
+    """Repeated ids and null ids, in stages that once decided by id."""
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return Counter((r.doc_id, r.text) for r in stage(spark, docs.repartition(2), sf_dir).collect())
+
+    a, b, c = (" ".join(WORDS[k::4]) for k in (0, 1, 2))
+    n = min(map(len, (a, b)))
+    a, b = a[: n - 1] + "x", b[: n - 1] + "y"  # of one length, over 100 bytes
+    near, passages, benchmark = (getattr(corpus_pipeline, x) for x in ("near_duplicates", "repeated_passages", "benchmark_passages"))
+    assert after(near, [(1, a), (2, a), (2, c), (None, a), (None, c), (None, b)]) == Counter([(1, a), (2, c), (None, b)])
+    assert after(passages, [(7, a), (7, a), (8, c)]) == Counter([(7, a), (8, c)])
+    assert after(passages, [(1, a), (2, f"{a}"), (2, b), (None, c), (None, c)]) == Counter([(1, a), (2, b), (None, c)])
+    hit = f"{c} {ITEM} {c}"
+    assert after(benchmark, [(None, hit), (None, a), (3, hit), (3, b)]) == Counter([(None, a), (3, b)])
+
+
 def test_registered_queries():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
