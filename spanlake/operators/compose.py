@@ -70,26 +70,51 @@ def wanted_keys(records: DataFrame, structure: DataFrame) -> DataFrame:
     return own.join(of, "title", "left").select("id", "title", F.array_distinct(F.concat(F.coalesce("std", F.expr("cast(array() as array<string>)")), "own")).alias("keys"))
 
 
-def near_duplicate_pairs(docs: DataFrame, block: str, threshold: float = 0.75, words: int = 5) -> DataFrame:
-    """(a, b) of docs(doc_id, text, block) of one block whose word-shingle sets have a Jaccard index of ``threshold``.
+#: Sets with one shingle that meet as a block; a shingle of more sets is dealt into sub-blocks, each pair of them a key.
+MEETING_ROWS = 1000
+
+
+def _shingle_sets(docs: DataFrame, block: str, words: int) -> DataFrame:
+    """(doc_id, block, g) of docs(doc_id, text, block); the block as a text that is never null, g null where there are no words."""
 
-    Only the rarest shingles of each set are joined: sets that alike share one of their size - ceil(threshold * size) + 1
-    rarest.  Equal sets stand for each other: pairs are of the smallest ids with each set.
-    """
     def grams_of(w: Column) -> Column:
         long = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " ")))
         return F.when(F.size(w) >= words, long).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
 
     # As a lambda's variable the words are split once, not again for each shingle.
     grams = F.get(F.transform(F.array(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")), grams_of), F.lit(0))
-    sets = docs.select("doc_id", F.col(block).alias("block"), F.array_sort(F.array_distinct(grams)).alias("g")).filter("g is not null")
+    of = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit(""))
+    return docs.select("doc_id", of.alias("block"), F.array_sort(F.array_distinct(grams)).alias("g"))
+
+
+def near_duplicate_members(docs: DataFrame, block: str, words: int = 5) -> DataFrame:
+    """(doc_id, class_id) of each row of docs(doc_id, text, block): the smallest id of its block with the same shingle set.
+
+    These are the ids that ``near_duplicate_pairs`` pairs.  A null block is a block; texts without words are alone.
+    """
+    rows = _shingle_sets(docs, block, words).select("doc_id", "block", F.md5(F.array_join(F.col("g").cast("array<string>"), " ")).alias("set"))
+    classes = rows.filter("set is not null").groupBy("block", "set").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(classes, ["block", "set"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def near_duplicate_pairs(docs: DataFrame, block: str, threshold: float = 0.75, words: int = 5, meeting_rows: int = MEETING_ROWS) -> DataFrame:
+    """(a, b) of docs(doc_id, text, block) of one block whose word-shingle sets have a Jaccard index of ``threshold``.
+
+    Only the rarest shingles of each set are joined: sets that alike share one of their size - ceil(threshold * size) + 1
+    rarest.  Equal sets stand for each other: pairs are of the smallest ids with each set, and
+    ``near_duplicate_members`` tells whom these stand for.  A null block is a block.
+    """
+    sets = _shingle_sets(docs, block, words).filter("g is not null")
     sets = sets.groupBy("block", "g").agg(F.min("doc_id").alias("doc_id"))
     flat = sets.select("block", "doc_id", F.size("g").alias("n"), F.explode("g").alias("h"))
     common = flat.groupBy("block", "h").agg(F.count("*").alias("df")).filter("df > 1")  # others join nothing
     by = Window.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "h")
     ranked = flat.join(common, ["block", "h"], "left").withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).filter("df > 1")
-    a, b = (ranked.select("block", "h", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, ["block", "h"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
+    parts = F.ceil(F.col("df") / meeting_rows)
+    part, each = F.pmod(F.xxhash64("doc_id"), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    a = ranked.select("block", "h", part.alias("i"), each.alias("j"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    b = ranked.select("block", "h", each.alias("i"), part.alias("j"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, ["block", "h", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return full.filter(shared >= F.lit(threshold) * (F.size("ga") + F.size("gb") - shared)).select("a", "b")

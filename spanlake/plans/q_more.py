@@ -61,6 +61,15 @@ def f12(spark, d):
     return P.near_duplicate_pairs(table(spark, d, "documents"), "lang")
 
 
+@query("f12_near_duplicate_members", """WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents), s AS (
+    SELECT DISTINCT doc_id, lang, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), k AS (SELECT doc_id, lang, list(g ORDER BY g) AS gs FROM s GROUP BY ALL)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, gs) AS class_id FROM k UNION ALL SELECT doc_id, doc_id FROM w WHERE coalesce(len(w), 0) = 0""")
+def f12_members(spark, d):
+    """Whom the documents of f12's pairs stand for: a row per document."""
+    return P.near_duplicate_members(table(spark, d, "documents"), "lang")
+
+
 @query("f15_option_candidates", f"""WITH {B.RECORDS_SQL}, o AS (SELECT DISTINCT p_name AS key, (p_size % 4)::VARCHAR AS option FROM part) SELECT id, key, option, list_contains(string_split(value, '/'), option) AS chosen, count(*) AS n FROM records JOIN o USING (key) GROUP BY ALL""")
 def f15(spark, d):
     o = table(spark, d, "part").select(F.col("p_name").alias("key"), (F.col("p_size") % 4).cast("string").alias("option")).distinct()

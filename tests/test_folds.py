@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spanlake.operators import compose as P
 from spanlake.operators import fold as D
 
 
@@ -34,3 +35,13 @@ def test_cut_at_keywords_and_breaks(spark):
     df = spark.createDataFrame([(1, "value one\nKey: rest", "ab The cd The ef")], "doc_id long, t string, text string")
     assert df.select(D.cut_at_keywords(F.col("t"), ["Key"]).alias("x")).first().x == "value one"
     assert D.breaks_before(df, ["The "], 4).first().text == "ab The cd \nThe ef"
+
+
+def test_near_duplicates_have_members_and_null_blocks(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(1, a, "en"), (2, a, "en"), (3, b, "en"), (4, a, None), (5, b, None), (6, b, None), (7, "", None), (8, None, "en"), (9, a, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (1, 1000):  # 1: every shared shingle is dealt into sub-blocks
+        assert {tuple(r) for r in P.near_duplicate_pairs(docs, "lang", meeting_rows=size).collect()} == {(1, 3), (4, 5)}
+    assert sorted(tuple(r) for r in P.near_duplicate_members(docs, "lang").collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9)]
