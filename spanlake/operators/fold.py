@@ -73,7 +73,24 @@ def breaks_after_values(docs: DataFrame, budget: int) -> DataFrame:
     wanted = F.filter("values", lambda v: F.length(F.trim(v)) >= 3)
     pattern = F.concat(F.lit("(?<="), F.array_join(F.transform(wanted, lambda v: F.concat(F.lit("\\Q"), F.trim(v), F.lit("\\E"))), "|"), F.lit(")"))
     pieces = F.when(F.size(wanted) > 0, F.expr("split(text, pattern)")).otherwise(F.array("text"))
-    rows = docs.withColumn("pattern", pattern).withColumn("pieces", pieces)
+    return _broken(docs.withColumn("pattern", pattern).withColumn("pieces", pieces), budget)
+
+
+def breaks_after_words(docs: DataFrame, budget: int) -> DataFrame:
+    """``breaks_after_values`` of docs(doc_id, text) where all words between blanks of a text are its values.
+
+    Any such word of 3 characters or more ends a piece.  Inside of words, only those are looked for that occur before a word's end.
+    """
+    rows = docs.select("doc_id", "text", F.array_distinct(F.split("text", " ")).alias("values"))
+    rows = rows.withColumn("heads", F.array_join(F.transform("values", lambda v: F.left(v, F.length(v) - 1)), " "))
+    inner = F.filter("values", lambda v: (F.length(v) >= 3) & F.contains(F.col("heads"), v))
+    quoted = F.transform("inner", lambda v: F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    ends = F.lit(r"(?<=[^ ]{3,6})(?= |\z)")  # Java looks back by code units, of which 3 characters take up to 6
+    pattern = F.when(F.size("inner") > 0, F.concat(ends, F.lit("|(?<="), F.array_join(quoted, "|"), F.lit(")"))).otherwise(ends)
+    return _broken(rows.withColumn("inner", inner).withColumn("pattern", pattern).withColumn("pieces", F.expr("split(text, pattern)")), budget)
+
+
+def _broken(rows: DataFrame, budget: int) -> DataFrame:
     packed = F.array_join(F.transform(pack(F.col("pieces"), T.token_count, budget), lambda c: F.array_join(c, "")), "\n\n")
     return rows.select("doc_id", F.when(T.token_count(F.col("text")) <= budget, F.col("text")).otherwise(packed).alias("text"))
 

@@ -88,8 +88,7 @@ def h8(spark, d):
 
 @query("e8_breaks_after_values")
 def e8(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.slice(F.split("text", " "), 1, 40).alias("values"))
-    return D.breaks_after_values(docs, 100).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return D.breaks_after_words(table(spark, d, "documents"), 100).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 @query("e10_sentence_chunks")

@@ -1,7 +1,11 @@
 """Folds on small literals: texts are kept whole, budgets hold."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from spanlake.operators import compose as P
 from spanlake.operators import fold as D
 
@@ -45,3 +49,36 @@ def test_near_duplicates_have_members_and_null_blocks(spark):
     for size in (1, 1000):  # 1: every shared shingle is dealt into sub-blocks
         assert {tuple(r) for r in P.near_duplicate_pairs(docs, "lang", meeting_rows=size).collect()} == {(1, 3), (4, 5)}
     assert sorted(tuple(r) for r in P.near_duplicate_members(docs, "lang").collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9)]
+
+
+def test_breaks_after_words_of_the_whole_text(spark):
+    """Against brute force; and the registered query's values aren't a text's first words only."""
+
+    def brute(text, budget):
+        values = {v for v in text.split(" ") if len(v) >= 3}
+        tokens = lambda t: len(re.findall(r"[\u4e00-\u9fff]|[A-Za-z0-9]+|[^\w \t\n\r\x0b\x0c\xa0\u3000]", t))
+        if tokens(text) <= budget:
+            return text
+        cuts = [p for p in range(1, len(text) + 1) if any(text[:p].endswith(v) for v in values)]
+        pieces, out, n = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])], [], 0
+        for x in pieces:
+            k = tokens(x)
+            if out and n + k <= budget:
+                out[-1], n = out[-1] + x, n + k
+            else:
+                out, n = [*out, x], k
+        return "\n\n".join(out)
+
+    rnd = random.Random(3)
+    parts = ["ab", "abc", "abcab", "cabc", "\U0001f600\U0001f600", "\U0001f600abc", "x\\Ey", "a\nb", "a.c", "", "é", "long" * 3]
+    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 60))) for _ in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (80, ""), (81, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in D.breaks_after_words(docs, 7).collect()}
+    assert got == {i: brute(t, 7) for i, t in enumerate([*texts, ""])} | {81: None}
+
+
+def test_e8_takes_values_from_the_whole_text(spark, tmp_path):
+    words = " ".join(f"w{i:03}" for i in range(400))
+    spark.createDataFrame([(1, words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = __spark_entry__.queries()["e8_breaks_after_values"](spark, str(tmp_path)).first()
+    assert r.n == len(words) + 2 * 3  # breaks after 100, 200 and 300 words
