@@ -7,7 +7,8 @@ query set is met in blocks, so neither side is ever held whole, and each task ke
 
 Components become ``floor(256 * x)``, and scores are integer inner products.  Vectors that are null, hold null or
 non-finite components, or differ in length from the query take no part.  Ties go to the smaller id.  Rows with equal
-ids are separate candidates, but never of their own id.  Extra columns are ignored.
+ids are separate candidates, but never of their own id; query rows with equal ids each have a list of their own, ranks
+1 to k.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,9 +111,9 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                     order = np.lexsort((ids, -s.astype(np.float64)))[:k] if s.dtype != object else sorted(range(len(s)), key=lambda j: (-s[j], ids[j]))[:k]
                     own[i] = ids[order], s[order]
         for block, own in best.items():
-            rows = [(int(names[block][i]), int(v), int(s)) for i, (ids, scores) in own.items() for v, s in zip(ids, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+            rows = [(block, i, int(names[block][i]), int(v), int(s)) for i, (ids, scores) in own.items() for v, s in zip(ids, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], ["block", "place", "query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(scan, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = pairs.mapInArrow(scan, "block long, place long, query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

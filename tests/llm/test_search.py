@@ -33,6 +33,13 @@ def test_search_equals_brute_force(spark, scale):
     assert got == brute(rows, 5)
 
 
+def test_query_rows_of_one_id_have_lists_of_their_own(spark):
+    up, down = [float(i) for i in range(1, 9)], [float(-i) for i in range(1, 9)]
+    rows = [(50, [1.0]), (50, [1.0]), (50, [-1.0]), *((i, [v]) for i, v in enumerate(up + down, 1))]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 50, 5).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == sorted([*((k, 9 - k) for k in range(1, 6)), *((k, 9 - k) for k in range(1, 6)), *((k, 17 - k) for k in range(1, 6))])
+
+
 def test_search_of_nothing(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).collect() == []
 
