@@ -4,7 +4,8 @@ Each task asks an in-process DuckDB: token-position rows of the words join the m
 lowest rank of each word is contracted, and this recurs until no word has a pair left.  Between rounds a word is a
 string with one character per token.  Decoding joins (row, place, id) rows with the vocabulary and aggregates the
 bytes in order.  Each distinct word is encoded, and its ids decoded, once as long as a worker remembers it.  Words of
-over 256 bytes would take a round per merge; they are contracted from a heap, in the same order.
+over 256 bytes would take a round per merge, and each round all places of the word; they are contracted from a heap, in
+the same order (README has figures).
 
 The vocabulary is a file of fixed size, so it is broadcast.  Null is the empty text, which has no tokens.  Every row
 gives a row; extra columns are ignored.
@@ -18,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import lean, prepare
 
-#: Words and pieces remembered in a worker at most; then it starts anew.
-REMEMBERED = 600_000
+#: Words of a generation that a worker remembers; it keeps two, and a word that is used again moves to the younger one.
+GENERATION = 200_000
 #: Words of one recursive query; its rounds' rows are what it takes memory for.
 LEARNED = 25_000
+#: Text that is looked at together.
+STEP_BYTES = 6 << 20
 LONG = 256
 #: Over any place in a word.
 PLACES = 1 << 20
@@ -34,11 +38,11 @@ ENCODE = f"""
 WITH RECURSIVE step(word, tokens) USING KEY (word) AS (
     SELECT word, tokens FROM words
     UNION
-    SELECT word, tokens[:best % {PLACES} - 1] || merged || tokens[best % {PLACES} + 2:]
+    SELECT word, substr(tokens, 1, best % {PLACES} - 1) || chr((best // {PLACES})::INT) || substr(tokens, best % {PLACES} + 2)
     FROM (
-        SELECT word, any_value(tokens) AS tokens, arg_min(merged, rank * {PLACES} + place) AS merged, min(rank * {PLACES} + place) AS best
+        SELECT word, any_value(tokens) AS tokens, min(merged * {PLACES} + place) AS best
         FROM (SELECT word, tokens, unnest(range(1, length(tokens))) AS place FROM step WHERE length(tokens) > 1) AS positions
-        JOIN merges ON merges.pair = positions.tokens[place:place + 1]
+        JOIN merges ON merges.pair = substr(positions.tokens, place, 2)
         GROUP BY word
     )
 )
@@ -48,8 +52,8 @@ DECODE = "SELECT doc, string_agg(piece, '' ORDER BY place) AS piece FROM positio
 
 
 def character(i: int) -> str:
-    """A character for a token: from U+0100 on, without the surrogates."""
-    return chr(i + 256 if i + 256 < 0xD800 else i + 0x10000)
+    """A character for a token, in the order of ranks: from U+0001 on, without the surrogates."""
+    return chr(i + 1 if i + 1 < 0xD800 else i + 0x801)
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -71,12 +75,12 @@ class Codec:
         self.id = {c: i.to_bytes(4, "little") for i, c in self.character.items()}
         pairs = [(a, b, i) for t, i in self.rank.items() for cut in range(1, len(t)) if (a := self.rank.get(t[:cut])) is not None and (b := self.rank.get(t[cut:])) is not None]
         self.byte = [self.character[self.rank[bytes([b])]] for b in range(256)]
-        merges = {"pair": [self.character[a] + self.character[b] for a, b, _ in pairs], "rank": pa.array([i for *_, i in pairs], pa.int64()), "merged": [self.character[i] for *_, i in pairs]}
-        self._load("merges", pa.table(merges))
+        merged = pa.array([ord(self.character[i]) for *_, i in pairs], pa.int64())  # lower ranks first
+        self._load("merges", pa.table({"pair": [self.character[a] + self.character[b] for a, b, _ in pairs], "merged": merged}))
         # Bytes as text, one character each, for the ordered aggregation.
         self._load("vocabulary", pa.table({"id": pa.array(list(self.rank.values()), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in self.rank])}))
-        self.words: dict[str, tuple[bytes, bytes]] = {}  # matches of the pattern: ids, decoded
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}  # texts between spaces
+        self.young: dict[str, tuple[bytes, bytes]] = {}  # matches of the pattern: ids, decoded
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("loading", table)
@@ -130,11 +134,21 @@ class Codec:
                 out[d] = piece.encode("latin-1")
         return out
 
-    def learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), LEARNED):
-            some = words[lo : lo + LEARNED]
-            ids = self.encode([w.encode() for w in some])
-            self.words.update(zip(some, zip(ids, self.decode(ids), strict=True), strict=True))
+    def known(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded) of each of the distinct ``words``, remembered or learnt."""
+        found = list(map(self.young.get, words))
+        for at in [at for at, x in enumerate(found) if x is None] if self.old else ():
+            found[at] = self.old.get(words[at])
+        fresh = [at for at, x in enumerate(found) if x is None]
+        for lo in range(0, len(fresh), LEARNED):
+            some = fresh[lo : lo + LEARNED]
+            ids = self.encode([words[at].encode() for at in some])
+            for at, pair in zip(some, zip(ids, self.decode(ids), strict=True), strict=True):
+                found[at] = pair
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(words, found, strict=True))
+        return found
 
 
 _codecs: dict[str, Codec] = {}
@@ -147,12 +161,63 @@ def codec(path: str, tokens: list[bytes]) -> Codec:
     return _codecs[path]
 
 
-def _pieces(text: str, white) -> list[str] | None:
-    """The text cut before each single space, if matches of the pattern never reach over such a cut; else None."""
-    if text[0].isspace() or text[-1].isspace() or white(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *(f" {x}" for x in rest)]
+#: Texts with white space beside a space, at an end, or with U+0000; matches may reach over a space of these.
+SPACE = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE = rf" [{SPACE}]|[{SPACE}] |\A[{SPACE}]|[{SPACE}]\z|\x00"
+
+
+def _pieces(texts: pa.Array) -> pa.ListArray:
+    """The texts cut before each space."""
+    return pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+
+
+def _matches(pieces: pa.Array, find) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The matches in all pieces, where each piece's begin among them, and the pieces' places in that order.
+
+    Pieces that begin with a space come first, as one text, since no match reaches over such a space.
+    """
+    first = pc.starts_with(pieces, " ")
+    spaced, others = pieces.filter(first), pieces.filter(pc.invert(first)).to_pylist()
+    found = find("".join(spaced.to_pylist()))
+    ends = np.cumsum(pc.utf8_length(spaced).to_numpy(zero_copy_only=False))
+    bounds = np.searchsorted(np.cumsum(list(map(len, found))), ends, "right")
+    alone = [find(p) for p in others]
+    order = np.argsort(~first.to_numpy(zero_copy_only=False), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bounds = np.r_[0, bounds, len(found) + np.cumsum(list(map(len, alone)), dtype=np.int64)].astype(np.int64)
+    return found + [w for ws in alone for w in ws], bounds, place
+
+
+def _strung(values: pa.Array, which: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """For each row the bytes of ``values`` that ``which[bounds[row]:bounds[row + 1]]`` names, in order."""
+    taken = values.take(which)
+    offs = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    data = taken.buffers()[2] if len(taken) else None
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs[bounds])), data if data is not None else pa.py_buffer(b"")])
+
+
+def encode_texts(texts: pa.Array, known: Codec, find) -> tuple[pa.Array, pa.Array]:
+    """The ids and the decoded bytes of each text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    odd = pc.match_substring_regex(texts, WHITE)
+    even, rest = texts.filter(pc.invert(odd)), texts.filter(odd).to_pylist()
+    cut = _pieces(even)
+    spelled = cut.flatten().dictionary_encode()
+    matches, piece_bounds, place = _matches(spelled.dictionary, find)
+    spelled = pa.array(place[spelled.indices.to_numpy()])
+    own = [find(t) for t in rest]
+    all_words = pa.array([*matches, *(w for ws in own for w in ws)], pa.large_string()).dictionary_encode()
+    pairs = known.known(all_words.dictionary.to_pylist())
+    order = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    out = []
+    offs = np.asarray(cut.offsets) - (cut.offsets[0].as_py() if len(cut) else 0) if len(cut) else np.zeros(1, np.int64)
+    for part in (0, 1):
+        values = pa.array([p[part] for p in pairs], pa.large_binary())
+        pieces = _strung(values, all_words.indices[: len(matches)], piece_bounds)
+        both = [_strung(pieces, spelled, offs), _strung(values, all_words.indices[len(matches) :], np.r_[0, np.cumsum([len(ws) for ws in own], dtype=np.int64)])]
+        out.append(pa.concat_arrays(both).take(pa.array(order)))
+    return out[0], out[1]
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -165,28 +230,15 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import regex
 
         known, find = codec(path, vocabulary.value), regex.compile(pattern).findall
-        # A space beside other white space: there, a run of white space is not cut at its spaces.
-        white = regex.compile(r" \s|\s ").search
-
-        def join(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-            return b"".join([i for i, _ in parts]), b"".join([d for _, d in parts])
-
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 1024):
-                if len(known.pieces) + len(known.words) > REMEMBERED:
-                    known.pieces.clear()
-                    known.words.clear()
-                pieces, words = known.pieces, known.words
-                cut = [_pieces(t, white) if t else [] for t in texts[lo : lo + 1024]]
-                fresh = {x: find(x) for x in {x for p in cut for x in p or () if x not in pieces}}
-                odd = [find(t) if p is None else None for t, p in zip(texts[lo : lo + 1024], cut, strict=True)]
-                known.learn(sorted({w for ws in (*fresh.values(), *(o for o in odd if o)) for w in ws if w not in words}))
-                pieces.update((x, join([words[w] for w in ws])) for x, ws in fresh.items())
-                rows = [join([words[w] for w in o] if o is not None else [pieces[x] for x in p]) for p, o in zip(cut, odd, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(cut)).cast(pa.int64()), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([i for i, _ in rows], pa.binary()), pa.array([d for _, d in rows], pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+            sizes = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                before = int(sizes[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, before + STEP_BYTES, "right")))
+                ids, decoded = encode_texts(b.column("text").slice(lo, hi - lo), known, find)
+                n = pc.divide(pc.binary_length(ids), pa.scalar(4, pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), n.cast(pa.int64()), ids.cast(pa.binary()), decoded.cast(pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+                lo = hi
 
     return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n_tokens long, ids binary, decoded binary")
