@@ -10,13 +10,13 @@ language first in order.  Every row gives a row; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import textscan as T
 from .tables import lean, prepare
@@ -82,7 +82,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             for c in T.chunks(b.column("text")):
                 own = lang[c.first : c.first + c.rows]
                 for h, row in _scan(c)[1]:
-                    total += np.bincount(own[row] * BUCKETS + h, minlength=total.size).reshape(total.shape)
+                    of = own[row]
+                    for i in np.unique(own):
+                        total[i] += np.bincount(h[of == i], minlength=BUCKETS)
         for i, t in enumerate(total):
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(t[at])], ["lang", "bucket", "n"])
@@ -96,33 +98,44 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, logs, np.log(n / n.sum()) if langs else n
 
 
+def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray]):
+    """A column function from texts to (lang_pred, score) by ``train``'s model; the texts themselves stay where they are."""
+    langs, logs, prior = model
+    shared = spark.sparkContext.broadcast((logs, prior))
+    # A chunk's rows of log-probabilities take some 16 MB.
+    size = min(T.CHUNK, max(1 << 16, (2 << 20) // max(1, len(langs))))
+
+    def of(texts: pa.Array) -> pa.Array:
+        logs, prior = shared.value
+        pred, score = [], []
+        for c in T.chunks(texts, size):
+            known, grams = _scan(c)
+            if not langs:
+                pred += [UNKNOWN] * c.rows
+                score.append(np.zeros(c.rows))
+                continue
+            s = np.tile(prior, (c.rows, 1))
+            for h, row in grams:
+                for lo in range(0, len(h), size):  # a text longer than a chunk
+                    s += _sum_rows(logs[h[lo : lo + size]], row[lo : lo + size], c.rows)
+            best = s.argmax(1)
+            p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+            pred += [langs[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
+            score.append(np.where(known, p, 0.0))
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], ["lang_pred", "score"])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(lambda arrays: map(of, arrays))(texts)
+
+    return predict
+
+
 def identify(docs: DataFrame, training: Column) -> DataFrame:
     """One row per row of ``docs``: its columns, lang_pred and score (in place of columns of these names); learns from rows where ``training``."""
     spark = docs.sparkSession
     prepare(spark)
-    langs, logs, prior = train(docs.filter(training))
-    shared = spark.sparkContext.broadcast((logs, prior))
-
-    def predict(batches):
-        logs, prior = shared.value
-        size = max(1 << 16, (2 << 20) // max(1, len(langs)))
-        for b in batches:
-            pred, score = [], []
-            for c in T.chunks(b.column("text"), size):
-                known, grams = _scan(c)
-                if not langs:
-                    known = np.zeros(c.rows, bool)
-                    pred += [UNKNOWN] * c.rows
-                    score.append(np.zeros(c.rows))
-                    continue
-                s = np.tile(prior, (c.rows, 1))
-                for h, row in grams:
-                    s += _sum_rows(logs[h], row, c.rows)
-                best = s.argmax(1)
-                p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-                pred += [langs[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
-                score.append(np.where(known, p, 0.0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], [*b.schema.names, "lang_pred", "score"])
-
-    kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
-    return kept.mapInArrow(lean(predict), StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double"))
+    predict = predictor(spark, train(docs.filter(training)))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    name = next(n for n in (f"found{i}" for i in range(len(kept) + 1)) if n not in kept)
+    return docs.select(*kept, predict("text").alias(name)).select(*kept, f"{name}.lang_pred", f"{name}.score")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between Spark and Python; long texts are bounded by the bytes.
 ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
+#: Bytes that a task holds of a table it writes.
+ROW_GROUP = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -52,7 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,7 +69,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"spanlake_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).format("parquet").saveAsTable(name)
+    df.repartition(n, key).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(n, key).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
