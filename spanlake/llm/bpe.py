@@ -150,6 +150,10 @@ class Codec:
         self.young.update(zip(words, found, strict=True))
         return found
 
+    def forget(self) -> None:
+        self.young.clear()
+        self.old.clear()
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -230,6 +234,12 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import regex
 
         known, find = codec(path, vocabulary.value), regex.compile(pattern).findall
+        try:
+            yield from spelt(batches, known, find)
+        finally:
+            known.forget()  # the worker may be kept for tasks of other kinds
+
+    def spelt(batches, known: Codec, find) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             lo = 0

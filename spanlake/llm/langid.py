@@ -128,7 +128,7 @@ def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarra
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from lean(lambda arrays: map(of, arrays))(texts)
 
-    return predict
+    return predict.asNondeterministic()  # or a filter on the prediction would run it a second time
 
 
 def identify(docs: DataFrame, training: Column) -> DataFrame:
