@@ -5,15 +5,17 @@ signatures that differ in at most 29 symbols have a chunk with at most one diffe
 share one of the 3 pairs of symbols of that chunk: each document is filed under 48 such pairs.  At a similarity of
 0.75 a symbol differs with probability 1/4; more than 29 of 48 differ once in some ten million pairs.
 
-Documents with equal sets are one class, filed once.  Candidates are checked on their full shingle sets.  Members of
-a bucket are first compared with its centre, the member whose symbols the others share most: that joins a group of
-copies with few checks each.  What is left in different components is then compared within the bucket by a longer
-signature.  Passing pairs aren't emitted, only the homes (groups by nearest centre, of bounded size) that they lie
-between; the members of such homes meet once and are compared on full sets.  A bucket too large for that is filed again under pairs of its members' other
-chunks, for which the same guarantee holds.
+Documents with equal sets (told by their sizes and two 64-bit sums) are one class, filed once.  Candidates are checked
+on their full shingle sets.  Members of a bucket are first compared with its centre, the member whose symbols the
+others share most: that joins a group of copies with few checks each.  A bucket is dealt into blocks of bounded size
+with a centre each, and these centres meet again.  What is left in different components is then compared within the
+bucket: rows outside the bucket's largest component against all its rows, block by block.  Passing pairs aren't
+emitted, only the homes (groups by nearest centre) that they lie between; the members of such homes meet once and are
+compared on full sets.
 
 Null and empty texts have no shingles and no links.  A text of fewer words than a shingle is one shingle.  Rows of one
-id count as one document.  Extra columns are ignored.
+id are one document, so their texts are linked; if ``row`` names a column that numbers the rows, each row is a document
+of its own.  Classes that have null ids alone are linked with nothing.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +34,29 @@ from .tables import lean, materialize, prepare
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
 DISTANCE = 29
-#: Further symbols, of 8 bits, and how many of all symbols agree at least; at 0.75 three quarters do, and fewer than
-#: this are 5.4 standard deviations off.
-FURTHER, AGREE = 144, 112
-#: Sets of a centre's members that are checked together.
-HOME_ROWS = 512
+#: Sets of a centre's members that are checked together, about.
+HOME_ROWS = 128
+#: Rows of a bucket that meet in one place, about.
+BLOCK_ROWS = 2048
+#: Pairs of rows that are looked at together.
+PAIRS = 1 << 17
 #: Links need intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
-BUCKET_LIMIT = 20_000
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    n = SYMBOLS + FURTHER
-    x = T.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(T.MIX_2))
-    return x[:n] | np.uint64(1), x[n:]
+    x = T.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(T.MIX_2))
+    return x[:SYMBOLS] | np.uint64(1), x[SYMBOLS:]
+
+
+def _sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The size of each set and two sums that stand for it."""
+    n = np.array([len(s) for s in sets], np.int64)
+    s1, s2, full = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(full):
+        flat, at = np.concatenate(sets), np.r_[0, np.cumsum(n[full])[:-1]]
+        s1[full], s2[full] = np.add.reduceat(flat, at), np.add.reduceat(T.mix(flat ^ np.uint64(T.BASE)), at)
+    return n, s1.view(np.int64), s2.view(np.int64)
 
 
 def shingle_rows(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -69,36 +80,30 @@ def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
         mul, add = _multipliers()
         for b in batches:
             sets = list(shingle_rows(b.column("text"), size))
-            n = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            sig = np.zeros((len(n), SYMBOLS + FURTHER), np.uint64)
+            n, s1, s2 = _sums(sets)
+            sig = np.zeros((len(n), SYMBOLS), np.uint64)
             full = np.flatnonzero(n)
             if len(full):
-                at = np.r_[0, np.cumsum(n[full])[:-1]]
-                s1[full], s2[full] = np.add.reduceat(flat, at), np.add.reduceat(T.mix(flat ^ np.uint64(T.BASE)), at)
+                flat, at = np.concatenate(sets), np.r_[0, np.cumsum(n[full])[:-1]]
                 step = 1 << 18  # cache-sized runs
                 edges = np.searchsorted(at, np.arange(0, len(flat) + step, step))
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     if lo == hi:
                         continue
                     part = flat[at[lo] : at[hi] if hi < len(at) else len(flat)]
-                    for j in range(SYMBOLS + FURTHER):
+                    for j in range(SYMBOLS):
                         sig[full[lo:hi], j] = np.minimum.reduceat((part ^ add[j]) * mul[j], at[lo:hi] - at[lo])
-            sig = T.mix(sig)
-            short = np.hstack([(sig[:, :SYMBOLS] >> np.uint64(32)).astype("<u4").view(np.uint8), (sig[:, SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
+            short = (T.mix(sig) >> np.uint64(32)).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary()), *b.columns[2:]],
+                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in short], pa.binary()), *b.columns[2:]],
                 ["doc_id", "n", "s1", "s2", "sig", *(["row"] if row else [])],
             )
 
     return docs.select("doc_id", "text", *own).mapInArrow(lean(scan), "doc_id long, n long, s1 long, s2 long, sig binary" + (", row long" if row else ""))
 
 
-def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols and the further ones."""
-    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * SYMBOLS + FURTHER)
-    return np.ascontiguousarray(both[:, : 4 * SYMBOLS]).view("<u4"), both[:, 4 * SYMBOLS :]
+def _symbols(column: pa.Array, dtype="<u4") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, SYMBOLS)
 
 
 def _pair_keys(sig: np.ndarray) -> np.ndarray:
@@ -112,116 +117,152 @@ def _pair_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def file_under(reps: DataFrame) -> DataFrame:
-    """(rep, slot, key) rows; the slot tells which pair of symbols."""
+    """(rep, key) rows, 48 of each signature."""
 
     def scan(batches):
         for b in batches:
-            keys = _pair_keys(_symbols(b.column("sig"))[0]) if b.num_rows else np.zeros((0, SYMBOLS), np.uint64)
+            keys = _pair_keys(_symbols(b.column("sig"))) if b.num_rows else np.zeros((0, SYMBOLS), np.uint64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SYMBOLS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("rep"), lists], ["rep", "keys"])
 
-    return reps.select("rep", "sig").mapInArrow(lean(scan), "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("slot", "key"))
+    return reps.select("rep", "sig").mapInArrow(lean(scan), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+
 
+def shortened(reps: DataFrame) -> DataFrame:
+    """``reps`` with 16 bits of each symbol: equal symbols stay equal, so what these rule out the whole ones do."""
 
-COLUMNS = ("key", "rep", "n", "label", "slot")
+    def scan(batches):
+        for b in batches:
+            x = (_symbols(b.column("sig")) >> np.uint32(16)).astype("<u2")
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], ["rep", "n", "sig"])
 
+    return reps.select("rep", "n", "sig").mapInArrow(lean(scan), "rep long, n long, sig binary")
 
-def _by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work(key, rep, n, label, slot, symbols, further)`` over whole buckets of rows."""
+
+def _by_unit(rows: DataFrame, columns: tuple[str, ...], work, schema: str) -> DataFrame:
+    """``work(unit, *columns, symbols)`` over runs of whole units of ``rows``."""
 
     def scan(batches):
-        held = None  # rows of the last key, which may go on in the next batch
+        held: list[list[np.ndarray]] = []  # rows of the last unit, which may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [*(b.column(c).to_numpy() for c in COLUMNS), *_symbols(b.column("sig"))]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("unit", *columns)), _symbols(b.column("sig"), "<u2")]
             cut = int(np.searchsorted(now[0], now[0][-1]))
-            held = [x[cut:] for x in now]
+            if held and held[-1][0][-1] != now[0][0]:
+                yield work(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
             if cut:
-                yield work(*(x[:cut] for x in now))
-        if held is not None:
-            yield work(*held)
+                yield work(*map(np.concatenate, zip(*held, [x[:cut] for x in now], strict=True)))
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
+            yield work(*map(np.concatenate, zip(*held, strict=True)))
 
-    return rows.select(*COLUMNS, "sig").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lean(scan), schema)
+    return rows.select("unit", *columns, "sig").repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(scan), schema)
 
 
 def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
 
 
-def _to_centre(key, rep, n, label, slot, sig, further) -> pa.RecordBatch:
-    """(a, b, agree): each member b of a bucket with its centre a, whose symbols agree with most others' symbols.
+def _to_centre(unit, bucket, rep, n, sig) -> pa.RecordBatch:
+    """(a, b, near): each member b of a unit with its centre a, whose symbols agree with most others' symbols; and the
+    centre itself with its bucket.
 
-    Counting equal symbols takes no pairs, however large the bucket is.
+    Counting equal symbols takes no pairs.
     """
-    new = np.r_[True, key[1:] != key[:-1]]
-    bucket = np.cumsum(new) - 1
-    common = np.zeros(len(key), np.int64)
+    new = np.r_[True, unit[1:] != unit[:-1]]
+    number = np.cumsum(new) - 1
+    common = np.zeros(len(unit), np.int64)
     for j in range(SYMBOLS):
-        _, which, count = np.unique((bucket.astype(np.uint64) << np.uint64(32)) | sig[:, j], return_inverse=True, return_counts=True)
+        _, which, count = np.unique((number.astype(np.uint64) << np.uint64(16)) | sig[:, j], return_inverse=True, return_counts=True)
         common += count[which]
-    order = np.lexsort((rep, -common, bucket))
-    centre = order[np.flatnonzero(new)][bucket]
+    order = np.lexsort((rep, -common, number))
+    first = order[np.flatnonzero(new)]
+    centre = first[number]
     near = (sig == sig[centre]).sum(1)
-    agree = near + (further == further[centre]).sum(1)
-    ok = (rep != rep[centre]) & (near >= SYMBOLS - DISTANCE) & (agree >= AGREE) & _sizes_allow(n, n[centre])
-    return pa.RecordBatch.from_arrays([pa.array(rep[centre][ok]), pa.array(rep[ok]), pa.array(agree[ok].astype(np.int32))], ["a", "b", "agree"])
+    ok = (rep != rep[centre]) & (near >= SYMBOLS - DISTANCE) & _sizes_allow(n, n[centre])
+    out = [np.r_[rep[centre][ok], rep[first]], np.r_[rep[ok], rep[first]], np.r_[near[ok], np.zeros(len(first), np.int64)], np.r_[bucket[ok], bucket[first]]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "near", "bucket"])
+
 
+def stars(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, near): members b of the buckets ``members(key, rep, members)`` that may be linked with their centres a."""
+    schema = "a long, b long, near long, bucket long"
+    block = F.when(F.col("members") > BLOCK_ROWS, F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK_ROWS))).otherwise(F.lit(0))
+    rows = members.select(F.xxhash64("key", block).alias("unit"), "rep", F.when(F.col("members") > BLOCK_ROWS, F.col("key")).alias("bucket"))
+    found = materialize(_by_unit(rows.join(reps, "rep").withColumn("bucket", F.coalesce("bucket", F.lit(0).cast("long"))), ("bucket", "rep", "n"), _to_centre, schema).filter("a <> b or bucket <> 0").distinct())
+    # The centres of a large bucket's blocks are its members once more.
+    again = found.filter("a = b").select(F.col("bucket").alias("unit"), F.lit(0).cast("long").alias("bucket"), F.col("a").alias("rep"))
+    more = _by_unit(again.join(reps, "rep"), ("bucket", "rep", "n"), _to_centre, schema)
+    return materialize(found.unionByName(more).filter("a <> b").select("a", "b", "near").distinct())
 
-def _may_link(i, j, n, label, sig, further) -> tuple[np.ndarray, np.ndarray]:
+
+def _may_link(i, j, n, label, sig) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (i, j) in different components whose sizes and signatures allow a link."""
     ok = (label[i] != label[j]) & _sizes_allow(n[i], n[j])
     i, j = i[ok], j[ok]
-    agree = (further[i] == further[j]).sum(1)
-    ok = agree >= AGREE - SYMBOLS
-    i, j, agree = i[ok], j[ok], agree[ok]
-    near = (sig[i] == sig[j]).sum(1)
-    ok = (near >= SYMBOLS - DISTANCE) & (agree + near >= AGREE)
+    ok = (sig[i] == sig[j]).sum(1) >= SYMBOLS - DISTANCE
     return i[ok], j[ok]
 
 
-def _across(key, home, n, label, slot, sig, further) -> pa.RecordBatch:
-    """(a, b): homes that have members in one bucket, of different components, that may be linked."""
-    out, left = [np.zeros((0, 2), np.int64)], np.arange(len(key))
-    for d in range(1, len(key)):
-        left = left[left + d < len(key)]
-        left = left[key[left] == key[left + d]]
-        if not len(left):
-            break
-        i, j = _may_link(left, left + d, n, label, sig, further)
+def _across(unit, home, n, label, left, right, sig) -> pa.RecordBatch:
+    """(a, b): homes of left and right rows of one unit, of different components, that may be linked."""
+    rights, lefts = np.flatnonzero(right), np.flatnonzero(left)
+    lo, hi = np.searchsorted(unit[rights], unit[lefts], "left"), np.searchsorted(unit[rights], unit[lefts], "right")
+    counts = hi - lo
+    steps = np.searchsorted(np.cumsum(counts), np.arange(0, int(counts.sum()) + PAIRS, PAIRS), "right")
+    steps = np.unique(np.r_[0, steps, len(lefts)])
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(steps[:-1], steps[1:], strict=True):
+        c = counts[a:b]
+        i = np.repeat(lefts[a:b], c)
+        j = rights[np.repeat(lo[a:b] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(len(i))]
+        i, j = _may_link(i, j, n, label, sig)
         out.append(np.unique(np.c_[np.minimum(home[i], home[j]), np.maximum(home[i], home[j])], axis=0))
     found = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def _refile(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets under (bucket, pair of another chunk): equal in both buckets are at most smaller groups."""
-
-    def scan(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = _symbols(b.column("sig"))[0]
-            key, slot = b.column("key").to_numpy().view(np.uint64), b.column("slot").to_numpy()
-            new = _pair_keys(sig)
-            r, k = np.nonzero(np.arange(SYMBOLS)[None] // CHUNK != slot[:, None] // CHUNK)  # the bucket's own chunk says nothing new
-            at = pa.array(r)
-            again = pa.array(T.mix(key[r] ^ new[r, k] * np.uint64(T.BASE)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([again, *(b.column(c).take(at) for c in ("rep", "n", "label")), pa.array(np.full(len(r), -1, np.int32)), b.column("sig").take(at)], [*COLUMNS, "sig"])
+def across(members: DataFrame, people: DataFrame) -> DataFrame:
+    """(a, b): homes with members in one bucket of ``members(key, rep)`` that may be linked and aren't in one component.
 
-    return rows.select(*COLUMNS, "sig").mapInArrow(lean(scan), "key long, rep long, n long, label long, slot int, sig binary")
+    Rows outside a bucket's largest component meet all its rows, block by block.
+    """
+    labelled = members.select("key", "rep").join(people.select("rep", "label"), "rep")
+    sizes = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.sum("count").alias("m"), F.max("count").alias("most")).filter("most < m")
+    rows = members.select("key", "rep").join(sizes, "key").join(people.select("rep", "home", "n", "label", "sig"), "rep")
+    minor = F.col("label") != F.col("top")
+    a, b = (F.ceil(x / F.lit(BLOCK_ROWS)) for x in (F.col("m") - F.col("most"), F.col("m")))
+    i, j = (F.pmod(F.xxhash64("rep"), x) for x in (a, b))
+    at = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0).cast("long")
+    wide = F.concat(
+        F.transform(F.sequence(zero, a - 1), lambda x: at(x, j, no, yes)),
+        F.when(minor, F.transform(F.sequence(zero, b - 1), lambda x: at(i, x, yes, no))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,left:boolean,right:boolean>>")),
+    )
+    places = F.explode(F.when((a == 1) & (b == 1), F.array(at(zero, zero, minor, yes))).otherwise(wide)).alias("p")
+    rows = rows.select("key", "home", "n", "label", "sig", places).select(F.xxhash64("key", "p.i", "p.j").alias("unit"), "home", "n", "label", "p.left", "p.right", "sig")
+    return _by_unit(rows, ("home", "n", "label", "left", "right"), _across, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles): the full sets of the documents ``ids(rep)``."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles): the full sets of ``classes(rep, low, n, s1, s2)``, from the texts of their smallest ids."""
+    wanted = classes.select(F.col("low").alias("doc_id"), "rep", "n", "s1", "s2")
 
     def sets_of(batches):
+        last = None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_rows(b.column("text"), size)], pa.binary())], ["rep", "shingles"])
+            sets = list(shingle_rows(b.column("text"), size))
+            rep, fit = b.column("rep").to_numpy(), np.ones(len(sets), bool)
+            for name, x in zip(("n", "s1", "s2"), _sums(sets), strict=True):
+                fit &= b.column(name).to_numpy() == x
+            at = [i for i in np.flatnonzero(fit) if rep[i] != last and (last := rep[i]) is not None]  # equal rows follow each other
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["rep", "shingles"])
 
-    return docs.select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(lean(sets_of), "rep long, shingles binary")
+    found = docs.select("doc_id", "text").join(wanted.hint("shuffle_merge"), "doc_id")
+    return found.select("rep", "text", "n", "s1", "s2").mapInArrow(lean(sets_of), "rep long, shingles binary").dropDuplicates(["rep"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -270,78 +311,82 @@ def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
     at = at.select("group", "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("home"), (F.col("a") == F.col("b")).alias("same"))
     rows = at.join(people, "home").select("group", "rep", "n", "label", (F.col("home") == F.col("a")).alias("left"), "same", "sig", "shingles")
 
-    def links(rep, n, label, left, same, sig, further, sets):
+    def links(rep, n, label, left, same, sig, sets):
         label, found = label.copy(), []
         mine, other = np.flatnonzero(left), np.flatnonzero(~left)
         for at, x in enumerate(mine):
             rest = mine[at + 1 :] if same[0] else other
-            for y in _may_link(np.full(len(rest), x), rest, n, label, sig, further)[1]:
+            for y in _may_link(np.full(len(rest), x), rest, n, label, sig)[1]:
                 if label[x] != label[y] and _similar(sets[x], sets[y]):
                     found.append((rep[x], rep[y]))
                     label[label == label[y]] = label[x]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def scan(batches):
-        held = None
+        held: list[list[np.ndarray]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "rep", "n", "label", "left", "same")), *_symbols(b.column("sig"))]
+            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "rep", "n", "label", "left", "same")), _symbols(b.column("sig"), "<u2")]
             sets = np.empty(b.num_rows, object)
             sets[:] = [np.frombuffer(x, np.uint64) for x in b.column("shingles").to_pylist()]
             now.append(sets)
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+            if held and held[-1][0][-1] != now[0][0]:
+                yield links(*map(np.concatenate, list(zip(*held, strict=True))[1:]))
+                held = []
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                yield links(*(x[lo:hi] for x in now[1:]))
-            held = [x[starts[-1] :] for x in now]
-        if held is not None:
-            yield links(*held[1:])
+                yield links(*map(np.concatenate, list(zip(*held, [x[lo:hi] for x in now], strict=True))[1:]))
+                held = []
+            held.append([x[starts[-1] :] for x in now])
+        if held:
+            yield links(*map(np.concatenate, list(zip(*held, strict=True))[1:]))
 
     return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(lean(scan), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT, row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept.
 
-    ``row`` names a column of longs that tells rows of one id apart; it is then returned as ``row``.
+    ``row`` names a column of longs that numbers the rows; it is then returned as ``row``.
     """
     prepare(docs.sparkSession)
     signed = materialize(sign(docs, size, row))
-    classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = materialize(classes.filter("rep is not null"))
+    classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"))
+    # Numbers are fixed once the table is written.
+    classes = materialize(classes.filter("low is not null").withColumn("rep", F.monotonically_increasing_id()))
     reps = classes.select("rep", "n", "sig")
 
     filed = file_under(reps)
     shared = filed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     members = materialize(filed.join(shared, "key"))
+    everyone = materialize(shortened(reps.join(members.select("rep").distinct(), "rep")))
 
-    rows = members.join(reps, "rep").select("key", "rep", "n", F.col("rep").alias("label"), "slot", "sig")
-    stars = materialize(_by_bucket(rows, _to_centre, "a long, b long, agree int").distinct())
+    star = stars(members, everyone)
     # At home with the centre that it is most like; large homes are dealt into blocks.
-    centres = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("centre")).withColumnRenamed("b", "rep")
+    centres = star.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("centre")).withColumnRenamed("b", "rep")
     blocks = centres.groupBy("centre").agg(F.ceil(F.count("*") / HOME_ROWS).alias("blocks"))
     centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
-    everyone = members.select("rep").distinct()
     homes = materialize(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
-    sets = materialize(shingle_sets(docs, everyone, size))
-    links = materialize(confirmed(stars, homes, sets))
+    sets = materialize(shingle_sets(docs, classes.join(everyone.select("rep"), "rep", "left_semi"), size))
+    links = materialize(confirmed(star, homes, sets))
     labels = components(links)
 
     of = homes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "home", F.coalesce("label", "rep").alias("label"))
-    people = materialize(of.join(reps, "rep"))
-    labelled = members.join(people.select("rep", "label"), "rep")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    rows = members.join(mixed, "key", "left_semi").join(people, "rep").select("key", F.col("home").alias("rep"), "n", "label", "slot", "sig", "members")
-    small, large = rows.filter(F.col("members") <= bucket_limit).drop("members"), rows.filter(F.col("members") > bucket_limit).drop("members")
-    more = materialize(_by_bucket(small.unionByName(_refile(large)), _across, "a long, b long").distinct())
-    if not more.isEmpty():
-        links = materialize(links.unionByName(linked_across(more, people.join(sets, "rep"))))
-        labels = components(links)
-
+    people = materialize(of.join(everyone, "rep"))
+    more = materialize(across(members, people))
+    new = linked_across(more, people.join(sets, "rep"))
+    classed = materialize(signed.drop("sig").join(classes.drop("sig"), ["n", "s1", "s2"], "left"))
+    if not row:
+        of_id = classed.filter("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
+        new = new.unionByName(of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")))
+    new = materialize(new)
+    if not new.isEmpty():
+        labels = components(links.unionByName(new))
+    labelled = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "low"), "rep")
+    lowest = materialize(labelled.join(labelled.groupBy("label").agg(F.min("low").alias("lowest")), "label").select("rep", "lowest"))
     return (
-        signed.join(classes.drop("sig"), ["n", "s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("label", "rep", "doc_id").alias("component_id"), *(["row"] if row else []))
+        classed.join(lowest, "rep", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("class_id"), F.coalesce("lowest", "low", "doc_id").alias("component_id"), *(["row"] if row else []))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    )

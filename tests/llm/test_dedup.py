@@ -1,13 +1,16 @@
 """Near duplicates and repeated passages against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import numpy as np
+from pyspark.sql import functions as F
 
+from spanlake.llm import neardup
 from spanlake.llm.neardup import near_duplicates
 from spanlake.llm.repeats import previous_factors, remove_repeats
 
@@ -35,10 +38,12 @@ def brute_components(rows):
     return sets, group
 
 
-def test_components_equal_brute_force(docs, rows):
+def test_components_equal_brute_force(docs, rows, monkeypatch):
     sets, group = brute_components(rows)
-    for limit in (20_000, 2):  # 2: every bucket counts as large and is filed again
-        out = near_duplicates(docs, bucket_limit=limit).collect()
+    for block in (2048, 2):  # 2: buckets are dealt into blocks
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+        monkeypatch.setattr(neardup, "HOME_ROWS", block)
+        out = near_duplicates(docs).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == Counter((i, len(sets[i]), group[i], i == group[i]) for i, *_ in rows)
 
 
@@ -48,6 +53,37 @@ def test_near_duplicates_of_nothing(no_docs, spark):
     assert [r.component_id for r in out] == [None, None]
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    x, y, z = (" ".join(f"{k}{i}" for i in range(40)) for k in "xyz")
+    docs = spark.createDataFrame([(1, x), (5, x + " more"), (5, y), (8, y), (9, z), (9, None), (None, z)], "doc_id long, text string").repartition(3)
+    out = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
+    assert out == {(1, 1, True), (5, 1, False), (8, 1, False), (9, 9, True), (None, 9, False)}
+    own = docs.withColumn("nr", F.monotonically_increasing_id())
+    out = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(own, row="nr").collect()}
+    assert out == {(1, 1, True), (5, 1, False), (5, 5, True), (8, 5, False), (9, 9, True), (None, 9, False)}
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    """A group of copies with other edits each, unlike texts around a common start, and exact copies; in blocks of 3."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 5
+    for _ in range(25):
+        w = base.copy()
+        for k in rnd.sample(range(60), rnd.randint(1, 4)):
+            w[k] = f"e{rnd.random()}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:12] + [f"u{k}_{i}" for i in range(12)]) for k in range(20)]
+    texts += [" ".join(base[:30] + [f"v{k % 3}_{i}" for i in range(20)] + [f"{k}"]) for k in range(12)]
+    rows = list(enumerate(texts))
+    sets, group = brute_components(rows)
+    for block in (2048, 3):
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+        monkeypatch.setattr(neardup, "HOME_ROWS", block)
+        out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {r.doc_id: r.component_id for r in out} == group
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     for i, t in sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: r[0]):
