@@ -35,7 +35,7 @@ SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
 DISTANCE = 29
 #: Sets of a centre's members that are checked together, about.
-HOME_ROWS = 128
+HOME_ROWS = 512
 #: Rows of a bucket that meet in one place, about.
 BLOCK_ROWS = 2048
 #: Pairs of rows that are looked at together.
