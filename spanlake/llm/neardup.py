@@ -34,8 +34,8 @@ from .tables import lean, materialize, prepare
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
 DISTANCE = 29
-#: Sets of a centre's members that are checked together, about.
-HOME_ROWS = 512
+#: Sets of a centre's members that are checked together, and shingles of these, about.
+HOME_ROWS, HOME_SHINGLES = 512, 1 << 17
 #: Rows of a bucket that meet in one place, about.
 BLOCK_ROWS = 2048
 #: Pairs of rows that are looked at together.
@@ -304,18 +304,23 @@ def confirmed(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
     """Links (a, b) between the members of ``pairs(a, b)`` of homes, of ``people(rep, home, n, label, sig, shingles)``.
 
-    Each set goes once to each pair of its home; there, members of different components whose signatures allow it are
-    compared on full sets.  Members found linked are one component from then on.
+    A home is one row, which goes once to each of its pairs; there, members of different components whose signatures
+    allow it are compared on full sets.  Members found linked are one component from then on.
     """
+    fields = ("rep", "n", "label", "sig", "shingles")
+    packed = people.groupBy("home").agg(F.collect_list(F.struct(*fields)).alias("people"))
     at = pairs.select("a", "b", F.xxhash64("a", "b").alias("group"))
     at = at.select("group", "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("home"), (F.col("a") == F.col("b")).alias("same"))
-    rows = at.join(people, "home").select("group", "rep", "n", "label", (F.col("home") == F.col("a")).alias("left"), "same", "sig", "shingles")
+    rows = at.join(packed, "home").select("group", (F.col("home") == F.col("a")).alias("left"), "same", "people")
 
-    def links(rep, n, label, left, same, sig, sets):
-        label, found = label.copy(), []
+    def links(homes: list[tuple[bool, bool, pa.StructArray]]):
+        rep, n, label = (np.concatenate([x.field(f).to_numpy() for *_, x in homes]) for f in fields[:3])
+        sig = np.concatenate([_symbols(x.field("sig"), "<u2") for *_, x in homes])
+        sets = [np.frombuffer(b, np.uint64) for *_, x in homes for b in x.field("shingles").to_pylist()]
+        left, found = np.repeat([side for side, *_ in homes], [len(x) for *_, x in homes]), []
         mine, other = np.flatnonzero(left), np.flatnonzero(~left)
         for at, x in enumerate(mine):
-            rest = mine[at + 1 :] if same[0] else other
+            rest = mine[at + 1 :] if homes[0][1] else other
             for y in _may_link(np.full(len(rest), x), rest, n, label, sig)[1]:
                 if label[x] != label[y] and _similar(sets[x], sets[y]):
                     found.append((rep[x], rep[y]))
@@ -323,26 +328,19 @@ def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def scan(batches):
-        held: list[list[np.ndarray]] = []
+        group, held = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "rep", "n", "label", "left", "same")), _symbols(b.column("sig"), "<u2")]
-            sets = np.empty(b.num_rows, object)
-            sets[:] = [np.frombuffer(x, np.uint64) for x in b.column("shingles").to_pylist()]
-            now.append(sets)
-            starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-            if held and held[-1][0][-1] != now[0][0]:
-                yield links(*map(np.concatenate, list(zip(*held, strict=True))[1:]))
-                held = []
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                yield links(*map(np.concatenate, list(zip(*held, [x[lo:hi] for x in now], strict=True))[1:]))
-                held = []
-            held.append([x[starts[-1] :] for x in now])
+            people, offs = b.column("people").flatten(), b.column("people").offsets.to_numpy()
+            for i, (g, left, same) in enumerate(zip(*(b.column(c).to_pylist() for c in ("group", "left", "same")), strict=True)):
+                if held and g != group:
+                    yield links(held)
+                    held = []
+                group = g
+                held.append((left, same, people.slice(offs[i] - offs[0], offs[i + 1] - offs[i])))
         if held:
-            yield links(*map(np.concatenate, list(zip(*held, strict=True))[1:]))
+            yield links(held)
 
-    return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(lean(scan), "a long, b long")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(lean(scan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
@@ -365,7 +363,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     star = stars(members, everyone)
     # At home with the centre that it is most like; large homes are dealt into blocks.
     centres = star.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("centre")).withColumnRenamed("b", "rep")
-    blocks = centres.groupBy("centre").agg(F.ceil(F.count("*") / HOME_ROWS).alias("blocks"))
+    blocks = centres.join(everyone.select("rep", "n"), "rep").groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / HOME_ROWS, F.sum("n") / HOME_SHINGLES)).alias("blocks"))
     centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
     homes = materialize(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
     sets = materialize(shingle_sets(docs, classes.join(everyone.select("rep"), "rep", "left_semi"), size))
