@@ -3,7 +3,9 @@
 A document's signature has 48 symbols of 32 bits, one MinHash of its shingle set each, in 16 chunks of 3.  Two
 signatures that differ in at most 29 symbols have a chunk with at most one differing symbol (pigeonhole), so they
 share one of the 3 pairs of symbols of that chunk: each document is filed under 48 such pairs.  At a similarity of
-0.75 a symbol differs with probability 1/4; more than 29 of 48 differ once in some ten million pairs.
+0.75 a symbol differs with probability 1/4; more than 29 of 48 differ once in some ten million pairs.  A candidate is
+also held against 144 further symbols: no more than 80 of all 192 may differ, which is as rarely exceeded (the tests
+work out both tails), and spares documents of a similarity of one half or so their comparison on full sets.
 
 Documents with equal sets (told by their sizes and two 64-bit sums) are one class, filed once.  Candidates are checked
 on their full shingle sets.  Members of a bucket are first compared with its centre, the member whose symbols the
@@ -34,6 +36,8 @@ from .tables import lean, materialize, prepare
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
 DISTANCE = 29
+#: Further symbols, of 8 bits, and how many of all symbols agree at least.
+FURTHER, AGREE = 144, 112
 #: Sets of a centre's members that are checked together, and shingles of these, about.
 HOME_ROWS, HOME_SHINGLES = 512, 1 << 17
 #: Rows of a bucket that meet in one place, about.
@@ -45,8 +49,9 @@ NUM, DEN = 75, 100
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    x = T.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(T.MIX_2))
-    return x[:SYMBOLS] | np.uint64(1), x[SYMBOLS:]
+    n = SYMBOLS + FURTHER
+    x = T.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(T.MIX_2))
+    return x[:n] | np.uint64(1), x[n:]
 
 
 def _sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +86,7 @@ def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
         for b in batches:
             sets = list(shingle_rows(b.column("text"), size))
             n, s1, s2 = _sums(sets)
-            sig = np.zeros((len(n), SYMBOLS), np.uint64)
+            sig = np.zeros((len(n), SYMBOLS + FURTHER), np.uint64)
             full = np.flatnonzero(n)
             if len(full):
                 flat, at = np.concatenate(sets), np.r_[0, np.cumsum(n[full])[:-1]]
@@ -91,9 +96,10 @@ def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
                     if lo == hi:
                         continue
                     part = flat[at[lo] : at[hi] if hi < len(at) else len(flat)]
-                    for j in range(SYMBOLS):
+                    for j in range(SYMBOLS + FURTHER):
                         sig[full[lo:hi], j] = np.minimum.reduceat((part ^ add[j]) * mul[j], at[lo:hi] - at[lo])
-            short = (T.mix(sig) >> np.uint64(32)).astype("<u4")
+            sig = T.mix(sig)
+            short = np.hstack([(sig[:, :SYMBOLS] >> np.uint64(32)).astype("<u4").view(np.uint8), (sig[:, SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in short], pa.binary()), *b.columns[2:]],
                 ["doc_id", "n", "s1", "s2", "sig", *(["row"] if row else [])],
@@ -102,8 +108,11 @@ def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text", *own).mapInArrow(lean(scan), "doc_id long, n long, s1 long, s2 long, sig binary" + (", row long" if row else ""))
 
 
-def _symbols(column: pa.Array, dtype="<u4") -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, SYMBOLS)
+def _symbols(column: pa.Array, dtype="<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The symbols and the further ones."""
+    at = SYMBOLS * np.dtype(dtype).itemsize
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, at + FURTHER)
+    return np.ascontiguousarray(both[:, :at]).view(dtype), both[:, at:]
 
 
 def _pair_keys(sig: np.ndarray) -> np.ndarray:
@@ -121,7 +130,7 @@ def file_under(reps: DataFrame) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            keys = _pair_keys(_symbols(b.column("sig"))) if b.num_rows else np.zeros((0, SYMBOLS), np.uint64)
+            keys = _pair_keys(_symbols(b.column("sig"))[0]) if b.num_rows else np.zeros((0, SYMBOLS), np.uint64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SYMBOLS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("rep"), lists], ["rep", "keys"])
 
@@ -133,21 +142,22 @@ def shortened(reps: DataFrame) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            x = (_symbols(b.column("sig")) >> np.uint32(16)).astype("<u2")
+            sig, further = _symbols(b.column("sig"))
+            x = np.hstack([(sig >> np.uint32(16)).astype("<u2").view(np.uint8), further])
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], ["rep", "n", "sig"])
 
     return reps.select("rep", "n", "sig").mapInArrow(lean(scan), "rep long, n long, sig binary")
 
 
 def _by_unit(rows: DataFrame, columns: tuple[str, ...], work, schema: str) -> DataFrame:
-    """``work(unit, *columns, symbols)`` over runs of whole units of ``rows``."""
+    """``work(unit, *columns, symbols, further)`` over runs of whole units of ``rows``."""
 
     def scan(batches):
         held: list[list[np.ndarray]] = []  # rows of the last unit, which may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("unit", *columns)), _symbols(b.column("sig"), "<u2")]
+            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("unit", *columns)), *_symbols(b.column("sig"), "<u2")]
             cut = int(np.searchsorted(now[0], now[0][-1]))
             if held and held[-1][0][-1] != now[0][0]:
                 yield work(*map(np.concatenate, zip(*held, strict=True)))
@@ -166,8 +176,8 @@ def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
 
 
-def _to_centre(unit, bucket, rep, n, sig) -> pa.RecordBatch:
-    """(a, b, near): each member b of a unit with its centre a, whose symbols agree with most others' symbols; and the
+def _to_centre(unit, bucket, rep, n, sig, further) -> pa.RecordBatch:
+    """(a, b, near, bucket): each member b of a unit with its centre a, whose symbols agree with most others' symbols; and the
     centre itself with its bucket.
 
     Counting equal symbols takes no pairs.
@@ -182,8 +192,9 @@ def _to_centre(unit, bucket, rep, n, sig) -> pa.RecordBatch:
     first = order[np.flatnonzero(new)]
     centre = first[number]
     near = (sig == sig[centre]).sum(1)
-    ok = (rep != rep[centre]) & (near >= SYMBOLS - DISTANCE) & _sizes_allow(n, n[centre])
-    out = [np.r_[rep[centre][ok], rep[first]], np.r_[rep[ok], rep[first]], np.r_[near[ok], np.zeros(len(first), np.int64)], np.r_[bucket[ok], bucket[first]]]
+    agree = near + (further == further[centre]).sum(1)
+    ok = (rep != rep[centre]) & (near >= SYMBOLS - DISTANCE) & (agree >= AGREE) & _sizes_allow(n, n[centre])
+    out = [np.r_[rep[centre][ok], rep[first]], np.r_[rep[ok], rep[first]], np.r_[agree[ok], np.zeros(len(first), np.int64)], np.r_[bucket[ok], bucket[first]]]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "near", "bucket"])
 
 
@@ -199,15 +210,18 @@ def stars(members: DataFrame, reps: DataFrame) -> DataFrame:
     return materialize(found.unionByName(more).filter("a <> b").select("a", "b", "near").distinct())
 
 
-def _may_link(i, j, n, label, sig) -> tuple[np.ndarray, np.ndarray]:
+def _may_link(i, j, n, label, sig, further) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (i, j) in different components whose sizes and signatures allow a link."""
     ok = (label[i] != label[j]) & _sizes_allow(n[i], n[j])
     i, j = i[ok], j[ok]
-    ok = (sig[i] == sig[j]).sum(1) >= SYMBOLS - DISTANCE
+    near = (sig[i] == sig[j]).sum(1)
+    ok = near >= SYMBOLS - DISTANCE
+    i, j, near = i[ok], j[ok], near[ok]
+    ok = near + (further[i] == further[j]).sum(1) >= AGREE
     return i[ok], j[ok]
 
 
-def _across(unit, home, n, label, left, right, sig) -> pa.RecordBatch:
+def _across(unit, home, n, label, left, right, sig, further) -> pa.RecordBatch:
     """(a, b): homes of left and right rows of one unit, of different components, that may be linked."""
     rights, lefts = np.flatnonzero(right), np.flatnonzero(left)
     lo, hi = np.searchsorted(unit[rights], unit[lefts], "left"), np.searchsorted(unit[rights], unit[lefts], "right")
@@ -219,7 +233,7 @@ def _across(unit, home, n, label, left, right, sig) -> pa.RecordBatch:
         c = counts[a:b]
         i = np.repeat(lefts[a:b], c)
         j = rights[np.repeat(lo[a:b] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(len(i))]
-        i, j = _may_link(i, j, n, label, sig)
+        i, j = _may_link(i, j, n, label, sig, further)
         out.append(np.unique(np.c_[np.minimum(home[i], home[j]), np.maximum(home[i], home[j])], axis=0))
     found = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -315,13 +329,13 @@ def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
 
     def links(homes: list[tuple[bool, bool, pa.StructArray]]):
         rep, n, label = (np.concatenate([x.field(f).to_numpy() for *_, x in homes]) for f in fields[:3])
-        sig = np.concatenate([_symbols(x.field("sig"), "<u2") for *_, x in homes])
+        sig, further = map(np.concatenate, zip(*(_symbols(x.field("sig"), "<u2") for *_, x in homes), strict=True))
         sets = [np.frombuffer(b, np.uint64) for *_, x in homes for b in x.field("shingles").to_pylist()]
         left, found = np.repeat([side for side, *_ in homes], [len(x) for *_, x in homes]), []
         mine, other = np.flatnonzero(left), np.flatnonzero(~left)
         for at, x in enumerate(mine):
             rest = mine[at + 1 :] if homes[0][1] else other
-            for y in _may_link(np.full(len(rest), x), rest, n, label, sig)[1]:
+            for y in _may_link(np.full(len(rest), x), rest, n, label, sig, further)[1]:
                 if label[x] != label[y] and _similar(sets[x], sets[y]):
                     found.append((rep[x], rep[y]))
                     label[label == label[y]] = label[x]

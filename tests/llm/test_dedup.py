@@ -1,6 +1,7 @@
 """Near duplicates and repeated passages against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -84,6 +85,13 @@ def test_blocks_of_a_bucket_meet(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in out} == group
 
 
+def test_thresholds_miss_almost_nothing():
+    """At a similarity of 0.75 a symbol differs with probability 1/4."""
+    tail = lambda n, d: sum(math.comb(n, k) * 3 ** (n - k) for k in range(d + 1, n + 1)) / 4**n
+    assert tail(neardup.SYMBOLS, neardup.DISTANCE) + tail(neardup.SYMBOLS + neardup.FURTHER, neardup.SYMBOLS + neardup.FURTHER - neardup.AGREE) < 1e-6
+    assert neardup.DISTANCE < 2 * neardup.SYMBOLS // neardup.CHUNK  # pigeonhole: a chunk with one error at most
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     for i, t in sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: r[0]):
