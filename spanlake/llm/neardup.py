@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as T
 from .components import components
-from .tables import lean, materialize, prepare
+from .tables import lean, materialize, prepare, release
 
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
@@ -207,7 +207,9 @@ def stars(members: DataFrame, reps: DataFrame) -> DataFrame:
     # The centres of a large bucket's blocks are its members once more.
     again = found.filter("a = b").select(F.col("bucket").alias("unit"), F.lit(0).cast("long").alias("bucket"), F.col("a").alias("rep"))
     more = _by_unit(again.join(reps, "rep"), ("bucket", "rep", "n"), _to_centre, schema)
-    return materialize(found.unionByName(more).filter("a <> b").select("a", "b", "near").distinct())
+    out = materialize(found.unionByName(more).filter("a <> b").select("a", "b", "near").distinct())
+    release(found)
+    return out
 
 
 def _may_link(i, j, n, label, sig, further) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +314,9 @@ def confirmed(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
                     o.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
 
-    return rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(lean(check), "a long, b long")
+    out = materialize(rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(lean(check), "a long, b long"))
+    release(at)
+    return out
 
 
 def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
@@ -381,7 +385,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
     homes = materialize(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
     sets = materialize(shingle_sets(docs, classes.join(everyone.select("rep"), "rep", "left_semi"), size))
-    links = materialize(confirmed(star, homes, sets))
+    links = confirmed(star, homes, sets)
     labels = components(links)
 
     of = homes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "home", F.coalesce("label", "rep").alias("label"))
@@ -395,8 +399,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     new = materialize(new)
     if not new.isEmpty():
         labels = components(links.unionByName(new))
+    release(signed, members, everyone, star, homes, sets, people, more)
     labelled = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "low"), "rep")
     lowest = materialize(labelled.join(labelled.groupBy("label").agg(F.min("low").alias("lowest")), "label").select("rep", "lowest"))
+    release(classes, links, new)
     return (
         classed.join(lowest, "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("class_id"), F.coalesce("lowest", "low", "doc_id").alias("component_id"), *(["row"] if row else []))

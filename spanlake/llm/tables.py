@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +40,14 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset (a local session)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset, in a local session."""
     try:
         found = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:
         found = None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,7 +58,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanlake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+#: Where ``materialize`` has written the tables that are still in use.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def numbered(df: DataFrame) -> DataFrame:
