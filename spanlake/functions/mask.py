@@ -16,7 +16,7 @@ ADDRESS = r"(联系地址|地址)[：:][ \t\r\f\x0b]*\n?[^\n\r]*"
 WORKPLACE = r"(工作单位|单位)[ \t\n\r\x{3000}:：]*([^\n\r，,。；;]{2,30})"
 CASE_NUMBER = r"(病案号)[ \t\n\r\x{3000}:：]*([A-Za-z0-9\-]{3,30})"
 PATIENT = r"(患者ID|ID号)[ \t\n\r\x{3000}:：]*([A-Za-z0-9\-]{3,30})"
-NAME_CUES = ("姓名", "医生", "医师", "签名")
+NAME_CUE = r"姓[ ]*名|签[ ]*名"
 #: Characters between a cue and a name, at most.
 NAME_REACH = 12
 
@@ -37,9 +37,11 @@ def mask_address(c: Column) -> Column:
 
 def _masked(c: Column, pattern: str, head: int, tail: int) -> Column:
     """Values after a cue, rewritten as cue, colon and masked value; short ones lose all characters."""
-    cues, values = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
-    # Text between the matches: each match becomes one mark that no text holds.
-    pieces = F.split(F.regexp_replace(c, pattern, "\x00"), "\x00")
+    # Text between the matches: each match becomes one mark, U+0000 with U+0002; those of the text are followed by U+0001.
+    c = F.replace(c, F.lit("\x00"), F.lit("\x00\x01"))
+    plain = lambda x: F.replace(x, F.lit("\x00\x01"), F.lit("\x00"))
+    cues, values = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), plain)
+    pieces = F.split(F.regexp_replace(c, pattern, "\x00\x02"), "\x00\x02")
 
     def hide(v: Column) -> Column:
         n = F.length(v)
@@ -48,7 +50,7 @@ def _masked(c: Column, pattern: str, head: int, tail: int) -> Column:
         return F.when(n > head + tail, ends).otherwise(whole)
 
     shown = F.zip_with(cues, values, lambda k, v: F.concat(k, F.lit(": "), hide(v)))
-    return F.when(F.size(cues) > 0, F.array_join(F.zip_with(pieces, F.concat(shown, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(c)
+    return plain(F.when(F.size(cues) > 0, F.array_join(F.zip_with(pieces, F.concat(shown, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(c))
 
 
 def mask_workplace(c: Column) -> Column:
@@ -65,8 +67,8 @@ def mask_patient(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def mask_name(texts: pd.Series) -> pd.Series:
-    """The 1 to 5 CJK characters after a name cue, within reach, keep the first; each edit moves on the text it has made."""
-    cue, name = re.compile("(?:" + "|".join(NAME_CUES) + ")[：: \\t　]*"), re.compile(r"[一-鿿]{1,5}")
+    """The 1 to 5 CJK characters after a name cue, within reach of it, keep the first; each edit moves on the text it has made."""
+    cue, name = re.compile(NAME_CUE), re.compile(r"[一-鿿]{1,5}")
 
     def one(text: str | None) -> str | None:
         at = 0

@@ -107,17 +107,46 @@ def length_priors(values: DataFrame, key: str) -> DataFrame:
     return out.withColumn("sigma", F.round(F.greatest(F.lit(1.0), (F.col("p75") - F.col("p25")) / 1.349), 6))
 
 
-def shards(rows: DataFrame, order: str, budget: int) -> DataFrame:
-    """``shard`` numbers so that each holds about ``budget`` bytes of JSON in order; a shard exceeds it by less than a row.
+def shards(rows: DataFrame, order: str, budget: int, block: int = 1000) -> DataFrame:
+    """``rows`` with ``shard`` names, greedy in ``order``: no shard exceeds ``budget`` bytes of JSON, unless one row does.
 
-    Running sums come from sums per range of ``order``, so no task sees all rows.
+    Names are those of a range of ``block`` values of ``order`` and a number within it; each range begins a shard of its
+    own, so ranges are dealt apart and no task sees all rows.
     """
     size = F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long")
-    r = rows.withColumn("size", size).withColumn("block", F.floor(F.col(order) / 1000))
-    sums = r.groupBy("block").agg(F.sum("size").alias("k"))
-    before = sums.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
-    inner = F.coalesce(F.sum("size").over(Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return r.join(before, "block").withColumn("shard", F.floor((F.col("before") + inner) / budget)).drop("size", "block", "before")
+    r = rows.select(F.floor(F.col(order) / block).alias("range"), F.struct(F.col(order).alias("at"), size.alias("size"), F.struct(*rows.columns).alias("row")).alias("x"))
+    none = F.expr("named_struct('shard', 0, 'n', 0L, 'all', cast(array() as array<int>))")
+
+    def add(acc: Column, x: Column) -> Column:
+        full = (acc["n"] > 0) & (acc["n"] + x["size"] > budget)
+        shard = acc["shard"] + full.cast("int")
+        return F.struct(shard.alias("shard"), (F.when(full, F.lit(0)).otherwise(acc["n"]) + x["size"]).alias("n"), F.concat(acc["all"], F.array(shard)).alias("all"))
+
+    packed = r.groupBy("range").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    packed = packed.select("range", F.explode(F.arrays_zip("xs", F.aggregate("xs", none, add, lambda acc: acc["all"]).alias("shards"))).alias("p"))
+    return packed.select("p.xs.row.*", F.concat_ws("-", F.col("range").cast("string"), F.col("p.shards").cast("string")).alias("shard"))
+
+
+def balanced_separators(rows: DataFrame, group: str, order: str, choice: Column) -> DataFrame:
+    """``rows`` with ``separator``: blank where ``choice``, else the less used of two colons so far in the ``group``, the wide one first."""
+    before = F.count(F.when(~choice, 1)).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("separator", F.when(choice, F.lit(" ")).when(before % 2 == 0, F.lit("：")).otherwise(F.lit(":")))
+
+
+def scorer_queries(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, query): what a scorer's context is searched by: the title, then each key with its aliases, in order.
+
+    From records(id, ord, title, key) and aliases(title, key, alias, ord); keys without aliases stand alone.
+    """
+    known = aliases.groupBy("title", "key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"]), " ").alias("more"))
+    rows = records.join(known, ["title", "key"], "left").select("id", "title", F.struct("ord", F.concat_ws(" ", "key", "more").alias("x")).alias("x"))
+    listed = rows.groupBy("id").agg(F.min_by("title", "x.ord").alias("title"), F.sort_array(F.collect_list("x")).alias("xs"))
+    return listed.select("id", F.concat_ws(" ", "title", F.array_join(F.transform("xs", lambda x: x["x"]), " ")).alias("query"))
+
+
+def shown_examples(chunks: Column, limit: int = 500) -> Column:
+    """Examples of a scorer's context: each chunk's first ``limit`` characters, with an ellipsis where more follow."""
+    return F.transform(chunks, lambda c: F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("…"))).otherwise(c))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -51,12 +51,69 @@ def breaks_before(docs: DataFrame, words: list[str], apart: int) -> DataFrame:
     return docs.select("doc_id", out.alias("text"))
 
 
+def balanced(c: Column, strings: bool) -> Column:
+    """From the first brace to the one that closes it, or null; with ``strings``, braces within JSON strings don't count."""
+    none = F.expr("named_struct('i', 0, 'depth', 0, 'first', 0, 'end', 0, 'quoted', false, 'escaped', false)")
+
+    def add(acc: Column, x: Column) -> Column:
+        inside = acc["quoted"] if strings else F.lit(False)
+        opened, closed = ~inside & (x == "{"), ~inside & (x == "}") & (acc["depth"] > 0)
+        depth = acc["depth"] + opened.cast("int") - closed.cast("int")
+        quote = (acc["depth"] > 0) & (x == '"') & ~acc["escaped"]
+        moved = F.struct(
+            (acc["i"] + 1).alias("i"), depth.alias("depth"),
+            F.when(opened & (acc["first"] == 0), acc["i"] + 1).otherwise(acc["first"]).alias("first"),
+            F.when(closed & (depth == 0), acc["i"] + 1).otherwise(F.lit(0)).alias("end"),
+            F.when(quote, ~acc["quoted"]).otherwise(acc["quoted"]).alias("quoted"),
+            (acc["quoted"] & (x == "\\") & ~acc["escaped"]).alias("escaped"),
+        )
+        return F.when(acc["end"] > 0, acc).otherwise(moved)
+
+    span = F.aggregate(F.split(c, ""), none, add, lambda acc: F.struct(acc["first"].alias("first"), acc["end"].alias("end")))
+    return F.when(F.instr(c, "{") > 0, F.when(span["end"] > 0, F.substr(c, span["first"], span["end"] - span["first"] + 1)))
+
+
 def json_object(c: Column) -> Column:
-    """The first JSON object in noisy text: in a fenced block, or from the first brace to the last; null if it doesn't parse."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?[ \n]*(\{.*?\})[ \n]*```", 1)
-    braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    ok = lambda x: F.when(F.try_parse_json(x).isNotNull() & (x != ""), x)
-    return F.coalesce(ok(fenced), ok(braces))
+    """The first JSON object in noisy text: the whole text, a fenced block, or from the first brace to the one that closes it.
+
+    Null if none of these parses; the last way counts braces in strings too.
+    """
+    whole = F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    fenced = F.regexp_extract(c, r"(?is)```(?:json)?[ \t\r\n]*\n(.*?)\n```", 1)
+    fenced = F.regexp_replace(fenced, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    ok = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    full = lambda x: F.when(x.startswith("{") & (balanced(x, True) == x), ok(x))
+    return F.coalesce(full(whole), full(fenced), ok(balanced(c, False)))
+
+
+def cut_at_keys(docs: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, chunk, start, end, body) of docs(doc_id, text, keys): cut before a key once the tokens since the last cut exceed ``budget``.
+
+    A text within the budget is one chunk; so is one that holds none of its keys.  Null and empty texts have no chunk.
+    """
+    keys = F.filter("keys", lambda k: k != "")
+    pattern = F.concat(F.lit("(?="), F.array_join(F.transform(keys, lambda k: F.concat(F.lit("\\Q"), k, F.lit("\\E"))), "|"), F.lit(")"))
+    rows = docs.select("doc_id", "text", pattern.alias("pattern"), (F.size(keys) > 0).alias("some"))
+    long = F.col("some") & (T.token_count(F.col("text")) > budget)
+    pieces = F.when(long, F.expr("split(text, pattern)")).otherwise(F.array("text"))
+    none = F.expr("named_struct('done', cast(array() as array<string>), 'open', '', 'n', 0)")
+
+    def add(acc: Column, x: Column) -> Column:
+        # Sums of the pieces' tokens are never too low: a cut may only split a token.
+        cut = F.when(acc["n"] > budget, T.token_count(acc["open"]) > budget).otherwise(F.lit(False))
+        n = T.token_count(x).cast("int")
+        return F.struct(
+            F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.when(cut, x).otherwise(F.concat(acc["open"], x)).alias("open"),
+            F.when(cut, n).otherwise(acc["n"] + n).alias("n"),
+        )
+
+    cut = F.aggregate(pieces, none, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    spans = F.aggregate(
+        cut, F.expr("cast(array() as array<struct<start:int,end:int,body:string>>)"),
+        lambda acc, x: F.concat(acc, F.array(F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(x)).alias("end"), x.alias("body")))),
+    )
+    return rows.filter("text <> ''").select("doc_id", F.posexplode(spans).alias("chunk", "s")).select("doc_id", "chunk", "s.*")
 
 
 def cut_at_keywords(c: Column, words: list[str]) -> Column:

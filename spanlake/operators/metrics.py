@@ -140,14 +140,21 @@ def conflicts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def evaluate(gold: DataFrame, pred: DataFrame, mode: str = "typed", strict_match: bool = True, method: str = "position", text_mode: str = "exact", threshold: float = 0.8, validate: bool = False) -> DataFrame:
-    """One entry for all modes; bad arguments, unequal sets of documents and (on request) conflicts raise ValueError."""
+def evaluate(gold: DataFrame, pred: DataFrame, mode: str = "typed", strict_match: bool = True, method: str = "position", text_mode: str = "exact", threshold: float = 0.8, validate: bool = False, documents: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One entry for all modes; bad arguments and (on request) conflicts raise ValueError.
+
+    A document without rows has no entities.  ``documents`` may give the two sides' documents (doc); they must be the same.
+    """
     if mode not in ("typed", "untyped"):
         raise ValueError("mode is typed or untyped")
     if method not in ("position", "text") or text_mode not in ("exact", "overlap", "similarity"):
         raise ValueError("method is position or text; text_mode is exact, overlap or similarity")
     if not 0 <= threshold <= 1:
         raise ValueError("threshold lies between 0 and 1")
+    if documents is not None:
+        a, b = (x.select("doc").distinct() for x in documents)
+        if not (a.join(b, "doc", "left_anti").isEmpty() and b.join(a, "doc", "left_anti").isEmpty()):
+            raise ValueError("gold and predictions are of different documents")
     if validate and not conflicts(gold, pred).isEmpty():
         raise ValueError("positions conflict")
     if mode == "typed":

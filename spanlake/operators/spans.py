@@ -158,3 +158,27 @@ def located(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     found = (at >= 0) & (F.col("value") != "")
     pick = lambda c: F.when(found, span[c]).otherwise(F.lit(-1))
     return rows.select("doc", "key", pick("start").alias("start"), pick("end").alias("end"))
+
+
+#: Characters of a short item that texts are searched by, at most.
+HEAD = 8
+
+
+def found_anywhere(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, doc, start, end): the first place of each of ``items(item, value)`` in the texts of ``docs(doc, body)`` that hold it.
+
+    An item of three or more parts between spaces is looked for by its longest inner one, which is a part of any text
+    that holds the item; shorter ones by their first characters.  Candidates are pairs of ids; texts are fetched for
+    these only.  Empty and null items are found nowhere.
+    """
+    parts = F.split("value", " ")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    keyed = items.filter("value <> ''").select("item", "value", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("w"))
+    long, short = keyed.filter("w is not null"), keyed.filter("w is null").withColumn("w", F.left("value", F.lit(HEAD)))
+    pairs = docs.select("doc", F.explode(F.array_distinct(F.split("body", " "))).alias("w")).join(long.select("w", "item"), "w").select("doc", "item")
+    for (n,) in sorted(short.select(F.length("w")).distinct().collect()):  # HEAD rows at most
+        heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substr("body", i, F.lit(n))))
+        at = docs.filter(F.length("body") >= n).select("doc", F.explode(heads).alias("w"))
+        pairs = pairs.union(at.join(short.filter(F.length("w") == n).select("w", "item"), "w").select("doc", "item"))
+    rows = pairs.distinct().join(items, "item").join(docs, "doc").filter(F.contains("body", F.col("value"))).withColumn("start", F.expr("instr(body, value)") - 1)
+    return rows.select("item", "doc", "start", (F.col("start") + F.length("value")).alias("end"))

@@ -32,7 +32,7 @@ def e9(spark, d):
 
 @query("b16_json_object", "SELECT event_id, props AS found FROM events")
 def b16(spark, d):
-    noisy = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("so "), "props", F.lit(" done")))
+    noisy = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("so "), "props", F.lit(" or {} done")))
     return table(spark, d, "events").select("event_id", D.json_object(noisy).alias("found"))
 
 
@@ -58,10 +58,29 @@ def d6(spark, d):
     return listed.select("title", "key", F.size("v").cast("long").alias("n"), F.md5(F.array_join(F.transform("v", lambda x: x["value"]), "|")).alias("digest"))
 
 
-@query("h15_balanced_separators", f"WITH {B.RECORDS_SQL} SELECT id, ord, ['：', ': '][1 + (row_number() OVER (PARTITION BY id ORDER BY ord) - 1) % 2] AS separator FROM records")
+@query("h15_balanced_separators", f"""WITH {B.RECORDS_SQL}, c AS (SELECT id, ord, substr(md5(id || '/' || ord), 1, 2) < '1a' AS blank FROM records),
+n AS (SELECT *, count(*) FILTER (NOT blank) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM c)
+SELECT id, ord, CASE WHEN blank THEN ' ' WHEN n % 2 = 0 THEN '：' ELSE ':' END AS separator FROM n""")
 def h15(spark, d):
-    n = F.row_number().over(Window.partitionBy("id").orderBy("ord")) - 1
-    return B.records(spark, d).select("id", "ord", F.element_at(F.array(F.lit("："), F.lit(": ")), (n % 2 + 1).cast("int")).alias("separator"))
+    blank = F.substring(F.md5(F.concat_ws("/", F.col("id").cast("string"), F.col("ord").cast("string"))), 1, 2) < "1a"  # a tenth
+    return C.balanced_separators(B.records(spark, d), "id", "ord", blank).select("id", "ord", "separator")
+
+
+@query("e5_key_cuts")
+def e5(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 9)).alias("keys"))
+    return D.cut_at_keys(docs, 60).select("doc_id", "chunk", "start", "end", F.md5("body").alias("digest"))
+
+
+@query("j3_scorer_queries", f"""WITH {B.KEYS_SQL}, {B.RECORDS_SQL}, known AS (SELECT title, key, string_agg(alias, ' ' ORDER BY ord, alias) AS more FROM aliases GROUP BY ALL)
+SELECT id, md5(arg_min(title, ord) || ' ' || string_agg(concat_ws(' ', key, more), ' ' ORDER BY ord, key)) AS digest FROM records LEFT JOIN known USING (title, key) GROUP BY id""")
+def j3(spark, d):
+    return C.scorer_queries(B.records(spark, d), B.aliases(spark, d)).select("id", F.md5("query").alias("digest"))
+
+
+@query("j3_examples", "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END) AS digest FROM documents")
+def j3_examples(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(C.shown_examples(F.array("text"))[0]).alias("digest"))
 
 
 @query("h19_folded_fields", f"WITH {B.RECORDS_SQL} SELECT id, string_agg(key || ' ' || value, '；' ORDER BY ord) AS body FROM records WHERE s % 3 = 0 GROUP BY id")

@@ -179,12 +179,8 @@ def c13(spark, d):
 
 @query("d7_locate", """SELECT b.item_id AS item, d.doc_id AS doc, strpos(d.text, b.text) - 1 AS "start", strpos(d.text, b.text) - 1 + length(b.text) AS "end" FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def d7(spark, d):
-    # A theta join of two tables of passages and texts: the smaller side is dealt with the words of the larger one.
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("value"), F.split("text", " ")[1].alias("w"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
-    at = docs.select("doc", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("w"))
-    rows = at.join(items, "w").filter(F.contains("body", F.col("value"))).withColumn("start", F.expr("instr(body, value)") - 1)
-    return rows.select("item", "doc", "start", (F.col("start") + F.length("value")).alias("end"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("value"))
+    return S.found_anywhere(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body")), items)
 
 
 @query("d9_located_keys", f"""WITH {B.DIALOG_SQL}, {TEXTS_SQL}, w AS (SELECT doc, turn::VARCHAR AS key, ' ' || split_part(text, ' ', 2) || ' ' AS value FROM dialog), x AS (SELECT *, strpos(body, value) - 1 AS p, value <> '' AND contains(body, value) AS f FROM w JOIN texts USING (doc))

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from spanlake.functions import text as T
 from spanlake.operators import compose as P
 from spanlake.operators import fold as D
 
@@ -31,10 +32,40 @@ def test_pack_and_items(spark):
 
 def test_json_object(spark):
     cases = [('x {"a": 1} y', '{"a": 1}'), ('```json\n{"b": {"c": 2}}\n```', '{"b": {"c": 2}}'), ("none", None), ("{bad", None)]
+    cases += [('{"a":1} x {"b":2}', '{"a":1}'), (' {"a": "}"} ', '{"a": "}"}'), ('x {"a": "}"} y', None), ("}{}", "{}"), ("", None), (None, None), ('[1] {"a": [{}]}', '{"a": [{}]}'), ('t\n```\n{"q": "\\\\"}\n``` {', '{"q": "\\\\"}')]
     got = spark.createDataFrame(cases, "t string, want string").select("want", D.json_object(F.col("t")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
 
 
+def brute_cuts(text, keys, budget):
+    count = lambda t: len(re.findall(TOKENS, t))
+    if count(text) <= budget:
+        return [text]
+    places, out, last = sorted({m.start() for k in keys for m in re.finditer(f"(?={re.escape(k)})", text)}), [], 0
+    for p in places:
+        if p > last and count(text[last:p]) > budget:
+            out.append(text[last:p])
+            last = p
+    return [*out, text[last:]]
+
+
+TOKENS = r"[一-鿿]|[A-Za-z0-9]+|[^\sA-Za-z0-9一-鿿]"
+
+
+def test_cuts_before_keys(spark):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice(["ab ", "cd", " key1", "键", "7 ", "kk ", "\n"]) for _ in range(rnd.randint(1, 60))), ["key1", "键", "kk", "d k"][: i % 5]) for i in range(60)]
+    rows += [(60, "", ["a"]), (61, None, ["a"]), (62, "a b c d e f g h", [])]
+    out = D.cut_at_keys(spark.createDataFrame(rows, "doc_id int, text string, keys array<string>"), 6).orderBy("doc_id", "chunk").collect()
+    got = {i: [] for i, *_ in rows}
+    for r in out:
+        assert rows[r.doc_id][1][r.start : r.end] == r.body
+        got[r.doc_id].append(r.body)
+    count = {r.doc_id: r.n for r in spark.createDataFrame(rows, "doc_id int, text string, keys array<string>").select("doc_id", T.token_count(F.col("text")).alias("n")).collect()}
+    assert all(count[i] == len(re.findall(TOKENS, t)) for i, t, _ in rows if t)
+    assert got == {i: (brute_cuts(t, k, 6) if t else []) for i, t, k in rows}
+
+
 def test_cut_at_keywords_and_breaks(spark):
     df = spark.createDataFrame([(1, "value one\nKey: rest", "ab The cd The ef")], "doc_id long, t string, text string")
     assert df.select(D.cut_at_keywords(F.col("t"), ["Key"]).alias("x")).first().x == "value one"

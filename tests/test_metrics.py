@@ -65,6 +65,10 @@ def test_conflicts_and_arguments(spark):
     for bad in ({"mode": "x"}, {"method": "x"}, {"text_mode": "x"}, {"threshold": 2}):
         with pytest.raises(ValueError):
             M.evaluate(g, p, **bad)
+    docs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc int")
+    assert M.evaluate(g, p, documents=(docs(1, 2), docs(2, 1))).count()
+    with pytest.raises(ValueError):
+        M.evaluate(g, p, documents=(docs(1), docs(1, 2)))
 
 
 def decode(tags, char):

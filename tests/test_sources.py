@@ -10,6 +10,7 @@ from spanlake.functions import text as T
 from spanlake.operators import assemble as A
 from spanlake.operators import chunk as C
 from spanlake.operators import curate as Q
+from spanlake.operators import spans as S
 from spanlake.sources import io
 from spanlake.streaming import lines
 
@@ -50,6 +51,10 @@ def test_masking(spark):
         "病案号：AB12345 单位：某某工厂": "病案号: AB***45 单位: 某某**",
         "姓名：张三丰，好": "姓名：张**，好",
         "地址：某地\n下": "地址：*\n下",
+        "姓 名：王小明 签  名 李四": "姓 名：王** 签  名 李*",
+        "医师：王小明": "医师：王小明",
+        "单位：某某工厂\x00，尾": "单位: 某某***，尾",
+        "\x00病案号：AB12345 尾\x00尾": "\x00病案号: AB***45 尾\x00尾",
         "nothing": "nothing",
     }
     df = spark.createDataFrame([(k,) for k in cases] + [(None,), ("",)], "t string").select("t", K.mask_all(F.col("t")).alias("m"))
@@ -85,7 +90,39 @@ def test_shards_keep_the_budget(spark):
     rows = spark.range(3000).withColumn("x", F.repeat(F.lit("y"), (F.col("id") % 50).cast("int")))
     size = F.octet_length(F.to_json(F.struct("id", "x")))
     out = Q.shards(rows, "id", 5000).groupBy("shard").agg(F.sum(size).alias("n"), F.max(size).alias("m")).collect()
-    assert all(r.n <= 5000 + r.m for r in out) and sum(r.n for r in out) == rows.agg(F.sum(size)).first()[0]
+    assert all(r.n <= 5000 for r in out) and sum(r.n for r in out) == rows.agg(F.sum(size)).first()[0]
+
+
+def test_shards_are_greedy_in_each_range(spark):
+    rows = spark.range(12).withColumn("x", F.when(F.col("id") == 5, F.repeat(F.lit("y"), 300)).otherwise(F.lit("z")))
+    size = {r.id: r.n for r in rows.select("id", F.octet_length(F.to_json(F.struct("id", "x"))).alias("n")).collect()}
+    want, open_, shard = {}, 0, 0
+    for i in range(12):
+        if i % 8 == 0:
+            open_, shard = 0, 0
+        if open_ and open_ + size[i] > 60:
+            open_, shard = 0, shard + 1
+        open_ += size[i]
+        want[i] = f"{i // 8}-{shard}"
+    assert {r.id: r.shard for r in Q.shards(rows, "id", 60, block=8).collect()} == want
+
+
+def test_separators_and_scorer_context(spark):
+    rows = spark.createDataFrame([("a", i, i in (1, 4)) for i in range(6)], "id string, ord int, blank boolean")
+    got = [r.separator for r in Q.balanced_separators(rows, "id", "ord", F.col("blank")).orderBy("ord").collect()]
+    assert got == ["：", " ", ":", "：", " ", ":"]
+    records = spark.createDataFrame([(1, 2, "t", "b"), (1, 1, "t", "a"), (2, 1, "u", "a")], "id int, ord int, title string, key string")
+    aliases = spark.createDataFrame([("t", "a", "a2", 2), ("t", "a", "a1", 1)], "title string, key string, alias string, ord int")
+    assert {r.id: r.query for r in Q.scorer_queries(records, aliases).collect()} == {1: "t a a1 a2 b", 2: "u a"}
+    assert spark.range(1).select(Q.shown_examples(F.array(F.lit("abcd"), F.lit("abc")), 3).alias("x")).first().x == ["abc…", "abc"]
+
+
+def test_items_are_found_anywhere(spark):
+    docs = spark.createDataFrame([(1, "one alpha\nbeta two"), (2, "x one  alphabet y"), (3, ""), (4, None), (5, "a b c d"), (6, "za b cz")], "doc int, body string")
+    items = spark.createDataFrame([(1, "one alpha"), (2, "alpha"), (3, "a b c"), (4, ""), (5, None), (6, "one  alpha"), (7, "no such thing here")], "item int, value string")
+    got = {(r.item, r.doc, r.start, r.end) for r in S.found_anywhere(docs, items).collect()}
+    want = {(i, d, b.find(v), b.find(v) + len(v)) for d, b in ((r.doc, r.body) for r in docs.collect()) for i, v in ((r.item, r.value) for r in items.collect()) if b and v and v in b}
+    assert got == want and len(want) == 6
 
 
 def test_stream(spark, tmp_path):
