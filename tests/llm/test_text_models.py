@@ -180,3 +180,17 @@ def test_katz_of_nothing(no_docs, spark):
     assert katz.score(no_docs, F.lit(False)).collect() == []
     r = katz.score(spark.createDataFrame([(None, None)], "doc_id long, text string"), F.lit(True)).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (1, 0, 0, 0.0, 0.0)
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs, rows):
+    rng = np.random.default_rng(2)
+    terms = [next(toxicity.terms(pa.array([t]))) if t else np.zeros(0, np.uint64) for _, t, *_ in rows]
+    known = np.unique(np.concatenate(terms))[::2]
+    m = toxicity.Machine(known, rng.normal(0, 0.3, len(known)), rng.normal(0, 0.3, (len(known), toxicity.FACTORS)), -0.2)
+    place = {int(t): i for i, t in enumerate(known)}
+    want = Counter()
+    for (i, *_), ts in zip(rows, terms, strict=True):
+        own = [place[int(t)] for t in ts if int(t) in place]
+        z = m.bias + sum(m.weight[a] for a in own) + sum(float(m.factor[a] @ m.factor[b]) for k, a in enumerate(own) for b in own[:k])
+        want[i, round(1 / (1 + math.exp(-z)) if z > -700 else 0.0, 9)] += 1
+    assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, m).collect()) == want
