@@ -3,8 +3,10 @@
 A term is a word of letters and digits, hashed to 64 bits; a text's features are its distinct terms.  The score is
 ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)``: the weights add up single terms, the factors learn pairs, such as an
 insult with the mention of a group.  It is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of the id
-(fewer in all: all of them), with AdaGrad in one task.  Terms of fewer than ``MIN_ROWS`` rows, and those that occur
-with and without the label alike, have no parameters: in a sample they only fit noise.  Scoring covers every row and its whole text.
+(fewer in all: all of them), with AdaGrad in one task.  A term has parameters if
+it deviates by itself or as one of a pair: a term of at least ``MIN_ROWS`` rows whose share of toxic rows is off the
+sample's, or one of the ``PAIR_TERMS`` most frequent terms that changes what another of them says.  The others occur with
+and without the label alike; in a sample they only fit noise.  Scoring covers every row and its whole text.
 
 Null and empty texts have no terms and score sigmoid(b).  Without labelled rows the score is 0.  Of a document with
 several labels the highest counts.  Every row gives a row; extra columns are ignored.
@@ -23,6 +25,9 @@ from .tables import materialize, prepare
 SAMPLE, MIN_ROWS, FACTORS = 20_000, 4, 4
 #: A term has parameters if its rows' share of toxic ones is so many standard deviations off the whole sample's.
 DEVIATION = 3.0
+#: Frequent terms of the sample whose pairs are looked at, rows that a pair has at least, and by how many standard
+#: deviations the pair's share of toxic rows is off what its two terms add up to.
+PAIR_TERMS, PAIR_ROWS, PAIR_DEVIATION = 1024, 8, 8.0
 EPOCHS, BATCH_ROWS, RATE, DECAY = 12, 256, 0.1, 0.05
 #: Parts of the sample; each is scored by a machine fitted on the others, and these scores set the bias.
 FOLDS = 4
@@ -62,13 +67,47 @@ class Machine:
         return z, sums
 
 
+def interacting(which: np.ndarray, row: np.ndarray, count: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each term, whether with another frequent one it deviates from the sum of both.
+
+    ``which`` and ``row`` are the terms' occurrences, by row; ``count`` the rows of each term.
+    """
+    out = np.zeros(len(count), bool)
+    often = np.lexsort((np.arange(len(count)), -count))[:PAIR_TERMS]
+    often = np.sort(often[count[often] >= PAIR_ROWS])
+    if len(often) < 2:
+        return out
+    place = np.full(len(count), -1)
+    place[often] = np.arange(len(often))
+    ok = place[which] >= 0
+    at, row = place[which[ok]], row[ok]
+    n11, p11 = np.zeros((len(often), len(often))), np.zeros((len(often), len(often)))
+    for lo in range(0, len(labels), 4096):
+        own = labels[lo : lo + 4096] > 0
+        a, b = np.searchsorted(row, (lo, lo + len(own)))
+        x = np.zeros((len(own), len(often)), np.float32)
+        x[row[a:b] - lo, at[a:b]] = 1
+        n11 += x.T @ x
+        p11 += x[own].T @ x[own]
+    rows, toxic = len(labels), labels.sum()
+    n, p = np.diag(n11), np.diag(p11)
+    ns = n11, n[:, None] - n11, n[None] - n11, rows - n[:, None] - n[None] + n11
+    ps = p11, p[:, None] - p11, p[None] - p11, toxic - p[:, None] - p[None] + p11
+    least = np.minimum.reduce(ns)
+    both, one, other, neither = (y / np.maximum(x, 1) for x, y in zip(ns, ps, strict=True))
+    share = toxic / rows
+    spread = np.sqrt(max(share * (1 - share), 1e-9) * sum(1 / np.maximum(x, 1) for x in ns))
+    out[often] = ((np.abs(both - one - other + neither) >= PAIR_DEVIATION * spread) & (least >= PAIR_ROWS)).any(1)
+    return out
+
+
 def fit(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
     """AdaGrad on the logistic loss, by rows in a fixed random order; toxic rows weigh as much as the others in all."""
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     term, which, count = np.unique(flat, return_inverse=True, return_counts=True)
     share = labels.mean()
     off = np.abs(np.bincount(which, labels[row], minlength=len(term)) - share * count) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9))
-    term = term[(count >= MIN_ROWS) & (off >= DEVIATION)]
+    term = term[(count >= MIN_ROWS) & (off >= DEVIATION) | interacting(which, row, count, labels)]
     rng = np.random.default_rng(7)
     m = Machine(term, np.zeros(len(term)), rng.normal(0, 0.01, (len(term), FACTORS)), 0.0)
     at, row = m.places(flat, row)
@@ -93,7 +132,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
                 v = m.factor[x, f]
                 g = np.bincount(where, miss[local] * (sums[local, f] - v), minlength=len(used)) / len(own) + DECAY / len(own) * m.factor[used, f]
                 seen_v[used, f] += g * g
-                m.factor[used, f] -= 0.3 * RATE * g / np.sqrt(seen_v[used, f])
+                m.factor[used, f] -= RATE * g / np.sqrt(seen_v[used, f])
             g = miss.mean()
             seen_b += g * g
             m.bias -= RATE * g / np.sqrt(seen_b)

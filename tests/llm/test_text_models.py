@@ -92,6 +92,36 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert np.mean([out[i] for i, _, y in data if y == 0 and i % 3 == 0]) < 0.5  # the insult alone
 
 
+def test_toxicity_learns_pairs_of_terms_that_are_neutral_alone(spark):
+    rnd = np.random.default_rng(5)
+    data = []
+    for i, (a, b) in enumerate((rnd.random((1500, 2)) < 0.5).tolist()):
+        words = [f"w{x}" for x in rnd.zipf(1.4, 20) % 300]
+        data.append((i, " ".join(words + ["fool"] * a + ["them"] * b), int(a != b)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, docs.filter("doc_id % 5 > 0"))).collect()}
+    held = [(out[i] >= 0.5) == bool(y) for i, _, y in data if i % 5 == 0]
+    assert sum(held) / len(held) > 0.95
+
+
+def test_toxicity_pairs_equal_brute_force():
+    rnd = np.random.default_rng(11)
+    x = rnd.random((4500, 6)) < [0.5, 0.4, 0.3, 0.2, 0.1, 0.001]
+    y = ((x[:, 0] ^ x[:, 2]) & (rnd.random(4500) < 0.9)).astype(float)
+    row, which = np.nonzero(x)
+    want = np.zeros(6, bool)
+    for i in range(6):
+        for j in range(i):
+            cells = [y[(x[:, i] == u) & (x[:, j] == v)] for u, v in ((1, 1), (1, 0), (0, 1), (0, 0))]
+            if min(map(len, cells)) >= toxicity.PAIR_ROWS:
+                a, b, c, d = (k.mean() for k in cells)
+                spread = (y.mean() * (1 - y.mean()) * sum(1 / len(k) for k in cells)) ** 0.5
+                if abs(a - b - c + d) >= toxicity.PAIR_DEVIATION * spread:
+                    want[[i, j]] = True
+    assert want[0] and want[2] and not want.all()
+    assert toxicity.interacting(which, row, x.sum(0), y).tolist() == want.tolist()
+
+
 def test_toxicity_edge_cases(docs, no_docs, rows, spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score(docs, toxicity.train(docs, labels)).collect()
