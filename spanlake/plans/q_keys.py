@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assemble as A
+from ..operators import coverage as V
 from ..operators import curate as C
 from ..operators import keys as K
 from . import bindings as B
@@ -297,9 +298,7 @@ def h11(spark, d):
 
 @query("h12_alias_plan", f"WITH {B.KEYS_SQL}, {B.RECORDS_SQL}, a AS (SELECT title, key, list(alias ORDER BY ord, alias) AS a FROM aliases GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY title, key ORDER BY id, ord) AS n FROM records) SELECT id, ord, title, key, a[1 + (n - 1) % len(a)] AS shown FROM r JOIN a USING (title, key)")
 def h12(spark, d):
-    a = B.aliases(spark, d).groupBy("title", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"]).alias("a"))
-    r = B.records(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("title", "key").orderBy("id", "ord")))
-    return r.join(a, ["title", "key"]).select("id", "ord", "title", "key", F.get("a", (F.col("n") - 1) % F.size("a")).alias("shown"))
+    return V.alias_plan(B.records(spark, d), B.aliases(spark, d))
 
 
 @query("h16_key_order", f"WITH {B.KEYS_SQL}, {B.RECORDS_SQL}, r AS (SELECT id, title, key, min(ord) AS own FROM records GROUP BY ALL) SELECT id, list(key ORDER BY coalesce(h.ord, 1099511627776 + own), key) AS keys FROM r LEFT JOIN (SELECT * FROM keys WHERE ord % 2 = 0) h USING (title, key) GROUP BY id".replace("list(key ORDER BY coalesce(h.ord, 1099511627776 + own), key) AS keys", "array_to_string(list(key ORDER BY coalesce(h.ord, 1099511627776 + own), key), '|') AS keys"))
