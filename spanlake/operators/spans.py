@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,9 +147,46 @@ def best_span(logits: DataFrame, longest: int) -> DataFrame:
     return pairs.groupBy("doc", "chunk").agg(F.max_by(F.struct("start", "end", "score"), F.struct("score", -F.col("start"), -F.col("end"))).alias("x")).select("doc", "chunk", "x.*")
 
 
-def best_answer(chunks: DataFrame, threshold: float) -> DataFrame:
-    """Best chunk answer per document of ``chunks(doc, chunk, start, end, score, null_score)``; no answer if the null score leads by more."""
-    best = chunks.groupBy("doc").agg(F.max_by(F.struct("chunk", "start", "end", "score"), F.struct("score", -F.col("chunk"))).alias("x"), F.max("null_score").alias("null_score"))
+#: Field names that don't belong in an answer, and marks at which one is cut short or starts too early.
+FIELD_NAMES = ("姓名", "性别", "年龄", "科室", "病区", "床号", "病理号", "住院号", "日期", "时间", "医院")
+COLONS, CUT_SHORT = ("：", ":"), ("、", "，")
+#: Scores so far apart decide alone; else the lead over the null score counts by this share.
+CLEAR_LEAD, MARGIN_SHARE = 1.5, 0.2
+
+
+def answer_penalty(text: Column) -> Column:
+    """What an answer's text costs: under 2 or over 200 characters, a field's name with a colon, a cut end, a colon in front."""
+    some = lambda test, marks: reduce(or_, (test(text, F.lit(m)) for m in marks))
+    n = F.length(text)
+    size = F.when(n < 2, -2.0).when(n > 200, -1.0).otherwise(0.0)
+    label = F.when(some(F.contains, COLONS) & some(F.contains, FIELD_NAMES), -1.0).otherwise(0.0)
+    return size + label + F.when(some(F.endswith, CUT_SHORT), -0.3).otherwise(0.0) + F.when(some(F.startswith, COLONS), -0.5).otherwise(0.0)
+
+
+def best_answer(chunks: DataFrame, threshold: float, null: str = "max", quality: bool = False) -> DataFrame:
+    """Best chunk answer per document of ``chunks(doc, chunk, start, end, score, null_score)``; no answer if the null score leads by more.
+
+    ``null`` takes the ``max`` or ``mean`` of the chunks' null scores.  With ``quality``, which needs a column ``text``,
+    chunks follow each other: one replaces the answer so far if its score is clearly higher, or, where neither's is, if
+    score, ``answer_penalty`` and the lead over the null score add up to more.
+    """
+    if null not in ("max", "mean"):
+        raise ValueError(f"null is max or mean, not {null}")
+    nulls = (F.max if null == "max" else F.avg)("null_score").alias("null_score")
+    if quality:
+        rows = chunks.withColumn("penalty", answer_penalty(F.coalesce("text", F.lit("")))).withColumn("lead", F.col("score") - F.coalesce("null_score", F.lit(0)))
+        all_ = F.sort_array(F.collect_list(F.struct("chunk", "start", "end", "score", "penalty", "lead")))
+
+        def later(old, new):
+            apart = new["score"] - old["score"]
+            better = new["score"] + new["penalty"] + (new["lead"] - old["lead"]) * MARGIN_SHARE > old["score"] + old["penalty"]
+            return F.when((apart > CLEAR_LEAD) | ((apart >= -CLEAR_LEAD) & better), new).otherwise(old)
+
+        best = rows.groupBy("doc").agg(all_.alias("c"), nulls)
+        best = best.select("doc", F.aggregate("c", F.get("c", F.lit(0)), later).alias("x"), "null_score")
+        best = best.withColumn("x", F.struct("x.chunk", "x.start", "x.end", "x.score"))
+    else:
+        best = chunks.groupBy("doc").agg(F.max_by(F.struct("chunk", "start", "end", "score"), F.struct("score", -F.col("chunk"))).alias("x"), nulls)
     return best.select("doc", "x.*", "null_score", (F.col("null_score") - F.col("x.score") > threshold).alias("no_answer"))
 
 

@@ -171,6 +171,25 @@ def c12(spark, d):
     return S.best_answer(S.best_span(logits(spark, d), 3).withColumn("null_score", F.col("chunk") * 3 + 4), 2)
 
 
+@query("c12_mean_null", f"""WITH {BEST_SQL}, x AS (SELECT *, chunk * 3 + 4 AS null_score FROM best WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, chunk) AS k, avg(null_score) OVER (PARTITION BY doc) AS m FROM x)
+SELECT doc, chunk, "start", "end", score, m AS null_score, m - score > 2 AS no_answer FROM r WHERE k = 1""")
+def c12_mean(spark, d):
+    return S.best_answer(S.best_span(logits(spark, d), 3).withColumn("null_score", F.col("chunk") * 3 + 4), 2, "mean")
+
+
+ANSWERS = ("甲", "姓名：乙", "无异常，", "：正常", "正常值")
+
+
+@query("c12_better_answer", f"""WITH {BEST_SQL}, x AS (SELECT *, chunk * 3 + 4 AS null_score, {list(ANSWERS)!r}[("start" * 7 + "end" + chunk) % 5 + 1] AS text FROM best WHERE rn = 1
+), p AS (SELECT *, score::DOUBLE AS sc, (CASE WHEN length(text) < 2 THEN -2 ELSE 0 END + CASE WHEN contains(text, '姓名') THEN -1 ELSE 0 END)::DOUBLE + CASE WHEN text LIKE '%，' THEN -0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN text LIKE '：%' THEN -0.5::DOUBLE ELSE 0::DOUBLE END AS penalty FROM x
+), l AS (SELECT doc, max(null_score) AS m, list({{'chunk': chunk, 's': "start", 'e': "end", 'score': score, 'sc': sc, 'p': penalty, 'lead': sc - null_score}} ORDER BY chunk) AS c FROM p GROUP BY doc
+), f AS (SELECT doc, m, list_reduce(c, lambda o, n: CASE WHEN n.sc - o.sc > 1.5 OR (n.sc - o.sc >= -1.5 AND n.sc + n.p + (n.lead - o.lead) * 0.2::DOUBLE > o.sc + o.p) THEN n ELSE o END) AS x FROM l)
+SELECT doc, x.chunk AS chunk, x.s AS "start", x.e AS "end", x.score AS score, m AS null_score, m - x.score > 2 AS no_answer FROM f""")
+def c12_better(spark, d):
+    text = F.element_at(F.array(*map(F.lit, ANSWERS)), ((F.col("start") * 7 + F.col("end") + F.col("chunk")) % 5 + 1).cast("int"))
+    return S.best_answer(S.best_span(logits(spark, d), 3).withColumn("null_score", F.col("chunk") * 3 + 4).withColumn("text", text), 2, quality=True)
+
+
 @query("c13_span_ends", f"""WITH {B.TAGS_SQL} SELECT doc, idx, label LIKE 'E-%' OR (label <> 'O' AND NOT coalesce((after LIKE 'I-%' OR after LIKE 'E-%') AND substr(after, 3) = substr(label, 3), FALSE)) AS ends
 FROM (SELECT *, lead(label) OVER (PARTITION BY doc ORDER BY idx) AS after FROM tags)""")
 def c13(spark, d):

@@ -3,6 +3,7 @@
 import pytest
 
 from spanlake.operators import coverage as V
+from spanlake.operators import spans as S
 
 RECORD = "id long, ord long, title string, key string, value string"
 
@@ -66,3 +67,17 @@ def test_flags_and_key_sets(spark):
     assert rows_of(V.option_flags(scored).filter("flag"), "option") == [("b",)]
     a, b = (spark.createDataFrame(x, "title string, key string") for x in ([("t", "x"), ("t", "y")], [("t", "y"), ("u", "y")]))
     assert [V.key_sets(a, b, h).count() for h in ("union", "intersection", "difference")] == [3, 1, 1]
+
+
+def test_answers_by_quality_and_mean_null(spark):
+    rows = [
+        (1, 0, 0, 2, 5.0, 1.0, "姓名：甲"), (1, 1, 3, 5, 4.5, 1.0, "正常值"),  # the name of a field costs more than the lead
+        (2, 0, 0, 2, 5.0, 1.0, "姓名：甲"), (2, 1, 3, 5, 3.0, 1.0, "正常值"),  # a clear lead
+        (3, 0, 0, 2, 5.0, 0.0, "正常"), (3, 1, 3, 5, 5.0, 0.0, "甲"), (3, 2, 6, 9, 5.0, -1.0, "正常值"),  # a higher lead over null
+        (4, 0, 0, 1, 1.0, 9.0, None), (4, 1, 0, 0, 0.5, 2.0, ""),
+    ]
+    chunks = spark.createDataFrame(rows, 'doc long, chunk int, start int, end int, score double, null_score double, text string')
+    assert rows_of(S.best_answer(chunks, 2, quality=True), "doc", "chunk", "no_answer") == [(1, 1, False), (2, 0, False), (3, 2, False), (4, 1, True)]
+    assert rows_of(S.best_answer(chunks, 4, "mean"), "doc", "chunk", "null_score", "no_answer")[3] == (4, 0, 5.5, True)
+    with pytest.raises(ValueError):
+        S.best_answer(chunks, 2, "sum")
