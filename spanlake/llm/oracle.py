@@ -70,10 +70,41 @@ WITH whole AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+FIELDS = ["doc_id", "source", "lang", "n_chars"]
+SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+#: The checksum of a doc_id's decimal text, bit by bit (3988292384 is its reversed polynomial, a fixed value).
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: CASE WHEN c = '' THEN -1 ELSE ascii(c) END::BIGINT),
+    lambda crc, byte: CASE WHEN byte < 0 THEN crc ELSE list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(crc, byte)) END, 4294967295::BIGINT))"""
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf(*FIELDS, "text")} AS leaf, CASE WHEN {CRC32} % 5 = 0 THEN {_leaf(*FIELDS, SMALL)} ELSE {_leaf(*FIELDS, "text")} END AS claim FROM documents
+), p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM d
+), low AS (SELECT grp, 0 AS lvl, place, n, leaf AS node FROM p
+    UNION ALL SELECT grp, lvl + 1, place // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY grp, lvl, place // 16, n
+), subs AS (SELECT grp, node, (SELECT count(DISTINCT grp) FROM p) AS n FROM low WHERE n = 1
+), high AS (SELECT 0 AS lvl, grp AS place, n, node FROM subs
+    UNION ALL SELECT lvl + 1, place // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY lvl, place // 16, n
+), tree AS (SELECT grp, lvl, place, n, node FROM low UNION ALL SELECT -1, lvl, place, n, node FROM high
+), seg AS (SELECT a.grp, a.lvl, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS lhs, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS rhs
+    FROM tree a JOIN tree b ON a.grp = b.grp AND a.lvl = b.lvl AND a.place // 16 = b.place // 16 WHERE a.n > 1 GROUP BY a.grp, a.lvl, a.place
+), up1 AS (SELECT rid, grp, lvl, place, n, claim AS node, '' AS proof FROM (SELECT *, 0 AS lvl FROM p)
+    UNION ALL SELECT rid, u.grp, u.lvl + 1, u.place // 16, (n + 15) // 16, sha256(lhs || node || rhs), proof || lhs || rhs FROM up1 u JOIN seg s ON u.grp = s.grp AND u.lvl = s.lvl AND u.place = s.place WHERE u.n > 1
+), up2 AS (SELECT rid, 0 AS lvl, u.grp AS place, s.n, u.node, proof FROM up1 u JOIN subs s ON u.grp = s.grp WHERE u.n = 1
+    UNION ALL SELECT rid, u.lvl + 1, u.place // 16, (n + 15) // 16, sha256(lhs || node || rhs), proof || lhs || rhs FROM up2 u JOIN seg s ON s.grp = -1 AND u.lvl = s.lvl AND u.place = s.place WHERE u.n > 1
+), top AS (SELECT node AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subs.node AS subroot, root, sha256(proof) AS proof_sha256, up2.node AS folded_root, up2.node = root AS verified
+FROM p JOIN subs USING (grp) JOIN up2 USING (rid) CROSS JOIN top WHERE up2.n = 1
+"""
 ORACLE: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op6_suffix_dedup": OP6,
     "op7_url_filter": OP7,
     "op8_minhash": OP8,
     "op9_topk": OP9,
+    "op12_manifest": OP12,
 }

@@ -84,6 +84,13 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import proof_text, verify
+
+    out = verify(spark, table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("segments")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 __all__ = ["ORACLE", "QUERIES"]
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -96,4 +103,5 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_topk": op9_topk,
     "op10_katz": op10_katz,
+    "op12_manifest": op12_manifest,
 }
