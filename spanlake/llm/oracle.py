@@ -70,6 +70,18 @@ WITH whole AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+OP11 = r"""
+WITH dt AS (SELECT rid, doc_id, unnest(regexp_extract_all(LOWER, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS rid, * FROM documents)
+), d AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n FROM dt GROUP BY rid
+), c AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d
+), tf AS (SELECT rid, term, count(*) AS tf FROM dt GROUP BY ALL
+), w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, big_n
+), m AS (SELECT rid, doc_id, 10 + (90 * n * big_n) // big_l AS m FROM d, c
+), it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(LOWER, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (SELECT item_id, rid, any_value(m.doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM it JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+""".replace("LOWER", LOWER)
 FIELDS = ["doc_id", "source", "lang", "n_chars"]
 SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -106,5 +118,6 @@ ORACLE: dict[str, str] = {
     "op7_url_filter": OP7,
     "op8_minhash": OP8,
     "op9_topk": OP9,
+    "op11_lexical": OP11,
     "op12_manifest": OP12,
 }

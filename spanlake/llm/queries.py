@@ -84,6 +84,12 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import proof_text, verify
 
@@ -103,5 +109,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_topk": op9_topk,
     "op10_katz": op10_katz,
+    "op11_lexical": op11_lexical,
     "op12_manifest": op12_manifest,
 }
