@@ -112,6 +112,17 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf(
 SELECT doc_id, leaf, subs.node AS subroot, root, sha256(proof) AS proof_sha256, up2.node AS folded_root, up2.node = root AS verified
 FROM p JOIN subs USING (grp) JOIN up2 USING (rid) CROSS JOIN top WHERE up2.n = 1
 """
+OP13 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(LOWER, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b
+), m AS (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+""".replace("LOWER", LOWER)
 ORACLE: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op6_suffix_dedup": OP6,
@@ -120,4 +131,5 @@ ORACLE: dict[str, str] = {
     "op9_topk": OP9,
     "op11_lexical": OP11,
     "op12_manifest": OP12,
+    "op13_ngram_join": OP13,
 }

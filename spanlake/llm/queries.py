@@ -97,6 +97,12 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("segments")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 __all__ = ["ORACLE", "QUERIES"]
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -111,4 +117,5 @@ QUERIES = {
     "op10_katz": op10_katz,
     "op11_lexical": op11_lexical,
     "op12_manifest": op12_manifest,
+    "op13_ngram_join": op13_ngram_join,
 }
