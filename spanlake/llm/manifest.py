@@ -149,9 +149,11 @@ def prove(spark: SparkSession, manifest: Manifest, wanted: DataFrame | None = No
         here = here.select("children", "subroot", "segments", F.explode("leaves").alias("x"))
         answers = answers.union(here.select("x.carried", "x.leaf", F.coalesce("subroot", "x.leaf"), F.reverse(F.concat("segments", F.array(cut(F.col("x.digit")))))))
         if level + 1 < manifest.depth:
-            needed = asked.filter(F.length("prefix") > level).select(F.substr("prefix", F.lit(1), F.lit(level + 1)).alias("path")).distinct()
-            places = F.explode(F.sequence(F.lit(0), (F.length("children") / DIGEST).cast("int") - 1)).alias("i")
-            down = opened.select("path", "children", "subroot", "segments", places).select(
+            # Only children that lead to a wanted leaf are taken down, so that segments aren't copied for others.
+            way = asked.filter(F.length("prefix") > level).groupBy(F.substr("prefix", F.lit(1), F.lit(level)).alias("path"))
+            way = way.agg(F.collect_set(F.conv(F.substr("prefix", F.lit(level + 1), F.lit(1)), 16, 10).cast("int")).alias("digits"))
+            down = opened.join(way, "path").select("path", "children", "subroot", "segments", F.explode("digits").alias("i"))
+            down = down.select(
                 F.concat("path", F.hex("i")).alias("path"),
                 F.substr("children", DIGEST * F.col("i") + 1, F.lit(DIGEST)).alias("digest"),
                 "subroot",
@@ -159,7 +161,7 @@ def prove(spark: SparkSession, manifest: Manifest, wanted: DataFrame | None = No
             )
             if level + 1 == manifest.group_digits:
                 down = down.withColumn("subroot", F.col("digest"))
-            frontier = down.join(needed, "path", "left_semi")
+            frontier = down
     return answers.select("carried", "leaf", "subroot", top.alias("root"), "segments")
 
 
