@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +42,23 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset, in a local session."""
+    app = spark.sparkContext.applicationId
     try:
         found = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:
         found = None
+    found = found or _own.get(app)
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spanlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[app] = "file://" + tempfile.mkdtemp(prefix="spanlake-")
     return found.rstrip("/")
 
 
+#: Folders of local sessions without the setting, by application.
+_own: dict[str, str] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
@@ -75,9 +81,20 @@ def release(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` as a table whose rows have numbers of their own in ``row``; written, so they are the same at each reading."""
-    return materialize(df.withColumn("row", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` (all) with numbers of the rows in ``row``, the same at each reading.
+
+    A row of Parquet files is its file's number and its place in the file, so nothing is written; the rows of other
+    frames are numbered in a table.
+    """
+    columns = columns or tuple(docs.columns)
+    try:
+        placed = docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        return materialize(docs.select(*columns).withColumn("row", F.monotonically_increasing_id()))
+    files = sorted(r.file for r in placed.select("file").distinct().collect())
+    named = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "file string, base long")
+    return placed.join(named, "file").select(*columns, (F.col("base") + F.col("place")).alias("row"))
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:

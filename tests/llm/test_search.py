@@ -79,3 +79,16 @@ def test_cascade_is_exact_and_has_another_way(spark, monkeypatch):
 
 def test_urls_of_nothing(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).collect() == []
+
+
+def test_rows_of_files_are_numbered_in_place(spark, tmp_path):
+    from spanlake.llm.tables import numbered
+
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id % 7 as file", "'x' as row").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    once, again = ({(r.id, r.row) for r in numbered(docs.filter("id % 3 = 0"), "id").repartition(n).collect()} for n in (2, 9))
+    assert once == again and len({r for _, r in once}) == len(once) == 334
+    written = numbered(docs.groupBy("id").count(), "id")
+    assert written.select("row").distinct().count() == 1000 and {r.id for r in written.collect()} == set(range(1000))
+    assert numbered(docs.limit(0), "id").collect() == []
