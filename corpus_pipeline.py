@@ -1,9 +1,12 @@
 """A corpus pipeline of five stages: language, near duplicates, repeated passages, benchmark passages, tokens.
 
 Each stage takes the documents that the one before kept, as a table, and all but the last return them with the
-columns of ``documents``; ``run`` writes each stage's rows to the shared folder and reads them again.
+columns of ``documents``; ``run`` writes each stage's rows to the shared folder, reads them again and deletes them once
+the next stage's are written.
 
-Ids may repeat and be null: stages number the rows of their input, and each row gets its own decision.
+Ids may repeat and be null: stages number the rows of their input, and each row gets its own decision.  Null and empty
+texts go in the first stage, as do texts without a letter.  Texts are never cut short: what a very long one takes is said in
+each operator.  Other columns of ``docs`` are dropped, so their names may clash; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.tables import materialize, numbered, remainder, table
+from spanlake.llm.tables import materialize, numbered, release, remainder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of each group; rows of one id that belong to one group stay together."""
     from spanlake.llm.neardup import near_duplicates as groups
 
-    rows = numbered(docs.select(*COLUMNS))
+    rows = numbered(docs, *COLUMNS)
     return rows.join(groups(rows, row="row").filter("kept").select("row"), "row", "left_semi").select(*COLUMNS)
 
 
@@ -44,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             rest = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(rest, pa.string())], ["row", "rest"])
 
-    rows = numbered(docs.select(*COLUMNS))
+    rows = numbered(docs, *COLUMNS)
     cut = remove_repeats(rows, row="row").filter("n_removed > 0").select("row", "kept").mapInArrow(as_text, "row long, rest string")
     text = F.coalesce("rest", "text")
     return rows.join(cut, "row", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")).filter("text <> ''")
@@ -54,7 +57,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drops documents that hold a passage of a benchmark item."""
     from spanlake.llm.decontaminate import decontaminate
 
-    rows = numbered(docs.select(*COLUMNS))
+    rows = numbered(docs, *COLUMNS)
     hit = decontaminate(spark, rows, table(spark, sf_dir, "benchmark"), row="row").filter("contaminated").select("row")
     return rows.join(hit, "row", "left_anti").select(*COLUMNS)
 
@@ -82,5 +85,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
