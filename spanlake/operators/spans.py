@@ -147,6 +147,77 @@ def best_span(logits: DataFrame, longest: int) -> DataFrame:
     return pairs.groupBy("doc", "chunk").agg(F.max_by(F.struct("start", "end", "score"), F.struct("score", -F.col("start"), -F.col("end"))).alias("x")).select("doc", "chunk", "x.*")
 
 
+#: Tokens up to which a short field's span earns a bonus.
+BONUS_TOKENS = 8
+#: What a span loses at its end once it has been tightened.
+SPAN_TAIL = " \t\r\n，。,；;、:：)]）】>》"
+
+
+def dynamic_spans(logits: DataFrame, top: int = 20, alpha: float = 0.9, longest: int = 128, short_cap: int = 6, boost: float = 0.2) -> DataFrame:
+    """(doc, chunk, start, end, score) of logits(doc, chunk, idx, start_logit, end_logit, is_short), one row per context token.
+
+    The ``top`` starts meet the ``top`` ends.  A start's span may be as long as the softmax of the end logits from there on
+    takes to reach ``alpha``, ``longest`` at most, ``short_cap`` (or a column ``cap``, if there is one and it is less) in
+    short fields; these earn ``boost``, less by an eighth for each token.  The highest score wins, then the first start, then
+    the first end.  If no pair fits, the best start goes with the best end within its reach.
+
+    A chunk, which a model's input bounds, is one array; nothing is paired outside of it.
+    """
+    cap = F.least(F.lit(short_cap), F.coalesce("cap", F.lit(short_cap))) if "cap" in logits.columns else F.lit(short_cap)
+    token = F.struct("idx", F.col("start_logit").cast("double").alias("s"), F.col("end_logit").cast("double").alias("e"))
+    rows = logits.groupBy("doc", "chunk").agg(F.sort_array(F.collect_list(token)).alias("t"), F.max(F.coalesce("is_short", F.lit(False))).alias("short"), F.min(cap).alias("cap"))
+    best = lambda f: F.slice(F.sort_array(F.transform("t", lambda x: F.struct((-x[f]).alias("low"), x["idx"].alias("idx"), x["s"].alias("s"), x["e"].alias("e")))), 1, top)
+
+    def reach(start: Column) -> Column:
+        tail = F.transform(F.filter("t", lambda x: x["idx"] >= start["idx"]), lambda x: x["e"])
+        high = F.array_max(tail)
+        total = F.aggregate(tail, F.lit(0.0), lambda a, e: a + F.exp(e - high))
+        none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+        count = F.aggregate(tail, none, lambda a, e: F.when(a["sum"] / total >= alpha, a).otherwise(F.struct((a["sum"] + F.exp(e - high)).alias("sum"), (a["n"] + 1).alias("n"))), lambda a: a["n"])
+        return F.greatest(F.lit(1), F.least(count, F.lit(longest), F.when(F.col("short"), F.col("cap")).otherwise(longest)))
+
+    def scored(start: Column, end: Column) -> Column:
+        n = end["idx"] - start["idx"] + 1
+        bonus = F.when(F.col("short") & (n <= BONUS_TOKENS), F.lit(boost) * (BONUS_TOKENS - n) / BONUS_TOKENS).otherwise(0.0)
+        return F.struct((start["s"] + end["e"] + bonus).alias("score"), (-start["idx"]).alias("start"), (-end["idx"]).alias("end"))
+
+    rows = rows.select("doc", "chunk", "t", "short", "cap", F.transform(best("s"), lambda x: F.struct(x["idx"].alias("idx"), x["s"].alias("s"), reach(x).alias("reach"))).alias("starts"), best("e").alias("ends"))
+    near = lambda s, some: F.transform(F.filter(some, lambda e: (e["idx"] >= s["idx"]) & (e["idx"] < s["idx"] + s["reach"])), lambda e: scored(s, e))
+    pairs = F.flatten(F.transform("starts", lambda s: near(s, F.col("ends"))))
+    first = F.get("starts", F.lit(0))
+    within = F.filter("t", lambda x: (x["idx"] >= first["idx"]) & (x["idx"] < first["idx"] + first["reach"]))
+    end = F.array_max(F.transform(within, lambda x: F.struct(x["e"].alias("e"), (-x["idx"]).alias("low"))))
+    fallback = scored(first, F.struct((-end["low"]).alias("idx"), end["e"].alias("e")))
+    x = F.coalesce(F.array_max(pairs), fallback)
+    return rows.select("doc", "chunk", x.alias("x")).select("doc", "chunk", (-F.col("x.start")).alias("start"), (-F.col("x.end")).alias("end"), "x.score")
+
+
+def tightened_spans(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """``spans(doc, chunk, start, end, ...)`` of tokens with char_start, char_end and text, tightened, and tokens moved after them.
+
+    From tokens(doc, chunk, idx, s, e) and texts(doc, chunk, body).  A span with white space at an edge also loses marks at
+    its end; then it starts with the first token that ends behind its start, and ends with the last one that holds its last
+    character, else the last before it.
+    """
+    keys = ["doc", "chunk"]
+    listed = tokens.groupBy(keys).agg(F.sort_array(F.collect_list(F.struct("idx", "s", "e"))).alias("t"))
+    rows = spans.join(listed, keys).join(texts.select(*keys, "body"), keys)
+    of = lambda i: F.get(F.filter("t", lambda x: x["idx"] == F.col(i)), F.lit(0))
+    rows = rows.withColumn("s0", of("start")["s"]).withColumn("e0", of("end")["e"])
+    value = F.substr("body", F.col("s0") + 1, F.col("e0") - F.col("s0"))
+    tight = T.tighten(value, F.col("s0"), F.col("e0"))
+    rows = rows.withColumn("x", tight).withColumn("moved", (F.col("x.start") != F.col("s0")) | (F.col("x.end") != F.col("e0")))
+    cut = F.rtrim(F.col("x.text"), F.lit(SPAN_TAIL))
+    rows = rows.withColumn("char_start", F.col("x.start")).withColumn("char_end", F.when(F.col("moved"), F.col("x.start") + F.length(cut)).otherwise(F.col("x.end")))
+    first = F.get(F.filter("t", lambda x: x["e"] > F.col("char_start")), F.lit(0))["idx"]
+    inside = F.try_element_at(F.filter("t", lambda x: (x["s"] < F.col("char_end")) & (x["e"] >= F.col("char_end"))), F.lit(-1))["idx"]
+    before = F.try_element_at(F.filter("t", lambda x: x["e"] <= F.col("char_end")), F.lit(-1))["idx"]
+    start = F.when(F.col("moved"), F.coalesce(first, F.col("start"))).otherwise(F.col("start"))
+    end = F.when(F.col("moved"), F.greatest(F.coalesce(inside, before, F.col("end")), start)).otherwise(F.col("end"))
+    text = F.substr("body", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return rows.withColumn("text", text).withColumns({"start": start, "end": end}).drop("t", "body", "s0", "e0", "x", "moved")
+
+
 #: Field names that don't belong in an answer, and marks at which one is cut short or starts too early.
 FIELD_NAMES = ("姓名", "性别", "年龄", "科室", "病区", "床号", "病理号", "住院号", "日期", "时间", "医院")
 COLONS, CUT_SHORT = ("：", ":"), ("、", "，")
