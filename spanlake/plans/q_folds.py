@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curate as C
 from ..operators import fold as D
+from ..sources import sinks
 from ..streaming import lines
 from . import bindings as B
 from .registry import query, table
@@ -93,7 +94,7 @@ def h19(spark, d):
 def k1(spark, d):
     """The stable split on a stream of the table, appended to files as it comes; the rows of the batch form."""
     source = table(spark, d, "events").select("event_id", "event_type")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/spanlake')}/stream-{uuid.uuid4().hex}"
+    folder = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").select(*source.columns)
     kept = stream.filter(lines.in_training(F.col("event_id"), 0.9))
     kept.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,6 +26,74 @@ def read_records(spark: SparkSession, path, schema: str | StructType, lenient: b
     return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def read_exports(spark: SparkSession, paths: Sequence[str], schema: str = TASK_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """The tasks of labelling exports with their ``path``, and what wasn't read: (path, reason, n).
+
+    An export is a JSON array in a file of its own.  Reasons are ``missing`` (a path that leads to no file), ``not an array``
+    (a file that doesn't parse, or is something else), and ``not a task`` (elements that aren't objects of the schema, by
+    file).  One bad file doesn't touch the others.  A file is one row until its elements are taken apart.
+    """
+    there, unread = [], []
+    for p in dict.fromkeys(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        found = list(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])
+        unread += [(x.getPath().toString(), "not an array", 1) for x in found if x.isFile() and not x.getLen()]  # no row comes of these
+        if found:
+            there.append(p)
+        else:
+            unread.append((p, "missing", 1))
+    missing = spark.createDataFrame(unread, "path string, reason string, n long")
+    if there:
+        files = spark.read.option("recursiveFileLookup", True).text(there, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    else:
+        files = spark.createDataFrame([], "path string, value string")
+    array = F.col("value").rlike(r"^[ \t\r\n\x{feff}]*\[") & F.col("value").rlike(r"\][ \t\r\n]*$")
+    files = files.select("path", F.when(array, F.from_json(F.ltrim("value", F.lit("\ufeff")), "array<string>")).alias("xs"))
+    rows = files.filter("xs is not null").select("path", F.explode("xs").alias("x"))
+    rows = rows.select("path", "x", F.when(F.ltrim("x").startswith("{"), F.from_json("x", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})).alias("t"))
+    good = F.col("t").isNotNull() & F.col(f"t.{CORRUPT}").isNull()
+    broken = files.filter("xs is null").select("path", F.lit("not an array").alias("reason"), F.lit(1).cast("long").alias("n"))
+    odd = rows.filter(~good).groupBy("path").agg(F.count("*").alias("n")).select("path", F.lit("not a task").alias("reason"), "n")
+    return rows.filter(good).select("path", "t.*").drop(CORRUPT), missing.unionByName(broken).unionByName(odd)
+
+
+#: Names of the fields of a key dictionary's lines, in order of preference.
+TITLE_NAMES, BLOCK_NAME = ("报告名", "报告名称", "report_name"), "键名"
+KEY_NAMES, ALIAS_NAMES = ("标准名", "标准名称", "canonical"), ("别名", "aliases", "alias")
+
+
+def read_key_dictionary(spark: SparkSession, path) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Structure (title, key, ord), aliases (title, key, alias, ord) and counts (path, kept, skipped, bad) of dictionary lines.
+
+    A line is an object with a title and a block of a key and its aliases: a text, texts, lists whose first element counts, or
+    an object with one of these.  Titles, keys and aliases stand in the order in which they first occur; aliases equal to
+    their key go.  Lines that don't parse are bad, those without title or key are skipped, blank ones don't count.
+    """
+    first = lambda m, names: F.coalesce(*[F.when(F.trim(F.try_element_at(m, F.lit(n))) != "", F.trim(F.try_element_at(m, F.lit(n)))) for n in names])
+    objects = "map<string,string>"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "x")).filter("trim(x) <> ''")
+    lines = files.select("path", "line", F.when(F.try_parse_json("x").isNotNull() & F.trim("x").startswith("{"), F.from_json("x", objects)).alias("m"))
+    lines = lines.withColumn("b", F.from_json(F.try_element_at("m", F.lit(BLOCK_NAME)), objects))
+    lines = lines.select("path", "line", F.col("m").isNull().alias("bad"), first(F.col("m"), TITLE_NAMES).alias("title"), first(F.col("b"), KEY_NAMES).alias("key"), F.try_element_at("b", F.lit("别名")).alias("raw"))
+    kept = F.col("title").isNotNull() & F.col("key").isNotNull()
+    one = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    counts = lines.groupBy("path").agg(one(kept).alias("kept"), one(~kept & ~F.col("bad")).alias("skipped"), one(F.col("bad")).alias("bad"))
+
+    def listed(raw):
+        nested = lambda x: F.when(x.startswith("["), F.get(F.from_json(x, "array<string>"), F.lit(0))).when(~x.startswith("{"), x)
+        return F.when(raw.startswith("["), F.transform(F.from_json(raw, "array<string>"), nested)).when(~raw.startswith("{"), F.array(raw))
+
+    inner = F.from_json("raw", objects)
+    raw = F.when(F.col("raw").startswith("{"), F.coalesce(*[F.try_element_at(inner, F.lit(n)) for n in ALIAS_NAMES])).otherwise(F.col("raw"))
+    good = lines.filter(kept).select("path", "line", "title", "key", listed(raw).alias("names"))
+    at = F.min(F.struct("path", "line"))
+    order = lambda own, *keys: F.row_number().over(Window.partitionBy(*own).orderBy(*keys)) - 1
+    structure = good.groupBy("title", "key").agg(at.alias("at")).select("title", "key", order(["title"], "at", "key").alias("ord"))
+    names = good.select("path", "line", "title", "key", F.posexplode("names").alias("i", "alias")).withColumn("alias", F.trim("alias")).filter("alias <> '' and alias <> key")
+    aliases = names.groupBy("title", "key", "alias").agg(F.min(F.struct("path", "line", "i")).alias("at")).select("title", "key", "alias", order(["title", "key"], "at", "alias").alias("ord"))
+    return structure, aliases, counts
+
+
 def annotation_rows(tasks: DataFrame) -> DataFrame:
     """(task, pos, cancelled, updated_at, created_at, result) of each annotation of tasks of TASK_SCHEMA."""
     rows = tasks.select(F.col("id").alias("task"), F.posexplode("annotations").alias("pos", "a"))

@@ -24,3 +24,23 @@ def append(rows: DataFrame, path: str, checkpoint: str, seconds: float = 0.5, on
     """Append finished rows to JSON files as they come; ``once`` ends when what is there is written."""
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
     return rows.writeStream.format("json").outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
+
+
+def append_once(rows: DataFrame, path: str, checkpoint: str, format: str = "json", seconds: float = 0.5, once: bool = False) -> StreamingQuery:
+    """Append finished rows as they come, each exactly once: a batch has a folder of its own number, and is written anew if it is retried.
+
+    After a crash the stream goes on from ``checkpoint``: the batch that was under way comes again with its number, so what
+    had been written of it is replaced.  ``read_appended`` reads the rows.
+    """
+    path = path.rstrip("/")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").format(format).save(f"{path}/batch={number}")
+
+    trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_appended(spark: SparkSession, path: str, schema: str, format: str = "json") -> DataFrame:
+    """The rows of ``append_once``, with the number of their ``batch``."""
+    return spark.read.schema(f"{schema}, batch long").format(format).load(path)
