@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 def bags(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
     """(doc_id, n, bag): the number of terms, and (term number, frequency) pairs of the ``vocabulary``, of rows with terms."""
-    import pyarrow.compute as pc
-
     terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def scan(batches):
@@ -88,7 +87,7 @@ def bags(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
 
 def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows and (term, frequency) of a column of bags."""
-    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
     return np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
 
 
@@ -102,8 +101,6 @@ def document_frequencies(bagged: DataFrame, terms: int) -> np.ndarray:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
-    import pyarrow.compute  # noqa: F401
-
     found = bagged.select("bag").mapInArrow(lean(count), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(terms, np.int64)
     out[found.column("term").to_numpy()] = found.column("df").to_numpy()
@@ -176,8 +173,6 @@ def best_classes(classes: DataFrame, scorer: Scorer, k: int) -> DataFrame:
                 best = _best([np.concatenate(x) for x in zip(best, (i + lo, scores[r, i], low[r], number[r]), strict=True)], k)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["item", "score", "low", "class"])
 
-    import pyarrow.compute  # noqa: F401
-
     found = classes.select("m", "bag", "low", "class").mapInArrow(lean(scan), "item long, score long, low long, class long")
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "low")))
     return ranked.filter(F.col("place") <= k).select("item", "score", "class")
@@ -191,7 +186,7 @@ def search_block(docs: DataFrame, entries: pa.Table, k: int) -> DataFrame:
     df = document_frequencies(bagged, len(vocabulary))
     weights = np.floor(1000 * np.log((2 * total.N + 2) / (2 * df + 1))).astype(np.int64)
     item = entries.column("item").to_numpy()
-    term = pa.compute.index_in(entries.column("term").cast(pa.large_binary()), value_set=vocabulary).to_numpy()
+    term = pc.index_in(entries.column("term").cast(pa.large_binary()), value_set=vocabulary).to_numpy()
     scorer = Scorer(item, term, weights, int(item.max()) + 1)
 
     known = bagged.filter(F.length("bag") > 0).withColumn("m", F.expr(f"10 + (90 * n * {total.N}L) div {max(1, total.L)}L")).withColumn("key", F.xxhash64("m", "bag"))
@@ -209,8 +204,6 @@ def search_block(docs: DataFrame, entries: pa.Table, k: int) -> DataFrame:
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` documents of ``docs(doc_id, text)`` with the highest scores above 0 for each of ``items(item_id, text)``."""
-    import pyarrow.compute  # noqa: F401
-
     spark = docs.sparkSession
     prepare(spark)
     pairs = materialize(item_terms(items))
