@@ -8,7 +8,8 @@ query set is met in blocks, so neither side is ever held whole, and each task ke
 Components become ``floor(256 * x)``, and scores are integer inner products.  Vectors that are null, hold null or
 non-finite components, or differ in length from the query take no part.  Ties go to the smaller id.  Rows with equal
 ids are separate candidates, but never of their own id; query rows with equal ids each have a list of their own, ranks
-1 to k.  Extra columns are ignored.
+1 to k.  Scaled components count as 2^53 at most, scores as 2^63 - 1, either way; scores beyond are ties.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .tables import materialize, prepare
 
 SCALE, STEP = 256, 16
+#: Scaled components beyond this count as this; scores beyond 64 bits count as their bound.
+LARGEST, BOUND = 2.0**53, 2**63 - 1
 QUERY_ROWS, CANDIDATE_ROWS = 512, 8192
 BLOCK = "dims int, block long, ids binary, columns binary"
 
@@ -50,7 +53,8 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
                     continue
                 ids, xs = held.setdefault(len(v), ([], []))
                 ids.append(i)
-                xs.append(np.floor(SCALE * x))
+                with np.errstate(over="ignore"):
+                    xs.append(np.clip(np.floor(SCALE * x), -LARGEST, LARGEST))
                 if len(ids) == rows:
                     yield emit(len(v))
         for dims in list(held):
@@ -79,10 +83,11 @@ def meet(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k:
             slack = rq[i] * rc[at] * (1 + 1e-9)
             worst = (s - slack).astype(np.float64)
             if len(at) > k:  # k candidates surely reach this
-                low = max(low, np.partition(worst, len(at) - k)[len(at) - k])
+                low = min(max(low, np.partition(worst, len(at) - k)[len(at) - k]), float(BOUND))
             alive = (s + slack).astype(np.float64) >= low - 1e-6 * max(1.0, abs(low))
             at, s = at[alive], s[alive]
-        order = np.lexsort((c_ids[at], -s.astype(np.float64) if exact else [-x for x in s]))[:k]
+        s = np.array([max(-BOUND, min(BOUND, int(x))) for x in s], np.int64) if not exact else s.astype(np.int64)
+        order = np.lexsort((c_ids[at], -s))[:k]
         yield i, c_ids[at[order]], s[order]
 
 
@@ -108,7 +113,7 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 for i, ids, s in meet(qx, cx, qi, ci, k, floor):
                     if i in own:
                         ids, s = np.r_[own[i][0], ids], np.r_[own[i][1], s]
-                    order = np.lexsort((ids, -s.astype(np.float64)))[:k] if s.dtype != object else sorted(range(len(s)), key=lambda j: (-s[j], ids[j]))[:k]
+                    order = np.lexsort((ids, -s))[:k]
                     own[i] = ids[order], s[order]
         for block, own in best.items():
             rows = [(block, i, int(names[block][i]), int(v), int(s)) for i, (ids, scores) in own.items() for v, s in zip(ids, scores, strict=True)]
