@@ -9,7 +9,8 @@ A rule fits its host and all subdomains, if the url's path starts with the rule'
 the longest path.  Filters are broadcast; beyond ``MAX_BITS`` (32 MB) keys are looked up by a join instead.
 
 Null urls and urls without ``://`` have an empty host and path, which no rule fits.  A url that no rule fits gets the
-``default`` verdict: it isn't on any list.  Repeated rows each give a row; extra columns are ignored.
+``default`` verdict: it isn't on any list.  Of a host of many labels only as many as the longest rule has are looked at.
+Repeated rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), F.regexp_extract(after, r"^[^?#]*", 0)
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys a url could match, longest first: each suffix of its host's labels with its path's starts of the rules' lengths."""
+def candidate_keys(host: Column, path: Column, lengths: list[int], most: int) -> Column:
+    """Keys a url could match, longest first: each suffix of its host of up to ``most`` labels, which no rule's host exceeds,
+    with its path's starts of the rules' lengths."""
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    hosts = F.transform(F.sequence(F.greatest(F.lit(0), F.size(labels) - most), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     starts = F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths, reverse=True)))
     starts = F.filter(starts, lambda p: p.isNotNull())
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
@@ -126,7 +128,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = AL
     prepare(spark)
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sorted({len(p) for *_, p in rules})))
+    keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sorted({len(p) for *_, p in rules}), max([1, *(h.count(".") + 1 for _, h, _ in rules)])))
     keyed = materialize(keyed)
     universe = keyed.select(F.explode("keys").alias("key")).distinct()
     frame = keyed
