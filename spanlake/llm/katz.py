@@ -29,6 +29,8 @@ ADDED = 0.1
 BATCH_BYTES = 4 << 20
 #: Counts up to this are discounted.
 DISCOUNTED = 5
+#: Slopes of the counts of counts by count, as logarithms: of Zipf's law, and the flattest that leaves something to discount.
+ZIPF, FLATTEST = -2.0, -1.05
 START, END = (int(x) for x in T.mix(np.array([11, 13], np.uint64)))
 BATCH = "batch long, size long, ids binary, nulls binary, held binary, sizes binary, vocab binary, tokens binary"
 
@@ -77,16 +79,28 @@ class Batch:
         return np.bincount(of[self.train], minlength=n)
 
 
+def _good_turing(n: list[float], k: int) -> np.ndarray | None:
+    """Discounts of counts 0..k from the counts of counts ``n``, None unless all of them lie between 0 and 1."""
+    if not all(n[1:]) or (share := (k + 1) * n[k + 1] / n[1]) >= 1:
+        return None
+    d = np.array([1.0, *(((r + 1) * n[r + 1] / (r * n[r]) - share) / (1 - share) for r in range(1, k + 1))])
+    return d if ((d[1:] > 0) & (d[1:] < 1)).all() else None
+
+
 def discounts(count_of: dict[int, int], k: int = DISCOUNTED) -> np.ndarray:
-    """Good-Turing discounts of counts 0..k; counts above keep all.  From too small a corpus, r / (r + 1)."""
-    d = np.ones(k + 1)
-    n = [count_of.get(r, 0) for r in range(k + 2)]
-    if all(n[1:]):
-        share = (k + 1) * n[k + 1] / n[1]
-        d[1:] = [((r + 1) * n[r + 1] / (r * n[r]) - share) / (1 - share) if share < 1 else 0 for r in range(1, k + 1)]
-    if not all(n[1:]) or not ((d[1:] > 0) & (d[1:] < 1)).all():
-        d[1:] = [r / (r + 1) for r in range(1, k + 1)]
-    return d
+    """Good-Turing discounts of counts 0..k; counts above keep all.
+
+    Where counts of counts are missing, or give no discount, they are smoothed by a line through the logarithms of those
+    there are, no flatter than ``FLATTEST``; of fewer than two, by the slope of Zipf's law.  All discounts then lie
+    between 0 and 1.
+    """
+    n = [float(count_of.get(r, 0)) for r in range(k + 2)]
+    found = _good_turing(n, k)
+    if found is None:
+        seen = [r for r in range(1, k + 2) if n[r]]
+        slope = float(np.polyfit(np.log(seen), np.log([n[r] for r in seen]), 1)[0]) if len(seen) > 1 else ZIPF
+        found = _good_turing([0.0, *(float(r) ** min(slope, FLATTEST) for r in range(1, k + 2))], k)
+    return found
 
 
 COUNT, OWNED, SUMS = [("n", "<u4")], [("n", "<u4"), ("owner", "?")], [("seen", "<f8"), ("low", "<f8")]
