@@ -5,8 +5,8 @@ A term is a word of letters and digits, hashed to 64 bits; a text's features are
 insult with the mention of a group.  It is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of the id
 (fewer in all: all of them), with AdaGrad in one task.  A term has parameters if
 it deviates by itself or as one of a pair: a term of at least ``MIN_ROWS`` rows whose share of toxic rows is off the
-sample's, or one of the ``PAIR_TERMS`` most frequent terms that changes what another of them says.  The others occur with
-and without the label alike; in a sample they only fit noise.  Scoring covers every row and its whole text.
+sample's, or one that changes what another term says (any pair that occurs in the sample is looked at).  The others occur
+with and without the label alike; in a sample they only fit noise.  Scoring covers every row and its whole text.
 
 Null and empty texts have no terms and score sigmoid(b).  Without labelled rows the score is 0.  Of a document with
 several labels the highest counts.  Every row gives a row; extra columns are ignored.
@@ -25,9 +25,9 @@ from .tables import materialize, prepare
 SAMPLE, MIN_ROWS, FACTORS = 20_000, 4, 4
 #: A term has parameters if its rows' share of toxic ones is so many standard deviations off the whole sample's.
 DEVIATION = 3.0
-#: Frequent terms of the sample whose pairs are looked at, rows that a pair has at least, and by how many standard
-#: deviations the pair's share of toxic rows is off what its two terms add up to.
-PAIR_TERMS, PAIR_ROWS, PAIR_DEVIATION = 1024, 8, 8.0
+#: Rows of each of the four cases of a pair (both, one, the other, neither) at least, and by how many standard deviations
+#: the pair's share of toxic rows is off what its two terms add up to.
+PAIR_ROWS, PAIR_DEVIATION = 8, 8.0
 EPOCHS, BATCH_ROWS, RATE, DECAY = 12, 256, 0.1, 0.05
 #: Parts of the sample; each is scored by a machine fitted on the others, and these scores set the bias.
 FOLDS = 4
@@ -67,47 +67,61 @@ class Machine:
         return z, sums
 
 
-def interacting(which: np.ndarray, row: np.ndarray, count: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """For each term, whether with another frequent one it deviates from the sum of both.
+def interacting(which: np.ndarray, row: np.ndarray, terms: int, labels: np.ndarray, fold: np.ndarray, folds: int) -> np.ndarray:
+    """[fold, term]: whether with another term it deviates from the sum of both, among the rows of the other folds; last, among all rows.
 
-    ``which`` and ``row`` are the terms' occurrences, by row; ``count`` the rows of each term.
+    ``which`` and ``row`` are the distinct terms of each row, by row.  Each term meets all terms of its rows: what is looked
+    at is pairs that occur, of terms of any frequency from twice ``PAIR_ROWS`` rows on (fewer cannot fill the four cases).
+    Counts are taken by fold, so one pass serves all.
     """
-    out = np.zeros(len(count), bool)
-    often = np.lexsort((np.arange(len(count)), -count))[:PAIR_TERMS]
-    often = np.sort(often[count[often] >= PAIR_ROWS])
-    if len(often) < 2:
-        return out
-    place = np.full(len(count), -1)
+    out = np.zeros((folds + 1, terms), bool)
+    count = np.bincount(which, minlength=terms)
+    often = np.flatnonzero((count >= 2 * PAIR_ROWS) & (count <= len(labels) - 2 * PAIR_ROWS))
+    place = np.full(terms, -1)
     place[often] = np.arange(len(often))
     ok = place[which] >= 0
-    at, row = place[which[ok]], row[ok]
-    n11, p11 = np.zeros((len(often), len(often))), np.zeros((len(often), len(often)))
-    for lo in range(0, len(labels), 4096):
-        own = labels[lo : lo + 4096] > 0
-        a, b = np.searchsorted(row, (lo, lo + len(own)))
-        x = np.zeros((len(own), len(often)), np.float32)
-        x[row[a:b] - lo, at[a:b]] = 1
-        n11 += x.T @ x
-        p11 += x[own].T @ x[own]
-    rows, toxic = len(labels), labels.sum()
-    n, p = np.diag(n11), np.diag(p11)
-    ns = n11, n[:, None] - n11, n[None] - n11, rows - n[:, None] - n[None] + n11
-    ps = p11, p[:, None] - p11, p[None] - p11, toxic - p[:, None] - p[None] + p11
-    least = np.minimum.reduce(ns)
-    both, one, other, neither = (y / np.maximum(x, 1) for x, y in zip(ns, ps, strict=True))
+    at, row, k = place[which[ok]], row[ok], len(often)
+    bounds = np.searchsorted(row, np.arange(len(labels) + 1))
+    by_term = np.argsort(at, kind="stable")
+    rows_of, starts = row[by_term], np.searchsorted(at[by_term], np.arange(k + 1))
+    slot = fold * 2 + (labels > 0)  # a fold's rows without and with the label
+
+    def by_slot(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and toxic rows outside each fold, and in all."""
+        x = values.reshape(folds, 2, -1)
+        total, toxic = x.sum(1), x[:, 1]
+        return np.r_[total.sum(0) - total, total.sum(0)[None]], np.r_[toxic.sum(0) - toxic, toxic.sum(0)[None]]
+
+    n, p = by_slot(np.bincount(slot[row] * k + at, minlength=2 * folds * k))
+    rows, toxic = by_slot(np.bincount(slot, minlength=2 * folds))
     share = toxic / rows
-    spread = np.sqrt(max(share * (1 - share), 1e-9) * sum(1 / np.maximum(x, 1) for x in ns))
-    out[often] = ((np.abs(both - one - other + neither) >= PAIR_DEVIATION * spread) & (least >= PAIR_ROWS)).any(1)
+    noise = np.maximum(share * (1 - share), 1e-9)
+    for t in range(k):
+        own = rows_of[starts[t] : starts[t + 1]]
+        size = bounds[own + 1] - bounds[own]
+        entries = np.repeat(bounds[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        n11, p11 = by_slot(np.bincount(np.repeat(slot[own], size) * k + at[entries], minlength=2 * folds * k))
+        some = np.flatnonzero((n11[-1] >= PAIR_ROWS) & (np.arange(k) > t))
+        n11, p11, na, pa_, nb, pb = n11[:, some], p11[:, some], n[:, t, None], p[:, t, None], n[:, some], p[:, some]
+        ns, ps = (n11, na - n11, nb - n11, rows - na - nb + n11), (p11, pa_ - p11, pb - p11, toxic - pa_ - pb + p11)
+        both, one, other, neither = (y / np.maximum(x, 1) for x, y in zip(ns, ps, strict=True))
+        spread = np.sqrt(noise * sum(1 / np.maximum(x, 1) for x in ns))
+        hit = (np.abs(both - one - other + neither) >= PAIR_DEVIATION * spread) & (np.minimum.reduce(ns) >= PAIR_ROWS)
+        out[:, often[t]] |= hit.any(1)
+        out[:, often[some]] |= hit
     return out
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """AdaGrad on the logistic loss, by rows in a fixed random order; toxic rows weigh as much as the others in all."""
+def fit(sets: list[np.ndarray], labels: np.ndarray, paired: np.ndarray) -> Machine:
+    """AdaGrad on the logistic loss, by rows in a fixed random order; toxic rows weigh as much as the others in all.
+
+    ``paired`` terms have parameters whatever they say by themselves.
+    """
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     term, which, count = np.unique(flat, return_inverse=True, return_counts=True)
     share = labels.mean()
     off = np.abs(np.bincount(which, labels[row], minlength=len(term)) - share * count) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9))
-    term = term[(count >= MIN_ROWS) & (off >= DEVIATION) | interacting(which, row, count, labels)]
+    term = term[(count >= MIN_ROWS) & (off >= DEVIATION) | np.isin(term, paired)]
     rng = np.random.default_rng(7)
     m = Machine(term, np.zeros(len(term)), rng.normal(0, 0.01, (len(term), FACTORS)), 0.0)
     at, row = m.places(flat, row)
@@ -156,12 +170,14 @@ def cut(z: np.ndarray, labels: np.ndarray) -> float:
 def fit_and_calibrate(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Fit on all rows; the bias is moved so that 0.5 parts rows best that the machine hasn't seen."""
     fold, z = np.arange(len(sets)) % FOLDS, np.zeros(len(sets))
+    term, which = np.unique(np.concatenate(sets), return_inverse=True)
+    paired = interacting(which, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(term), labels, fold, FOLDS)
     for f in range(FOLDS) if len(sets) >= 2 * FOLDS else ():
-        m = fit([x for x, k in zip(sets, fold, strict=True) if k != f], labels[fold != f])
+        m = fit([x for x, k in zip(sets, fold, strict=True) if k != f], labels[fold != f], term[paired[f]])
         own = [x for x, k in zip(sets, fold, strict=True) if k == f]
         at, row = m.places(np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]))
         z[fold == f] = m.logits(at, row, len(own))[0]
-    m = fit(sets, labels)
+    m = fit(sets, labels, term[paired[FOLDS]])
     m.bias -= cut(z, labels)
     return m
 
