@@ -98,7 +98,6 @@ def test_filters_keep_every_link():
         seen += 1
         px, py = (list(rare_first(s, order)[: prefix_length(len(s))]) for s in (x, y))
         first = next(g for g in px if g in py)
-        parts = [np.minimum(255, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS)).astype(np.uint8)[None] for s in (x, y)]
-        one = lambda v: np.array([v])
-        assert _fits(one(len(x)), one(len(y)), one(px.index(first)), one(py.index(first)), *parts).all()
+        parts = np.array([np.minimum(255, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS)).astype(np.uint8) for s in (x, y)])
+        assert _fits(np.array([0]), np.array([1]), np.array([len(x), len(y)]), np.array([px.index(first), py.index(first)]), parts).all()
     assert seen > 100

@@ -40,6 +40,19 @@ def test_query_rows_of_one_id_have_lists_of_their_own(spark):
     assert sorted((r.rank, r.vec_id) for r in got) == sorted([*((k, 9 - k) for k in range(1, 6)), *((k, 9 - k) for k in range(1, 6)), *((k, 17 - k) for k in range(1, 6))])
 
 
+def test_very_large_components_and_scores(spark):
+    """Scaled components count as 2^53 at most, scores as 2^63 - 1; scores beyond are ties, which go to the smaller id."""
+    rows = [(50, [1e12, 1.0]), (1, [1e12, 5.0]), (2, [1e300, 0.0]), (3, [-1e300, 0.0]), (4, [0.0, 3.0]), (5, [1.7e308, -1.7e308]), (100, [2.0, 1e7])]
+    clamp = lambda x, most: max(-most, min(most, x))
+    whole = {i: [clamp(math.floor(256 * x) if abs(x) < 1e300 else int(math.copysign(2**53, x)), 2**53) for x in v] for i, v in rows}
+    want = set()
+    for i in (50, 100):
+        scores = sorted((-clamp(sum(a * b for a, b in zip(whole[i], v)), 2**63 - 1), j) for j, v in whole.items() if j != i)
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:4])}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in search(df, F.col("vec_id") % 50 == 0, 4).collect()} == want
+
+
 def test_search_of_nothing(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).collect() == []
 
@@ -63,6 +76,13 @@ def test_url_rules_equal_brute_force(spark):
     assert out == {i: brute_url(u) for i, u in enumerate(urls)}
 
 
+def test_hosts_of_very_many_labels(spark):
+    urls = [f"http://{'a.' * 20_000}{end}" for end in ("com/x", "example.com/en/", "net/fr/", "org/")]
+    out = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()}
+    for i, u in enumerate(urls):
+        assert (out[i].host, out[i].path, out[i].rule, out[i].verdict) == brute_url(u)
+
+
 def test_cascade_is_exact_and_has_another_way(spark, monkeypatch):
     listed = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))

@@ -77,6 +77,43 @@ def test_language(docs, no_docs, rows):
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark, docs, rows):
+    """Multinomial naive Bayes over hashed n-grams of 1 to 3 characters, counted and added up one by one."""
+
+    def buckets(text):
+        x = [ord(y) if len(y := ch.lower()) == 1 else ord(ch) for ch in ("".join(ch if ch.isalpha() else " " for ch in text))]
+        for n in (1, 2, 3):
+            for i in range(len(x) - n + 1):
+                h = n
+                for v in x[i : i + n]:
+                    h = ((h ^ v) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h & (langid.BUCKETS - 1)
+
+    training = [(i, t, lang) for i, t, lang in rows if lang is not None and (i or 0) % 2 == 0]
+    langs = sorted({lang for *_, lang in training})
+    counts = {x: Counter(b for _, t, lang in training if lang == x for b in buckets(t or "")) for x in langs}
+    of, want = Counter(lang for *_, lang in training), Counter()
+    for i, t, _ in rows:
+        if not any(ch.isalpha() for ch in t or ""):
+            want[i, "und", 0.0] += 1
+            continue
+        z = {x: np.log(of[x] / len(training)) for x in langs}
+        for b in buckets(t):
+            for x in langs:
+                z[x] += np.log((counts[x][b] + langid.SMOOTHING) / (sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS))
+        best = max(langs, key=lambda x: z[x])
+        want[i, best, round(1 / sum(np.exp(z[x] - z[best]) for x in langs), 6)] += 1
+    out = Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.identify(docs, F.col("doc_id") % 2 == 0).collect())
+    assert out == want and len({x for _, x, _ in want}) > 2
+
+
+def test_language_ties_go_to_the_first(spark):
+    docs = spark.createDataFrame([(1, "abc", "xx"), (2, "abc", "aa"), (3, "abc", None), (4, "zzz", None), (5, "abc " * 500_000, None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, F.lit(True)).collect()}
+    assert out[3] == out[4] == ("aa", 0.5) and out[5][0] == "aa"
+
+
 def test_toxicity_learns_words_and_pairs(spark):
     rnd = np.random.default_rng(3)
     data = []
@@ -109,17 +146,33 @@ def test_toxicity_pairs_equal_brute_force():
     x = rnd.random((4500, 6)) < [0.5, 0.4, 0.3, 0.2, 0.1, 0.001]
     y = ((x[:, 0] ^ x[:, 2]) & (rnd.random(4500) < 0.9)).astype(float)
     row, which = np.nonzero(x)
-    want = np.zeros(6, bool)
-    for i in range(6):
-        for j in range(i):
-            cells = [y[(x[:, i] == u) & (x[:, j] == v)] for u, v in ((1, 1), (1, 0), (0, 1), (0, 0))]
-            if min(map(len, cells)) >= toxicity.PAIR_ROWS:
-                a, b, c, d = (k.mean() for k in cells)
-                spread = (y.mean() * (1 - y.mean()) * sum(1 / len(k) for k in cells)) ** 0.5
-                if abs(a - b - c + d) >= toxicity.PAIR_DEVIATION * spread:
-                    want[[i, j]] = True
-    assert want[0] and want[2] and not want.all()
-    assert toxicity.interacting(which, row, x.sum(0), y).tolist() == want.tolist()
+    fold = np.arange(4500) % 3
+    out = toxicity.interacting(which, row, 6, y, fold, 3)
+    for f in range(4):  # each fold left out, and none
+        xs, ys = x[fold != f], y[fold != f]
+        want = np.zeros(6, bool)
+        for i in range(6):
+            for j in range(i):
+                cells = [ys[(xs[:, i] == u) & (xs[:, j] == v)] for u, v in ((1, 1), (1, 0), (0, 1), (0, 0))]
+                if min(map(len, cells)) >= toxicity.PAIR_ROWS:
+                    a, b, c, d = (k.mean() for k in cells)
+                    spread = (ys.mean() * (1 - ys.mean()) * sum(1 / len(k) for k in cells)) ** 0.5
+                    if abs(a - b - c + d) >= toxicity.PAIR_DEVIATION * spread:
+                        want[[i, j]] = True
+        assert want[0] and want[2] and not want.all()
+        assert out[f].tolist() == want.tolist()
+
+
+def test_toxicity_learns_pairs_among_many_more_frequent_terms(spark):
+    """Labels set by exactly one of two terms, each in half of the documents, with 1,200 terms that are more frequent."""
+    rnd = np.random.default_rng(6)
+    words, data = np.array([f"w{i}" for i in range(1200)]), []
+    for i, (a, b) in enumerate((rnd.random((2500, 2)) < 0.5).tolist()):
+        data.append((i, " ".join([*words[rnd.random(1200) < 0.6], *["fool"] * a, *["them"] * b]), int(a != b)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, docs.filter("doc_id % 5 > 0"))).collect()}
+    held = [(out[i] >= 0.5) == bool(y) for i, _, y in data if i % 5 == 0]
+    assert sum(held) / len(held) > 0.9
 
 
 def test_toxicity_edge_cases(docs, no_docs, rows, spark):
@@ -206,6 +259,17 @@ def test_katz_equals_brute_force(docs, rows):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out) == want
 
 
+def test_discounts_lie_between_0_and_1_whatever_is_missing():
+    full = {1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 6}
+    assert np.allclose(katz.discounts(full)[1:], [((r + 1) * full[r + 1] / (r * full[r]) - 0.36) / 0.64 for r in range(1, 6)])
+    for odd in ({}, {1: 5}, {1: 100, 3: 20, 5: 8}, {2: 9, 4: 9}, {r: 10 for r in range(1, 7)}, {r: r for r in range(1, 7)}, {**full, 4: 0}):
+        d = katz.discounts(odd)
+        assert d[0] == 1 and ((d[1:] > 0) & (d[1:] < 1)).all() and (np.diff(d[1:]) > 0).all(), odd
+    line = katz.discounts({r: round(1e9 * r**-2.5) for r in (1, 2, 4, 5, 6)})  # one is missing on a straight line
+    whole = katz.discounts({r: round(1e9 * r**-2.5) for r in range(1, 7)})
+    assert np.allclose(line, whole, atol=1e-3)
+
+
 def test_katz_of_nothing(no_docs, spark):
     assert katz.score(no_docs, F.lit(False)).collect() == []
     r = katz.score(spark.createDataFrame([(None, None)], "doc_id long, text string"), F.lit(True)).collect()[0]
