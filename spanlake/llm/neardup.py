@@ -7,7 +7,7 @@ share one of the 3 pairs of symbols of that chunk: each document is filed under
 also held against 144 further symbols: no more than 80 of all 192 may differ, which is as rarely exceeded (the tests
 work out both tails), and spares documents of a similarity of one half or so their comparison on full sets.
 
-Documents with equal sets (told by their sizes and two 64-bit sums) are one class, filed once.  Candidates are checked
+Documents with equal sets (told by the SHA-256 of all their shingles' hashes) are one class, filed once.  Candidates are checked
 on their full shingle sets.  Members of a bucket are first compared with its centre, the member whose symbols the
 others share most: that joins a group of copies with few checks each.  A bucket is dealt into blocks of bounded size
 with a centre each, and these centres meet again.  What is left in different components is then compared within the
@@ -22,8 +22,6 @@ of its own.  Classes that have null ids alone are linked with nothing.  Extra co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as T
 from .components import components
+from .sets import full_sets, set_digest, shingle_rows
 from .tables import lean, materialize, prepare, release
 
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
@@ -54,38 +53,15 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return x[:n] | np.uint64(1), x[n:]
 
 
-def _sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The size of each set and two sums that stand for it."""
-    n = np.array([len(s) for s in sets], np.int64)
-    s1, s2, full = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.flatnonzero(n)
-    if len(full):
-        flat, at = np.concatenate(sets), np.r_[0, np.cumsum(n[full])[:-1]]
-        s1[full], s2[full] = np.add.reduceat(flat, at), np.add.reduceat(T.mix(flat ^ np.uint64(T.BASE)), at)
-    return n, s1.view(np.int64), s2.view(np.int64)
-
-
-def shingle_rows(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    for c in T.chunks(texts):
-        w = T.words(c, "spaced")
-        g = T.grams(w.hash, size)
-        for r in range(c.rows):
-            lo, hi = w.bounds[r], w.bounds[r + 1]
-            if hi - lo >= size:
-                yield np.unique(g[lo : hi - size + 1])
-            else:
-                yield T.grams(w.hash[lo:hi], int(hi - lo)) if hi > lo else np.zeros(0, np.uint64)
-
-
 def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
-    """doc_id, n (set size), two sums that stand for the set, the signature, and the column ``row`` if it is named."""
+    """doc_id, n (set size), digest of the set (null if it is empty), the signature, and the column ``row`` if it is named."""
     own = [F.col(row).alias("row")] if row else []
 
     def scan(batches):
         mul, add = _multipliers()
         for b in batches:
             sets = list(shingle_rows(b.column("text"), size))
-            n, s1, s2 = _sums(sets)
+            n = np.array([len(s) for s in sets], np.int64)
             sig = np.zeros((len(n), SYMBOLS + FURTHER), np.uint64)
             full = np.flatnonzero(n)
             if len(full):
@@ -101,11 +77,11 @@ def sign(docs: DataFrame, size: int, row: str | None = None) -> DataFrame:
             sig = T.mix(sig)
             short = np.hstack([(sig[:, :SYMBOLS] >> np.uint64(32)).astype("<u4").view(np.uint8), (sig[:, SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in short], pa.binary()), *b.columns[2:]],
-                ["doc_id", "n", "s1", "s2", "sig", *(["row"] if row else [])],
+                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([x.tobytes() for x in short], pa.binary()), *b.columns[2:]],
+                ["doc_id", "n", "digest", "sig", *(["row"] if row else [])],
             )
 
-    return docs.select("doc_id", "text", *own).mapInArrow(lean(scan), "doc_id long, n long, s1 long, s2 long, sig binary" + (", row long" if row else ""))
+    return docs.select("doc_id", "text", *own).mapInArrow(lean(scan), "doc_id long, n long, digest binary, sig binary" + (", row long" if row else ""))
 
 
 def _symbols(column: pa.Array, dtype="<u4") -> tuple[np.ndarray, np.ndarray]:
@@ -263,24 +239,6 @@ def across(members: DataFrame, people: DataFrame) -> DataFrame:
     return _by_unit(rows, ("home", "n", "label", "left", "right"), _across, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles): the full sets of ``classes(rep, low, n, s1, s2)``, from the texts of their smallest ids."""
-    wanted = classes.select(F.col("low").alias("doc_id"), "rep", "n", "s1", "s2")
-
-    def sets_of(batches):
-        last = None
-        for b in batches:
-            sets = list(shingle_rows(b.column("text"), size))
-            rep, fit = b.column("rep").to_numpy(), np.ones(len(sets), bool)
-            for name, x in zip(("n", "s1", "s2"), _sums(sets), strict=True):
-                fit &= b.column(name).to_numpy() == x
-            at = [i for i in np.flatnonzero(fit) if rep[i] != last and (last := rep[i]) is not None]  # equal rows follow each other
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["rep", "shingles"])
-
-    found = docs.select("doc_id", "text").join(wanted.hint("shuffle_merge"), "doc_id")
-    return found.select("rep", "text", "n", "s1", "s2").mapInArrow(lean(sets_of), "rep long, shingles binary").dropDuplicates(["rep"])
-
-
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = np.concatenate([x, y])
     both.sort(kind="stable")  # two sorted runs
@@ -368,7 +326,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     """
     prepare(docs.sparkSession)
     signed = materialize(sign(docs, size, row))
-    classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"))
+    classes = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # Numbers are fixed once the table is written.
     classes = materialize(classes.filter("low is not null").withColumn("rep", F.monotonically_increasing_id()))
     reps = classes.select("rep", "n", "sig")
@@ -384,7 +342,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     blocks = centres.join(everyone.select("rep", "n"), "rep").groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / HOME_ROWS, F.sum("n") / HOME_SHINGLES)).alias("blocks"))
     centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
     homes = materialize(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
-    sets = materialize(shingle_sets(docs, classes.join(everyone.select("rep"), "rep", "left_semi"), size))
+    wanted = classes.select("rep", "low", "digest").join(everyone.select("rep"), "rep", "left_semi")
+    sets = materialize(full_sets(docs, wanted, size).withColumnRenamed("grams", "shingles"))
     links = confirmed(star, homes, sets)
     labels = components(links)
 
@@ -392,7 +351,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     people = materialize(of.join(everyone, "rep"))
     more = materialize(across(members, people))
     new = linked_across(more, people.join(sets, "rep"))
-    classed = materialize(signed.drop("sig").join(classes.drop("sig"), ["n", "s1", "s2"], "left"))
+    own = ["row"] if row else []
+    some = signed.filter("n > 0").select("doc_id", "n", "digest", *own)
+    classed = materialize(some.join(classes.select("digest", "low", "rep"), "digest", "left").drop("digest"))
+    empty = materialize(signed.filter("n = 0").select("doc_id", "n", *own))
     if not row:
         of_id = classed.filter("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
         new = new.unionByName(of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")))
@@ -403,8 +365,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     labelled = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "low"), "rep")
     lowest = materialize(labelled.join(labelled.groupBy("label").agg(F.min("low").alias("lowest")), "label").select("rep", "lowest"))
     release(classes, links, new)
-    return (
-        classed.join(lowest, "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("class_id"), F.coalesce("lowest", "low", "doc_id").alias("component_id"), *(["row"] if row else []))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    out = classed.join(lowest, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("class_id"), F.coalesce("lowest", "low", "doc_id").alias("component_id"), *own)
+    none = empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), *own)
+    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

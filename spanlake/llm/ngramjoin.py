@@ -21,8 +21,6 @@ are whole rows of a scan, with some 100 bytes held for each of their words.  Ext
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textscan as T
 from .batches import pack, unpack
 from .components import components
-from .neardup import shingle_rows
+from .sets import full_sets, set_digest, shingle_rows
 from .tables import lean, materialize, prepare, release
 
 GRAM = 4
@@ -43,10 +41,10 @@ BUCKETS, SLICES = 1 << 20, 64
 PARTS = 128
 #: Rows of a list that meet in one place, about, and pairs that are looked at together.
 BLOCK_ROWS, PAIRS = 2048, 1 << 16
+#: Pairs whose parts are compared together.
+STEP = 1 << 13
 #: Lists of a set in which it looks for a centre.
 STAR_LISTS = 3
-#: Bits of the filter of wanted ids, at most; it lets too many pass, never too few.
-FILTER_BITS = 1 << 26
 
 
 def prefix_length(n: np.ndarray | int):
@@ -94,7 +92,7 @@ def describe(docs: DataFrame, order: np.ndarray, size: int) -> DataFrame:
             for g in shingle_rows(b.column("text"), size):
                 n = len(g)
                 parts = np.minimum(255, np.bincount((g >> np.uint64(57)).astype(np.int64), minlength=PARTS)).astype(np.uint8)
-                out.append((n, hashlib.sha256(g.tobytes()).digest(), rare_first(g, order)[: prefix_length(n)].tobytes(), parts.tobytes()) if n else (0, None, None, None))
+                out.append((n, set_digest(g), rare_first(g, order)[: prefix_length(n)].tobytes(), parts.tobytes()) if n else (0, None, None, None))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(cols[0], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[1:]]], ["doc_id", "n", "digest", "prefix", "parts"])
 
@@ -113,13 +111,15 @@ def file_under(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "prefix").mapInArrow(lean(scan), "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("pos", "key"))
 
 
-def _fits(nx, ny, i, j, px, py) -> np.ndarray:
-    """Whether sets of these sizes, positions of a shared n-gram and parts may be similar enough."""
-    need = -(-NUM * (nx + ny) // (NUM + DEN))
-    ok = (np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM) & (np.minimum(nx - i, ny - j) >= need)
+def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) may be similar enough, by sizes, positions of their shared n-gram, and parts."""
+    x, y = n[i], n[j]
+    need = -(-NUM * (x + y) // (NUM + DEN))
+    ok = (np.minimum(x, y) * DEN >= np.maximum(x, y) * NUM) & (np.minimum(x - pos[i], y - pos[j]) >= need)
     at = np.flatnonzero(ok)
-    apart = np.abs(px[at].astype(np.int16) - py[at]).sum(1, dtype=np.int64)
-    ok[at] = apart <= (nx + ny - 2 * need)[at]
+    for some in np.split(at, range(STEP, len(at), STEP)):
+        apart = np.abs(parts[i[some]].astype(np.int16) - parts[j[some]]).sum(1, dtype=np.int64)
+        ok[some] = apart <= (x + y - 2 * need)[some]
     return ok
 
 
@@ -163,7 +163,7 @@ def _to_centre(unit, key, rep, n, pos, members, parts) -> pa.RecordBatch:
     far = np.abs(x - mean[number]).sum(1)
     first = np.lexsort((rep, far, number))[starts]
     centre = first[number]
-    ok = (rep != rep[centre]) & _fits(n, n[centre], pos, pos[centre], parts, parts[centre])
+    ok = (rep != rep[centre]) & _fits(np.arange(len(rep)), centre, n, pos, parts)
     again = first[members[first] > BLOCK_ROWS]
     cols = [np.r_[rep[centre][ok], rep[again]], np.r_[rep[ok], rep[again]], np.r_[key[ok], key[again]], np.r_[pos[ok], pos[again]], -(-np.r_[members[ok], members[again]] // BLOCK_ROWS)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "key", "pos", "members"])
@@ -200,7 +200,7 @@ def _across(unit, rep, n, pos, label, left, right, parts) -> pa.RecordBatch:
         j = rights[np.repeat(lo[a:b] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(len(i))]
         ok = label[i] != label[j]
         i, j = i[ok], j[ok]
-        ok = _fits(n[i], n[j], pos[i], pos[j], parts[i], parts[j])
+        ok = _fits(i, j, n, pos, parts)
         i, j = rep[i[ok]], rep[j[ok]]
         out.append(np.unique(np.c_[np.minimum(i, j), np.maximum(i, j)], axis=0))
     found = np.unique(np.concatenate(out), axis=0)
@@ -229,44 +229,6 @@ def across(members: DataFrame, people: DataFrame, labels: DataFrame) -> DataFram
     return _by_unit(rows, ("rep", "n", "pos", "label", "left", "right"), _across, "a long, b long").distinct()
 
 
-def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter (of bounded size) of the column ``low``, built where the ids are."""
-    from .decontaminate import _bits
-
-    def fill(batches):
-        for b in batches:
-            h = T.mix(b.column("low").to_numpy().view(np.uint64))
-            at = np.unique(np.concatenate(_bits(h, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
-
-    words = ids.select("low").mapInArrow(lean(fill), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return out
-
-
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, grams): the full sets of ``wanted(rep, low, digest)``; texts are read again, only sets that may be wanted are moved."""
-    from .decontaminate import _passes
-
-    count = wanted.count()
-    bits = min(FILTER_BITS, 1 << max(10, (16 * count).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, bits))
-
-    def scan(batches):
-        for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
-            known = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
-            b = b.take(pa.array(np.flatnonzero(known & _passes(shared.value, bits, T.mix(ids.fill_null(0).to_numpy().view(np.uint64))))))
-            sets = list(shingle_rows(b.column("text"), size))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([hashlib.sha256(g.tobytes()).digest() for g in sets], pa.binary()), pa.array([g.tobytes() for g in sets], pa.binary())], ["low", "digest", "grams"])
-
-    import pyarrow.compute  # noqa: F401
-
-    found = docs.select("doc_id", "text").mapInArrow(lean(scan), "low long, digest binary, grams binary")
-    return found.join(wanted, ["low", "digest"]).select("rep", "grams").dropDuplicates(["rep"])
-
-
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = np.concatenate([x, y])
     both.sort(kind="stable")  # two sorted runs
