@@ -27,7 +27,10 @@ def _counts(pred: DataFrame, gold: DataFrame, by_type: bool) -> DataFrame:
     """tp, fp, fn and rates from matched flags; overall as type null, with each type if ``by_type``."""
     hit, named = F.col("matched"), F.col("text") != ""
     rows = pred.select("type", (hit & named).cast("long").alias("tp"), (~hit).cast("long").alias("fp"), F.lit(0).cast("long").alias("fn"))
-    rows = rows.unionByName(gold.select("type", F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), (~hit).cast("long").alias("fn")))
+    return _summed(rows.unionByName(gold.select("type", F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), (~hit).cast("long").alias("fn"))), by_type)
+
+
+def _summed(rows: DataFrame, by_type: bool) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     grouped = rows.rollup("type").agg(*sums) if by_type else rows.agg(*sums).select(F.lit(None).cast("string").alias("type"), "*")
     return grouped.select(F.coalesce("type", F.lit("overall")).alias("type"), "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -44,17 +47,21 @@ def strict(gold: DataFrame, pred: DataFrame, by_type: bool = True) -> DataFrame:
 
 
 def overlapping(rows: DataFrame, others: DataFrame, kind: str) -> DataFrame:
-    """Rows that overlap one of ``others`` of their document and type, both with or both without text (kind: a semi or anti join)."""
+    """Rows that overlap one of ``others`` (kind: left_semi), or none (left_anti)."""
     o = others.select(*(F.col(c).alias(f"o_{c}") for c in (*SPAN, "text")))
     same = (F.col("doc") == F.col("o_doc")) & (F.col("type") == F.col("o_type")) & ((F.col("text") == "") == (F.col("o_text") == ""))
     return rows.join(o, same & (F.col("start") < F.col("o_end")) & (F.col("o_start") < F.col("end")), kind)
 
 
 def overlap(gold: DataFrame, pred: DataFrame, by_type: bool = True) -> DataFrame:
-    """Any overlap within a type counts; several predictions may match one gold entity."""
+    """Any overlap within a type counts; several predictions may match one gold entity.
+
+    Each side is joined once: all its rows count as misses, and those that meet the other side take that back.
+    """
     g, p = once(gold), once(pred)
-    flagged = [overlapping(a, b, kind).withColumn("matched", F.lit(kind == "left_semi")) for a, b, kind in ((p, g, "left_semi"), (p, g, "left_anti"), (g, p, "left_semi"), (g, p, "left_anti"))]
-    return _counts(flagged[0].unionByName(flagged[1]), flagged[2].unionByName(flagged[3]), by_type)
+    one = lambda rows, tp, fp, fn: rows.select("type", *[F.lit(x).cast("long").alias(c) if isinstance(x, int) else x.cast("long").alias(c) for c, x in (("tp", tp), ("fp", fp), ("fn", fn))])
+    rows = one(p, 0, 1, 0).unionByName(one(overlapping(p, g, "left_semi"), F.col("text") != "", -1, 0))
+    return _summed(rows.unionByName(one(g, 0, 0, 1)).unionByName(one(overlapping(g, p, "left_semi"), 0, 0, -1)), by_type)
 
 
 def untyped(entities: DataFrame) -> DataFrame:
