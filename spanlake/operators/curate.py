@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import staged
+
 
 def chance(*parts) -> Column:
     """The order that stands for a shuffle: md5 of the parts."""
@@ -107,14 +109,21 @@ def length_priors(values: DataFrame, key: str) -> DataFrame:
     return out.withColumn("sigma", F.round(F.greatest(F.lit(1.0), (F.col("p75") - F.col("p25")) / 1.349), 6))
 
 
-def shards(rows: DataFrame, order: str, budget: int, block: int = 1000) -> DataFrame:
+def shards(rows: DataFrame, order: str, budget: int, spread: int = 64) -> DataFrame:
     """``rows`` with ``shard`` names, greedy in ``order``: no shard exceeds ``budget`` bytes of JSON, unless one row does.
 
-    Names are those of a range of ``block`` values of ``order`` and a number within it; each range begins a shard of its
-    own, so ranges are dealt apart and no task sees all rows.
+    A first pass sorts the rows and adds up their bytes; each ``spread`` budgets of that sum are a range, whatever the
+    values of ``order`` are, and begin a shard of their own.  So ranges are dealt apart, no task holds more than one at a
+    time, and at most one shard in ``spread`` is left part empty by it.  Names are the range's number and one within it.
     """
     size = F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long")
-    r = rows.select(F.floor(F.col(order) / block).alias("range"), F.struct(F.col(order).alias("at"), size.alias("size"), F.struct(*rows.columns).alias("row")).alias("x"))
+    at = rows.select(F.struct(*rows.columns).alias("row"), size.alias("size"), F.col(order).alias("_order")).orderBy("_order").withColumn("i", F.monotonically_increasing_id())
+    at = staged(at.withColumn("part", F.shiftright("i", 33)).drop("_order"))
+    parts = at.groupBy("part").agg(F.sum("size").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    at = at.join(before, "part").withColumn("range", F.floor((F.col("before") + upto - F.col("size")) / (budget * spread)))
+    r = at.select("range", F.struct("i", "size", "row").alias("x"))
     none = F.expr("named_struct('shard', 0, 'n', 0L, 'all', cast(array() as array<int>))")
 
     def add(acc: Column, x: Column) -> Column:

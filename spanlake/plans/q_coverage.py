@@ -9,14 +9,14 @@ from ..operators import curate as C
 from . import bindings as B
 from .registry import query, table
 
-ALIAS_SQL = f"""{B.KEYS_SQL}, {B.RECORDS_SQL}, al AS (SELECT title, key, alias || ' ' || key AS alias, ord FROM aliases), few AS (SELECT * FROM records WHERE s % 50 = 1
+ALIAS_SQL = f"""{B.KEYS_SQL}, {B.RECORDS_SQL}, al AS (SELECT title, key, alias || ' ' || key AS alias, ord FROM aliases), few AS (SELECT * FROM records
 ), lists AS (SELECT title, key, list(alias ORDER BY ord, alias) AS a FROM al GROUP BY ALL), turns AS (SELECT *, row_number() OVER (PARTITION BY title, key ORDER BY id, ord) AS n FROM few
 ), shown AS (SELECT id, ord, title, key, a[1 + (n - 1) % len(a)] AS shown FROM turns JOIN lists USING (title, key))"""
 
 
 def planned(spark, d):
     a = B.aliases(spark, d).withColumn("alias", F.concat_ws(" ", "alias", "key"))
-    few = B.records(spark, d).filter("s % 50 = 1")
+    few = B.records(spark, d)
     return a, few, V.alias_plan(few, a)
 
 

@@ -84,9 +84,9 @@ def j3_examples(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(C.shown_examples(F.array("text"))[0]).alias("digest"))
 
 
-@query("h19_folded_fields", f"WITH {B.RECORDS_SQL} SELECT id, string_agg(key || ' ' || value, '；' ORDER BY ord) AS body FROM records WHERE s % 3 = 0 GROUP BY id")
+@query("h19_folded_fields", f"WITH {B.RECORDS_SQL} SELECT id, string_agg(key || ' ' || value, '；' ORDER BY ord) AS body FROM records GROUP BY id")
 def h19(spark, d):
-    listed = B.records(spark, d).filter("s % 3 = 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", F.concat_ws(" ", "key", "value").alias("x")))).alias("v"))
+    listed = B.records(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", F.concat_ws(" ", "key", "value").alias("x")))).alias("v"))
     return listed.select("id", F.array_join(F.transform("v", lambda x: x["x"]), "；").alias("body"))
 
 

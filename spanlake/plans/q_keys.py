@@ -87,7 +87,7 @@ def d11(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(A.clean_aliases(m)).alias("n"))
 
 
-PAIR_SQL = "rec AS (SELECT doc_id AS id, 'k' || (i * 3) AS key, split_part(text, ' ', i) AS value FROM documents, range(1, 4) r(i) WHERE length(text) > 60), txt AS (SELECT doc_id AS id, 'k3：' || split_part(text, ' ', 1) || ' a6:' || split_part(text, ' ', 2) || ' k9' || text AS body FROM documents)"
+PAIR_SQL = "rec AS (SELECT doc_id AS id, 'k' || (i * 3) AS key, split_part(text, ' ', i) AS value FROM documents, range(1, 4) r(i)), txt AS (SELECT doc_id AS id, 'k3：' || split_part(text, ' ', 1) || ' a6:' || split_part(text, ' ', 2) || ' k9' || text AS body FROM documents)"
 
 
 @query("d8_locate_pairs", f"""WITH {PAIR_SQL}, nm AS (SELECT id, key, value, unnest(CASE WHEN key = 'k6' THEN ['k6', 'a6'] ELSE [key] END) AS name FROM rec
@@ -100,7 +100,7 @@ SELECT id, key, form, k - 1 AS key_start, k + length(form) + p - 2 AS value_star
 def d8(spark, d):
     docs = table(spark, d, "documents")
     word = lambda i: F.coalesce(F.get(F.split("text", " "), F.lit(i)), F.lit(""))
-    rec = docs.filter(F.length("text") > 60).select(F.col("doc_id").alias("id"), F.explode(F.array(*(F.struct(F.lit(f"k{i * 3}").alias("key"), word(i - 1).alias("value")) for i in (1, 2, 3)))).alias("x")).select("id", "x.*")
+    rec = docs.select(F.col("doc_id").alias("id"), F.explode(F.array(*(F.struct(F.lit(f"k{i * 3}").alias("key"), word(i - 1).alias("value")) for i in (1, 2, 3)))).alias("x")).select("id", "x.*")
     txt = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("k3："), word(0), F.lit(" a6:"), word(1), F.lit(" k9"), "text").alias("body"))
     return A.locate_pairs(rec, spark.createDataFrame([("k6", "a6")], "key string, alias string"), txt)
 

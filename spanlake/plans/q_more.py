@@ -54,8 +54,8 @@ def e11(spark, d):
 
 @query("f12_near_duplicates", """WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents), s AS (
     SELECT DISTINCT doc_id, lang, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
-), k AS (SELECT lang, min(doc_id) AS doc_id FROM (SELECT doc_id, lang, list(g ORDER BY g) AS gs FROM s GROUP BY ALL) GROUP BY lang, gs), r AS (SELECT s.* FROM s JOIN k USING (doc_id, lang)), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id
-), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM r x JOIN r y ON x.g = y.g AND x.lang = y.lang AND x.doc_id < y.doc_id GROUP BY ALL)
+), k AS (SELECT lang, min(doc_id) AS doc_id FROM (SELECT doc_id, lang, list(g ORDER BY g) AS gs FROM s GROUP BY ALL) GROUP BY lang, gs), r AS (SELECT s.* FROM s JOIN k ON s.doc_id = k.doc_id AND s.lang IS NOT DISTINCT FROM k.lang), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id
+), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM r x JOIN r y ON x.g = y.g AND x.lang IS NOT DISTINCT FROM y.lang AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.75 * (na.n + nb.n - c)""")
 def f12(spark, d):
     return P.near_duplicate_pairs(table(spark, d, "documents"), "lang")

@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder: what is decided by their places there is the same at each reading."""
+    path = f"{shared_folder(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class _Files:
     """The file system that holds ``path``."""
 

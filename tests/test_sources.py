@@ -93,18 +93,27 @@ def test_shards_keep_the_budget(spark):
     assert all(r.n <= 5000 for r in out) and sum(r.n for r in out) == rows.agg(F.sum(size)).first()[0]
 
 
-def test_shards_are_greedy_in_each_range(spark):
-    rows = spark.range(12).withColumn("x", F.when(F.col("id") == 5, F.repeat(F.lit("y"), 300)).otherwise(F.lit("z")))
-    size = {r.id: r.n for r in rows.select("id", F.octet_length(F.to_json(F.struct("id", "x"))).alias("n")).collect()}
-    want, open_, shard = {}, 0, 0
-    for i in range(12):
-        if i % 8 == 0:
-            open_, shard = 0, 0
-        if open_ and open_ + size[i] > 60:
-            open_, shard = 0, shard + 1
-        open_ += size[i]
-        want[i] = f"{i // 8}-{shard}"
-    assert {r.id: r.shard for r in Q.shards(rows, "id", 60, block=8).collect()} == want
+def test_shards_are_greedy_over_ranges_of_bytes(spark):
+    """Ids far apart, a row above the budget, and ties: shards follow the bytes, not the ids."""
+    import json
+
+    rnd = __import__("random").Random(3)
+    rows = [(i * 5000, "x" * rnd.choice([1, 5, 20, 70])) for i in range(300)]
+    size = lambda r: len(json.dumps({"id": r[0], "v": r[1]}, separators=(",", ":")))
+    want, total, n, last = {}, 0, 0, None
+    for r in rows:
+        part = total // (60 * 4)
+        if part != last:
+            last, shard, n = part, 0, 0
+        elif n and n + size(r) > 60:
+            shard, n = shard + 1, 0
+        n, total = n + size(r), total + size(r)
+        want[r[0]] = f"{part}-{shard}"
+    frame = spark.createDataFrame(rows, "id long, v string").repartition(5)
+    assert {r.id: r.shard for r in Q.shards(frame, "id", 60, spread=4).collect()} == want
+    assert len(set(want.values())) < len(rows)
+    assert Q.shards(frame.limit(0), "id", 60).collect() == []
+
 
 
 def test_separators_and_scorer_context(spark):
