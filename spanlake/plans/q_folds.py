@@ -12,21 +12,25 @@ from ..operators import fold as D
 from ..sources import sinks
 from ..streaming import lines
 from . import bindings as B
-from .registry import query, table
+from .q_text import TOKEN, q
+from .registry import packed_sql, query, table
 
 
-@query("e13_corpus_chunks")
+@query("e13_corpus_chunks", f"""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents), c AS (SELECT doc_id, {packed_sql("p", "length(i)", 500)} AS c FROM p WHERE len(p) > 0), u AS (SELECT doc_id, unnest(range(len(c)))::INT AS chunk, unnest(c) AS c FROM c)
+SELECT doc_id, chunk, length(array_to_string(c.x, chr(10)))::INT AS n, md5(array_to_string(c.x, chr(10))) AS digest FROM u""")
 def e13(spark, d):
     out = D.corpus_chunks(table(spark, d, "documents").select("doc_id", "text"), "\n", 500)
     return out.select("doc_id", "chunk", F.length("body").alias("n"), F.md5("body").alias("digest"))
 
 
-@query("e14_packed_items")
+@query("e14_packed_items", f"""WITH {B.RECORDS_SQL}, l AS (SELECT id, list(key || '：' || value ORDER BY ord) AS p FROM records GROUP BY id), c AS (SELECT id, {packed_sql("p", f"len(regexp_extract_all(i, {q(TOKEN)}))", 30)} AS c FROM l), u AS (SELECT id, unnest(range(len(c)))::INT AS par, unnest(c) AS c FROM c)
+SELECT id, par, CASE par % 3 WHEN 0 THEN array_to_string(c.x, '；') WHEN 1 THEN array_to_string(c.x, chr(10)) ELSE array_to_string(c.x, ' ') END AS body FROM u""")
 def e14(spark, d):
     return D.packed_items(B.records(spark, d).select("id", "ord", F.concat("key", F.lit("："), "value").alias("line")), 30, ["；", "\n", " "])
 
 
-@query("e9_breaks_before")
+@query("e9_breaks_before", """WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '(The |That |Der |Le )', chr(1) || '\\1', 'g'), chr(1)) AS p FROM documents WHERE NOT contains(text, chr(1)))
+SELECT doc_id, md5(array_to_string(list_reduce(list_transform(CASE WHEN p[1] = '' AND len(p) > 1 THEN p[2:] ELSE p END, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) >= 500 THEN list_concat(a, b) ELSE list_append(a[:-2], a[-1] || b[1]) END), chr(10))) AS digest FROM s""")
 def e9(spark, d):
     return D.breaks_before(table(spark, d, "documents").select("doc_id", "text"), ["The ", "That ", "Der ", "Le "], 500).select("doc_id", F.md5("text").alias("digest"))
 

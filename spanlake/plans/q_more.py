@@ -38,7 +38,10 @@ def e3(spark, d):
     return P.within_budget(table(spark, d, "documents").select("doc_id", "text"), 100, "\n").select("doc_id", "part", F.md5("body").alias("digest"))
 
 
-@query("e7_window_samples")
+@query("e7_window_samples", r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n]+[ \t\n]*') AS w, length(regexp_extract(text, '^[ \t\n]*')) AS lead, strpos(text, ' the ') - 1 AS s FROM documents), n AS (SELECT *, len(w) AS n FROM t
+), x AS (SELECT *, unnest(CASE WHEN n <= 64 THEN [0] ELSE list_filter(range(0, n, 48), lambda i: i = 0 OR i + 16 < n) END) AS i FROM n
+), y AS (SELECT *, coalesce(list_sum(list_transform(w[1:i], lambda z: length(z))), 0) + CASE WHEN i > 0 THEN lead ELSE 0 END AS a, CASE WHEN n <= 64 THEN length(text) ELSE list_sum(list_transform(w[i + 1:least(i + 64, n)], lambda z: length(z))) END AS size FROM x)
+SELECT doc_id, 'the' AS key, (i // 48)::INT AS chunk, TRUE AS positive FROM y WHERE s >= 0 AND s < a + size AND s + 5 > a UNION ALL SELECT doc_id, 'the', -1, FALSE FROM t WHERE s < 0""")
 def e7(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     at = F.expr("instr(text, ' the ')") - 1

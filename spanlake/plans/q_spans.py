@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import chunk as C
 from ..operators import spans as S
 from . import bindings as B
-from .q_text import q
-from .registry import query, table
+from .q_text import TOKEN, q
+from .registry import packed_sql, query, table
 
 ENTS_SQL = f"""{B.GOLD_SQL}, ents AS (
     SELECT doc, ("start" % 40)::BIGINT AS "start", ("start" % 40 + ("end" - "start") % 9)::BIGINT AS "end", type, row_number() OVER (PARTITION BY doc ORDER BY "start", "end", type, text) AS ord FROM gold
@@ -134,7 +134,9 @@ def c8(spark, d):
     return S.merge_chunks(clipped(spark, d))
 
 
-@query("c8_merge_chunks_gap")
+@query("c8_merge_chunks_gap", f"""WITH {ENTS_SQL}, {CUTS_SQL}, x AS (SELECT DISTINCT doc, type, char_start + "start" AS s, char_start + "end" AS e FROM ({CLIP_SQL}) WHERE "end" > "start"), l AS (SELECT doc, list({{'s': s::BIGINT, 'e': e::BIGINT, 'type': type}} ORDER BY s, e, type) AS xs FROM x GROUP BY doc
+), m AS (SELECT doc, unnest(list_reduce(list_transform(xs, lambda i: [i]), lambda a, b: CASE WHEN a[-1].type = b[1].type AND b[1].s <= a[-1].e + 2 THEN list_append(a[:-2], {{'s': a[-1].s, 'e': greatest(a[-1].e, b[1].e), 'type': b[1].type}}) ELSE list_concat(a, b) END)) AS m FROM l)
+SELECT doc, m.type AS type, m.s AS "start", m.e AS "end" FROM m""")
 def c8_gap(spark, d):
     return S.merge_chunks(clipped(spark, d), gap=2)
 
@@ -224,6 +226,8 @@ def e2(spark, d):
     return out.select("doc_id", "par", F.col("char_start").alias("s0"), F.md5("body").alias("digest"), F.length("body").cast("long").alias("n"))
 
 
-@query("e4_packed_paragraphs")
+@query("e4_packed_paragraphs", f"""WITH p AS (SELECT doc_id, CASE WHEN len(p) > 1 AND p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), t AS (SELECT doc_id, list_transform(range(len(p)), lambda j: {{'par': j::INT, 'n': len(regexp_extract_all(p[j + 1], {q(TOKEN)}))}}) AS p FROM p
+), c AS (SELECT doc_id, {packed_sql("p", "i.n", 120)} AS c FROM t), u AS (SELECT doc_id, unnest(range(len(c)))::INT AS chunk, unnest(c) AS c FROM c)
+SELECT doc_id, chunk, c.x[1].par AS first_par, c.x[-1].par + 1 AS end_par, c.n::INT AS tokens FROM u""")
 def e4(spark, d):
     return C.packed(C.paragraphs(table(spark, d, "documents").select("doc_id", "text"), "\n"), 120)
