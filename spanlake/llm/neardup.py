@@ -8,8 +8,8 @@ also held against 144 further symbols: no more than 80 of all 192 may differ, wh
 work out both tails), and spares documents of a similarity of one half or so their comparison on full sets.
 
 Documents with equal sets (told by the SHA-256 of all their shingles' hashes) are one class, filed once.  Candidates are checked
-on their full shingle sets.  Members of a bucket are first compared with its centre, the member whose symbols the
-others share most: that joins a group of copies with few checks each.  A bucket is dealt into blocks of bounded size
+on their full shingle sets.  Members of a bucket are first compared, under a few of their keys, with its centre, the member whose symbols
+the others share most: that joins a group of copies with few checks each.  A bucket is dealt into blocks of bounded size
 with a centre each, and these centres meet again.  What is left in different components is then compared within the
 bucket: rows outside the bucket's largest component against all its rows, block by block.  Passing pairs aren't
 emitted, only the homes (groups by nearest centre) that they lie between; the members of such homes meet once and are
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
@@ -39,6 +39,8 @@ DISTANCE = 29
 FURTHER, AGREE = 144, 112
 #: Sets of a centre's members that are checked together, and shingles of these, about.
 HOME_ROWS, HOME_SHINGLES = 512, 1 << 17
+#: Keys of a document under which it looks for a centre.
+STAR_KEYS = 6
 #: Rows of a bucket that meet in one place, about.
 BLOCK_ROWS = 2048
 #: Pairs of rows that are looked at together.
@@ -336,7 +338,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     members = materialize(filed.join(shared, "key"))
     everyone = materialize(shortened(reps.join(members.select("rep").distinct(), "rep")))
 
-    star = stars(members, everyone)
+    # The first keys of an order that all share: alike rows have some of these in common; what they don't find is left to ``across``.
+    first = Window.partitionBy("rep").orderBy(F.xxhash64("key"))
+    few = members.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= STAR_KEYS).drop("place")
+    star = stars(few, everyone)
     # At home with the centre that it is most like; large homes are dealt into blocks.
     centres = star.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("centre")).withColumnRenamed("b", "rep")
     blocks = centres.join(everyone.select("rep", "n"), "rep").groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / HOME_ROWS, F.sum("n") / HOME_SHINGLES)).alias("blocks"))
