@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -86,10 +86,11 @@ def json_object(c: Column) -> Column:
     return F.coalesce(full(whole), full(fenced), ok(balanced(c, False)))
 
 
-def cut_at_keys(docs: DataFrame, budget: int) -> DataFrame:
+def cut_at_keys(docs: DataFrame, budget: int, separator: str = "\n\n") -> DataFrame:
     """(doc_id, chunk, start, end, body) of docs(doc_id, text, keys): cut before a key once the tokens since the last cut exceed ``budget``.
 
-    A text within the budget is one chunk; so is one that holds none of its keys.  Null and empty texts have no chunk.
+    What exceeds the budget even so is cut at blank lines (``separator``); its empty parts go.  A text within the budget
+    is one chunk; so is one that holds none of its keys and no blank line.  Null and empty texts have no chunk.
     """
     keys = F.filter("keys", lambda k: k != "")
     pattern = F.concat(F.lit("(?="), F.array_join(F.transform(keys, lambda k: F.concat(F.lit("\\Q"), k, F.lit("\\E"))), "|"), F.lit(")"))
@@ -113,7 +114,13 @@ def cut_at_keys(docs: DataFrame, budget: int) -> DataFrame:
         cut, F.expr("cast(array() as array<struct<start:int,end:int,body:string>>)"),
         lambda acc, x: F.concat(acc, F.array(F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(x)).alias("end"), x.alias("body")))),
     )
-    return rows.filter("text <> ''").select("doc_id", F.posexplode(spans).alias("chunk", "s")).select("doc_id", "chunk", "s.*")
+    out = rows.filter("text <> ''").select("doc_id", F.posexplode(spans).alias("chunk", "s")).select("doc_id", "chunk", "s.start", "s.body")
+    parts = F.when(T.token_count(F.col("body")) > budget, F.split("body", "\\Q" + separator + "\\E")).otherwise(F.array("body"))
+    out = out.select("doc_id", "chunk", "start", F.posexplode(parts).alias("i", "part"))
+    before = F.sum(F.length("part") + len(separator)).over(Window.partitionBy("doc_id", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("start", (F.col("start") + F.coalesce(before, F.lit(0))).cast("int")).filter("part <> ''")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
+    return out.select("doc_id", number.alias("chunk"), "start", (F.col("start") + F.length("part")).alias("end"), F.col("part").alias("body"))
 
 
 def cut_at_keywords(c: Column, words: list[str]) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import unicode as U
 from ..operators import aliasfill as A
+from ..operators import curate as C
 from ..operators import ladder as L
 from ..operators import layout as Y
+from ..operators.context import scorer_contexts
 from . import bindings as B
 from .q_text import q
 from .registry import query, table
@@ -82,3 +84,13 @@ def j2_lexicon(spark, d):
     entry = lambda a, b, n, by: p.filter(F.col("p_partkey") % n == 0).select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("p_size") / by).alias("score"))
     lexicon = entry("p_brand", "p_type", 5, 100).unionByName(entry("p_type", "p_brand", 7, 50))
     return A.lexicon_similarity(p.select("p_partkey", F.col("p_type").alias("a"), F.col("p_brand").alias("b")), lexicon).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query("j3_contexts")
+def j3_contexts(spark, d):
+    """Fields of orders with their neighbours, and the texts of the vectors most like the order's own as examples."""
+    e = table(spark, d, "embeddings").filter("embedding is not null")
+    best = C.top_similar(e.select("vec_id", "embedding"), e.filter("vec_id % 50 = 0").select("vec_id", "embedding"), 3)
+    hits = best.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select(F.col("query_id").alias("id"), "rank", "text")
+    out = scorer_contexts(B.records(spark, d), B.keys(spark, d), B.aliases(spark, d), hits)
+    return out.select("id", "title", "key", F.md5("query").alias("query"), F.md5("around").alias("around"), F.md5(F.array_join("examples", "|")).alias("examples"), F.size("examples").alias("n"))

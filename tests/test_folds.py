@@ -56,7 +56,7 @@ def test_cuts_before_keys(spark):
     rnd = random.Random(4)
     rows = [(i, "".join(rnd.choice(["ab ", "cd", " key1", "键", "7 ", "kk ", "\n"]) for _ in range(rnd.randint(1, 60))), ["key1", "键", "kk", "d k"][: i % 5]) for i in range(60)]
     rows += [(60, "", ["a"]), (61, None, ["a"]), (62, "a b c d e f g h", [])]
-    out = D.cut_at_keys(spark.createDataFrame(rows, "doc_id int, text string, keys array<string>"), 6).orderBy("doc_id", "chunk").collect()
+    out = D.cut_at_keys(spark.createDataFrame(rows, "doc_id int, text string, keys array<string>"), 6, "@@").orderBy("doc_id", "chunk").collect()  # no blank lines
     got = {i: [] for i, *_ in rows}
     for r in out:
         assert rows[r.doc_id][1][r.start : r.end] == r.body
