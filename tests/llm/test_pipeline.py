@@ -78,5 +78,5 @@ def test_each_row_has_its_own_decision(spark, sf_dir):
 
 def test_registered_queries():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
