@@ -27,7 +27,7 @@ def h6_three(spark, d):
     return P.three_way(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.7, 0.2, 5)
 
 
-@query("h15_item_separators", f"""WITH {B.RECORDS_SQL}, n AS (SELECT id, ord, row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS n FROM records), t AS (SELECT *, unnest([' ', '。', '；', '，']) AS s, unnest(range(4)) AS i FROM n), r AS (SELECT id, ord, n, s, row_number() OVER (PARTITION BY id, ord ORDER BY md5('6:' || id || ':' || (n // 4) || ':' || i)) - 1 AS k FROM t)
+@query("h15_item_separators", f"""WITH {B.RECORDS_SQL}, n AS (SELECT id, ord, row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS n FROM records), t AS (SELECT *, unnest([' ', '。', '；', '，']) AS s, unnest(range(4)) AS i FROM n), r AS (SELECT id, ord, n, s, row_number() OVER (PARTITION BY id, ord, n ORDER BY md5('6:' || id || ':' || (n // 4) || ':' || i)) - 1 AS k FROM t)
 SELECT id, ord, s AS separator FROM r WHERE k = n % 4""")
 def h15_items(spark, d):
     return P.item_separators(B.records(spark, d).select("id", "ord"), "id", "ord", 6)
