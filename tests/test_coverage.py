@@ -81,3 +81,17 @@ def test_answers_by_quality_and_mean_null(spark):
     assert rows_of(S.best_answer(chunks, 4, "mean"), "doc", "chunk", "null_score", "no_answer")[3] == (4, 0, 5.5, True)
     with pytest.raises(ValueError):
         S.best_answer(chunks, 2, "sum")
+
+
+def test_perturbed_moves_no_row_for_each_key_of_a_title(spark):
+    """A title's keys meet a record as a list: the plan's only join is on titles, with one row for each."""
+    structure = spark.createDataFrame([("A", f"s{i}") for i in range(50)] + [("A", None)], "title string, key string")
+    some = spark.createDataFrame([(i, i, "A", "k", "v") for i in range(40)] + [(None, 99, "A", "k", "v"), (77, 1, None, "k", "v")], RECORD)
+    out = V.perturbed(some, structure, 1.0, 0.0, 4, 3, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "variant" not in plan[plan.index("Join") :]
+    rows = out.collect()
+    assert sum(r.variant == 0 for r in rows) == 42
+    for i in range(40):
+        assert [sum(r.id == i and r.variant == v for r in rows) for v in (1, 2)] == [4, 4]
+    assert not [r for r in rows if r.variant and (r.id in (None, 77) or r.key is None)]
