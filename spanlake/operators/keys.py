@@ -26,7 +26,10 @@ def allowed(records: DataFrame, structure: DataFrame) -> DataFrame:
 
 def missing_keys(records: DataFrame, structure: DataFrame) -> DataFrame:
     """(id, title, key) of keys that a record's title has and the record lacks."""
-    return records.select("id", "title").distinct().join(structure.select("title", "key"), "title").join(records.select("id", "title", "key"), ["id", "title", "key"], "left_anti").select("id", "title", "key")
+    own = records.groupBy("id", "title").agg(F.collect_set(F.struct("key")).alias("own"))
+    of = structure.groupBy("title").agg(F.collect_set(F.struct("key")).alias("keys"))
+    # Two lists meet in one row, so that no key is moved beside each record of its title.
+    return own.join(of, "title").select("id", "title", F.explode(F.array_except("keys", "own")).alias("k")).select("id", "title", "k.key")
 
 
 def replace_titles(base: DataFrame, other: DataFrame) -> DataFrame:

@@ -95,3 +95,13 @@ def test_perturbed_moves_no_row_for_each_key_of_a_title(spark):
     for i in range(40):
         assert [sum(r.id == i and r.variant == v for r in rows) for v in (1, 2)] == [4, 4]
     assert not [r for r in rows if r.variant and (r.id in (None, 77) or r.key is None)]
+
+
+def test_missing_keys_are_told_within_a_row(spark):
+    from spanlake.operators import keys as K
+
+    structure = spark.createDataFrame([("A", "k1"), ("A", "k2"), ("A", "k2"), ("A", None), ("B", "k1")], "title string, key string")
+    some = spark.createDataFrame([(1, 1, "A", "k1", "v"), (2, 2, "B", "k1", "v"), (3, 3, "A", None, "v"), (4, 4, "C", "k", "v")], RECORD)
+    out = K.missing_keys(some, structure)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "A", "k2"), (1, "A", None), (3, "A", "k1"), (3, "A", "k2")]))
