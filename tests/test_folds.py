@@ -113,3 +113,31 @@ def test_e8_takes_values_from_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     r = __spark_entry__.queries()["e8_breaks_after_values"](spark, str(tmp_path)).first()
     assert r.n == len(words) + 2 * 3  # breaks after 100, 200 and 300 words
+
+
+def test_places_of_many_keys_take_one_pass():
+    import time
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice("abc\U0001f600") for _ in range(rnd.randrange(0, 30)))
+        keys = ["".join(rnd.choice("abc\U0001f600") for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(0, 4))]
+        assert D.places(text, keys) == [i for i in range(len(text)) if any(text.startswith(k, i) for k in keys)]
+    words = [f"{rnd.randrange(10**12):012}" for _ in range(20_000)]
+    began = time.time()
+    assert len(D.places(" ".join(words), words)) >= 20_000
+    assert time.time() - began < 20
+
+
+def test_long_texts_of_many_words_fold_in_time(spark):
+    import time
+
+    rnd = random.Random(5)
+    words = [f"word{rnd.randrange(10**9):09}" for _ in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    began = time.time()
+    assert D.breaks_after_words(docs, 100).first().text.count("\n\n") == 199
+    chunks = D.cut_at_keys(docs.select("*", F.array_distinct(F.split("text", " ")).alias("keys")), 60).collect()
+    assert len(chunks) == 328 and "".join(c.body for c in sorted(chunks, key=lambda c: c.chunk)) == " ".join(words)
+    assert time.time() - began < 60
+
