@@ -197,3 +197,30 @@ def test_line_helpers(spark):
         assert bool(r.got) == r.want, r
     heads = [("1. 甲", True), (" 二、", True), ("ivy", True), ("甲1", False), (None, False), ("", False)]
     assert [r.x for r in spark.createDataFrame([(h,) for h, _ in heads], "h string").select(L.starts_numbered(F.col("h")).alias("x")).collect()] == [w for _, w in heads]
+
+
+def test_top_similar_meets_blocks_as_matrices(spark):
+    import math
+    import random
+
+    from spanlake.operators import curate as C
+
+    rnd = random.Random(6)
+    rows = [(i, [float(rnd.randrange(-3, 4)) for _ in range(5)]) for i in range(90)] + [(90 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(30)]
+    rows += [(200, None), (201, [0.0] * 5), (202, [1.0, 2.0]), (203, [1.0, None, 3.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = C.top_similar(df, df.filter("vec_id % 10 = 0 and vec_id < 200"), 4, block=5, tile=16)
+    assert "mapinarrow" in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in (*a, *b) or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))), 6)
+
+    want = []
+    for q, x in rows:
+        if q % 10 == 0 and q < 200:
+            s = [(cosine(x, y), v) for v, y in rows if v != q]
+            s.sort(key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))
+            want += [(q, r + 1, v, c) for r, (c, v) in enumerate(s[:4])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)

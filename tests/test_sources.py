@@ -148,3 +148,12 @@ def test_stream(spark, tmp_path):
 def test_review_tasks(spark):
     r = io.review_tasks(spark.createDataFrame([(1, "a<b", "x&y", 0)], "id long, key string, value string, ord int")).first()
     assert r.table == "<table><tr><td>a&lt;b</td><td>x&amp;y</td></tr></table>" and json.loads(r.body) == [{"key": "a<b", "value": "x&y"}]
+
+
+def test_shards_of_a_range_of_very_many_rows(spark):
+    import time
+
+    began = time.time()
+    n = spark.range(200_000)
+    assert Q.shards(n, "id", 100_000).select("shard").distinct().count() == -(-n.select(F.sum(F.octet_length(F.to_json(F.struct("id"))))).first()[0] // 100_000)
+    assert time.time() - began < 40
