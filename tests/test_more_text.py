@@ -102,3 +102,15 @@ def test_similarity_looks_into_its_lexicon_first(spark):
     pairs = [("ab", "cd", 0.9), ("cd", "ab", 0.9), ("xy", "yx", 0.2), ("yx", "xy", 0.3), ("", "q", 0.0), (None, "q", 0.0), ("abc", "abd", 0.5), ("q", "q", 1.0)]
     rows = A.lexicon_similarity(spark.createDataFrame(pairs, "a string, b string, want double"), lexicon).collect()
     assert len(rows) == len(pairs) and all(r.score == r.want for r in rows), rows
+
+
+def test_python_functions_on_texts_have_bounded_batches(spark):
+    from spanlake.functions import batches
+    from spanlake.functions import mask as K
+    from spanlake.operators import ladder
+
+    docs = spark.createDataFrame([(1, "a。b")], "doc_id long, text string")
+    for make in (lambda: ladder.ladder_chunks(docs), lambda: docs.select(K.mask_all(docs.text))):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        make()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(batches.BYTES)
