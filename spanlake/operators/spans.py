@@ -125,10 +125,12 @@ def adjust(entities: DataFrame, texts: DataFrame, k: int, chars: str) -> DataFra
 
 def char_to_token(positions: DataFrame, tokens: DataFrame) -> DataFrame:
     """For ``positions(doc, pos)`` the token of ``tokens(doc, idx, s, e)`` it lies in, else the nearest to the left, else to the right."""
-    t = tokens.filter("e > s").select(F.col("doc").alias("t_doc"), "idx", "s", "e")
-    rows = positions.join(t, F.col("doc") == F.col("t_doc"), "left")
-    rank = F.when((F.col("s") <= F.col("pos")) & (F.col("pos") < F.col("e")), F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("d"))).when(F.col("e") <= F.col("pos"), F.struct(F.lit(1).alias("k"), (F.col("pos") - F.col("e")).cast("long").alias("d"))).otherwise(F.struct(F.lit(2).alias("k"), (F.col("s") - F.col("pos")).cast("long").alias("d")))
-    return rows.groupBy("doc", "pos").agg(F.min_by("idx", F.when(F.col("idx").isNotNull(), rank)).alias("idx"))
+    t = tokens.filter("e > s").groupBy("doc").agg(F.collect_list(F.struct("idx", "s", "e")).alias("t"))
+    pos = F.col("pos")
+    kind = lambda x: F.when((x["s"] <= pos) & (pos < x["e"]), 0).when(x["e"] <= pos, 1).otherwise(2)
+    apart = lambda x: F.when((x["s"] <= pos) & (pos < x["e"]), 0).when(x["e"] <= pos, pos - x["e"]).otherwise(x["s"] - pos).cast("long")
+    near = F.array_min(F.transform("t", lambda x: F.struct(kind(x).alias("k"), apart(x).alias("d"), x["idx"].alias("idx"))))
+    return positions.select("doc", "pos").distinct().join(t, "doc", "left").select("doc", "pos", near["idx"].alias("idx"))
 
 
 def span_ends(tags: DataFrame) -> DataFrame:

@@ -108,3 +108,14 @@ def test_gap_merge_stops_at_another_type(spark):
     rows = [(1, 0, 0, 0, 3, "P"), (1, 0, 0, 4, 6, "P"), (1, 0, 0, 7, 8, "D"), (1, 1, 5, 4, 6, "P"), (1, 1, 5, 0, 1, "P")]
     out = S.merge_chunks(spark.createDataFrame(rows, "doc long, chunk int, char_start long, start long, end long, type string"), gap=2).collect()
     assert sorted((r.type, r.start, r.end) for r in out) == [("D", 7, 8), ("P", 0, 6), ("P", 9, 11)]
+
+
+def test_positions_meet_a_documents_tokens_as_a_list(spark):
+    """No row is made for each pair of a position and a token: nothing is grouped behind the join."""
+    from spanlake.operators import spans as S
+
+    tokens = spark.createDataFrame([("a", i, 3 * i, 3 * i + 3) for i in range(5)] + [("b", 0, 0, 3), ("a", 9, 50, 50)], "doc string, idx int, s int, e int")
+    places = S.char_to_token(spark.createDataFrame([("a", 4), ("a", 60), ("a", 60), ("c", 1), ("b", 3)], "doc string, pos int"), tokens)
+    assert sorted(map(str, map(tuple, places.collect()))) == ["('a', 4, 1)", "('a', 60, 4)", "('b', 3, 0)", "('c', 1, None)"]
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
