@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .fold import once
+from .lists import by_doc
 
 
 def char_labels(entities: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -88,20 +90,32 @@ def merge_chunks(entities: DataFrame, gap: int | None = None) -> DataFrame:
 
     With ``gap``, neighbours of one type no further apart become one; an entity of another type between ends the run.
     """
-    rows = entities.select("doc", "type", (F.col("char_start") + F.col("start")).alias("start"), (F.col("char_start") + F.col("end")).alias("end")).distinct()
+    rows = entities.select("doc", "type", (F.col("char_start") + F.col("start")).alias("start"), (F.col("char_start") + F.col("end")).alias("end"))
     if gap is None:
-        return rows
-    listed = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("all"))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,type:string>>)")
-    listed = listed.select("doc", F.transform("all", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["type"].alias("type"))).alias("all"))
+        return rows.distinct()
+    x = lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["type"].alias("type"))
+    listed = by_doc(all=rows).select("doc", F.array_sort(F.array_distinct(F.transform("all", x))).alias("all"))
+    return listed.select("doc", F.explode(merged_list(F.col("all"), gap)).alias("m")).select("doc", "m.type", "m.start", "m.end")
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (last["type"] == x["type"]) & (x["start"] <= last["end"] + gap)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["type"].alias("type"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
 
-    return listed.select("doc", F.explode(F.aggregate("all", none, add)).alias("m")).select("doc", "m.type", "m.start", "m.end")
+def merged_list(spans: Column, gap: int) -> Column:
+    """Sorted ``spans`` (start, end, type) with neighbours of one type within ``gap`` as one."""
+    # The fold carries where runs begin; ends are the highest of a run.
+    none = F.expr("named_struct('i', 0, 'type', cast(null as string), 'end', cast(null as bigint), 'starts', cast(array() as array<int>))")
+
+    def add(acc: Column, x: Column) -> Column:
+        joins = F.coalesce((acc["i"] > 0) & (acc["type"] == x["type"]) & (x["start"] <= acc["end"] + gap), F.lit(False))
+        return F.struct(
+            (acc["i"] + 1).alias("i"), x["type"].alias("type"), F.when(joins, F.greatest(acc["end"], x["end"])).otherwise(x["end"]).alias("end"),
+            F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"),
+        )
+
+    def run(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        return F.struct(first["start"].alias("start"), F.array_max(F.transform(own, lambda x: x["end"])).alias("end"), first["type"].alias("type"))
+
+    cut = lambda xs, at: F.transform(at, lambda a, i: once(F.slice(xs, a + 1, F.coalesce(F.get(at, i + 1), F.size(xs)) - a), run))
+    return once(spans, lambda xs: once(F.aggregate(xs, none, add, lambda acc: acc["starts"]), lambda at: cut(xs, at)))
 
 
 def expand_keys(entities: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -120,3 +120,11 @@ def test_grid_scores_equal_plain_python(spark, gap):
     assert [tuple(r) for r in out] == [(i + 1, *w) for i, w in enumerate(want)]
     with pytest.raises(ValueError):
         G.clipped_to_windows(spark.createDataFrame(list(n.items()), "doc long, n int"), frames[1], [(8, 8)])
+
+
+def test_grid_scores_make_no_rows_of_windows(spark):
+    spans = spark.createDataFrame([(1, 0, 5, "A"), (1, 6, 9, None), (None, 0, 5, "A")], "doc long, start int, end int, type string")
+    lengths = spark.createDataFrame([(1, 9), (2, None)], "doc long, n int")
+    out = G.grid_scores(lengths, spans, spans, ((4, 0), (16, 2)))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:7] for r in out.collect()] == [(1, 16, 2, 1, 1, 1, 2), (2, 4, 0, 3, 1, 2, 2)]
