@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import bound_batches
+from .charlabels import characters, tokens_of_characters, tokens_of_entities
 from .fold import once
 from .lists import by_doc
 
@@ -18,10 +20,20 @@ def char_labels(entities: DataFrame, lengths: DataFrame) -> DataFrame:
 
     First character B, last E, a single one E, others I; a later entity (by ord) overwrites.  Characters without label are left out.
     """
-    rows = entities.join(lengths, "doc").withColumn("a", F.greatest(F.lit(0), F.least("length", "start"))).withColumn("b", F.greatest(F.lit(0), F.least("length", "end"))).filter("b > a")
-    rows = rows.select("doc", "type", "ord", "a", "b", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("pos"))
-    prefix = F.when(F.col("pos") == F.col("b") - 1, "E-").when(F.col("pos") == F.col("a"), "B-").otherwise("I-")
-    return rows.groupBy("doc", "pos").agg(F.max_by(F.concat(prefix, F.upper("type")), "ord").alias("label"))
+    return _in_batches(characters, "pos", F.lit(0).cast("long"), **_entity_lists(entities, lengths))
+
+
+def _entity_lists(entities: DataFrame, lengths: DataFrame) -> dict[str, DataFrame]:
+    known = F.col("doc").isNotNull()
+    return {"e": entities.filter(known).select("doc", "start", "end", F.upper("type").alias("type"), "ord"), "n": lengths.filter(known).select("doc", "length")}
+
+
+def _in_batches(work, number: str, like: Column, **frames: DataFrame) -> DataFrame:
+    """(doc, number, label) by ``work`` of the lists of each document."""
+    rows = by_doc(**frames)
+    bound_batches(rows.sparkSession)
+    some = next(iter(frames.values())).select("doc", like.alias(number)).schema
+    return rows.mapInArrow(work, f"doc {some['doc'].dataType.simpleString()}, {number} {some[number].dataType.simpleString()}, label string")
 
 
 def label_list(types: DataFrame) -> DataFrame:
@@ -32,19 +44,20 @@ def label_list(types: DataFrame) -> DataFrame:
 
 
 def _islands(tags: DataFrame) -> tuple[DataFrame, Column]:
-    """Tags with ``prefix``, ``type`` and ``island``, the number of the run that a B, I or E belongs to."""
+    """Tags with ``prefix``, ``type`` and ``new``: whether no run goes on here.  A run is that of a B, I or E."""
     by = Window.partitionBy("doc").orderBy("idx")
     tagged = F.col("label").contains("-")
     rows = tags.withColumn("prefix", F.when(tagged, F.substring_index("label", "-", 1)).otherwise("O")).withColumn("type", F.when(tagged, F.expr("substring(label, instr(label, '-') + 1)")))
     rows = rows.withColumn("before", F.lag("prefix").over(by)).withColumn("before_type", F.lag("type").over(by)).withColumn("after", F.lead("idx").over(by))
     joins = F.col("prefix").isin("I", "E") & F.coalesce(F.col("before").isin("B", "I") & (F.col("before_type") == F.col("type")), F.lit(False))
-    return rows.withColumn("island", F.sum((~joins).cast("int")).over(by)), F.col("prefix").isin("B", "I", "E")
+    return rows.withColumn("new", ~joins), F.col("prefix").isin("B", "I", "E")
 
 
 def token_spans(tags: DataFrame) -> DataFrame:
     """(doc, type, start, end) in token numbers; closed by E behind it, else where the next unmasked token is, or the end."""
     total = tags.groupBy("doc").agg((F.max("idx") + 1).alias("total"))
     rows, labelled = _islands(tags.filter("mask"))
+    rows = rows.withColumn("island", F.sum(F.col("new").cast("int")).over(Window.partitionBy("doc").orderBy("idx")))
     last = F.max_by(F.struct("prefix", "idx", "after"), "idx")
     spans = rows.filter(labelled).groupBy("doc", "type", "island").agg(F.min("idx").alias("start"), last.alias("last")).join(total, "doc")
     end = F.when(F.col("last.prefix") == "E", F.col("last.idx") + 1).otherwise(F.coalesce("last.after", "total"))
@@ -53,8 +66,12 @@ def token_spans(tags: DataFrame) -> DataFrame:
 
 def char_spans(tags: DataFrame) -> DataFrame:
     """(doc, type, start, end) in characters; masked and zero-width tokens say nothing."""
-    rows, labelled = _islands(tags.filter("mask and e > s"))
-    return rows.filter(labelled).groupBy("doc", "type", "island").agg(F.min_by("s", "idx").alias("start"), F.max_by("e", "idx").alias("end")).drop("island")
+    by = Window.partitionBy("doc").orderBy("idx")
+    rows, labelled = _islands(tags.filter("mask and e > s").select("doc", "idx", "label", "s", "e"))
+    # An island's first row gives the start, its last the end; both are seen in the rows' order, so nothing is grouped.
+    start = F.last(F.when(F.col("new"), F.struct("s")), True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("last", F.coalesce(F.lead("new").over(by), F.lit(True))).withColumn("first", start)
+    return rows.filter(labelled & F.col("last")).select("doc", "type", F.col("first.s").alias("start"), F.col("e").alias("end"))
 
 
 def token_labels(tokens: DataFrame, chars: DataFrame) -> DataFrame:
@@ -62,27 +79,36 @@ def token_labels(tokens: DataFrame, chars: DataFrame) -> DataFrame:
 
     An I without a running entity of its type before it becomes B.
     """
-    inside = tokens.join(chars, (tokens.doc == chars.doc) & (chars.pos >= tokens.s) & (chars.pos < tokens.e), "left").select(tokens.doc, "idx", "pos", "label")
-    is_ = lambda p: F.col("label").startswith(p)
-    pick = inside.groupBy("doc", "idx").agg(
-        F.min_by(F.when(is_("B-"), F.col("label")), F.when(is_("B-"), F.col("pos"))).alias("b"),
-        F.max_by(F.when(is_("E-"), F.col("label")), F.when(is_("E-"), F.col("pos"))).alias("e"),
-        F.min_by(F.when(is_("I-"), F.col("label")), F.when(is_("I-"), F.col("pos"))).alias("i"),
-    )
-    rows = pick.select("doc", "idx", F.coalesce("b", "e", "i", F.lit("O")).alias("label"))
-    by = Window.partitionBy("doc").orderBy("idx")
-    before = F.lag("label").over(by)
-    kind = lambda c: F.expr("0") if c is None else F.substring(c, F.lit(3), F.length(c))
-    runs = F.coalesce(~before.startswith("E-") & (before != "O") & (kind(before) == kind(F.col("label"))), F.lit(False))
-    return rows.withColumn("label", F.when(is_("I-") & ~runs, F.concat(F.lit("B-"), kind(F.col("label")))).otherwise(F.col("label")))
+    return _in_batches(tokens_of_characters, "idx", F.col("idx"), t=tokens.select("doc", "idx", "s", "e"), c=chars.filter("doc is not null and pos is not null").select("doc", "pos", "label"))
+
+
+def entity_token_labels(tokens: DataFrame, entities: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``token_labels`` of ``char_labels(entities, lengths)`` in one pass: a text's characters never leave its row."""
+    return _in_batches(tokens_of_entities, "idx", F.col("idx"), t=tokens.select("doc", "idx", "s", "e"), **_entity_lists(entities, lengths))
 
 
 def clip(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """Entities (doc, start, end, type) that overlap ``chunks(doc, chunk, char_start, char_end)``, clipped, in the chunk's offsets."""
-    c = chunks.withColumnRenamed("doc", "c_doc")
-    rows = entities.join(c, (F.col("doc") == F.col("c_doc")) & (F.col("end") > F.col("char_start")) & (F.col("start") < F.col("char_end")))
-    s, e = F.greatest("start", "char_start"), F.least("end", "char_end")
-    return rows.select("doc", "chunk", (s - F.col("char_start")).alias("start"), (e - F.col("char_start")).alias("end"), "type").filter(F.col("end") > F.col("start"))
+    rows = by_doc(e=entities.select("doc", "start", "end", "type"), c=chunks.select("doc", "chunk", "char_start", "char_end")).filter("doc is not null")
+    return rows.select("doc", F.explode(_clipped(lambda c: c["chunk"].alias("chunk"), lambda c: c["char_start"])).alias("x")).select("doc", "x.*")
+
+
+def _clipped(label, origin) -> Column:
+    """One text's entities ``e`` as its chunks ``c`` see them: ``label(chunk)``, if given, start and end from ``origin(chunk)`` on, type."""
+
+    def of(c: Column) -> Column:
+        s, e = (lambda x: F.greatest(x["start"], c["char_start"])), (lambda x: F.least(x["end"], c["char_end"]))
+        met = F.filter("e", lambda x: (x["end"] > c["char_start"]) & (x["start"] < c["char_end"]) & (e(x) > s(x)))
+        return F.transform(met, lambda x: F.struct(*([label(c)] if label else []), (s(x) - origin(c)).alias("start"), (e(x) - origin(c)).alias("end"), x["type"].alias("type")))
+
+    return F.flatten(F.transform("c", of))
+
+
+def merged_clips(entities: DataFrame, chunks: DataFrame, gap: int | None = None) -> DataFrame:
+    """``merge_chunks`` of ``clip(entities, chunks)`` in one pass: what the chunks see of a text's entities never leaves its row."""
+    rows = by_doc(e=entities.select("doc", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type"), c=chunks.select("doc", "char_start", "char_end")).filter("doc is not null")
+    seen = F.array_distinct(_clipped(None, lambda c: F.lit(0).cast("long")))
+    return rows.select("doc", F.explode(seen if gap is None else merged_list(F.array_sort(seen), gap)).alias("m")).select("doc", "m.type", "m.start", "m.end")
 
 
 def merge_chunks(entities: DataFrame, gap: int | None = None) -> DataFrame:
