@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fold import once as held
+from .lists import by_doc
+
 SPAN = ["doc", "start", "end", "type"]
 
 
@@ -56,12 +59,20 @@ def overlapping(rows: DataFrame, others: DataFrame, kind: str) -> DataFrame:
 def overlap(gold: DataFrame, pred: DataFrame, by_type: bool = True) -> DataFrame:
     """Any overlap within a type counts; several predictions may match one gold entity.
 
-    Each side is joined once: all its rows count as misses, and those that meet the other side take that back.
+    Both sides of a document meet as lists in its row: each is read and dealt once.
     """
-    g, p = once(gold), once(pred)
-    one = lambda rows, tp, fp, fn: rows.select("type", *[F.lit(x).cast("long").alias(c) if isinstance(x, int) else x.cast("long").alias(c) for c, x in (("tp", tp), ("fp", fp), ("fn", fn))])
-    rows = one(p, 0, 1, 0).unionByName(one(overlapping(p, g, "left_semi"), F.col("text") != "", -1, 0))
-    return _summed(rows.unionByName(one(g, 0, 0, 1)).unionByName(one(overlapping(g, p, "left_semi"), 0, 0, -1)), by_type)
+    usable = lambda rows: rows.filter("start is not null and end is not null and type is not null").select("doc", "start", "end", "type", F.coalesce("text", F.lit("")).alias("text"))
+    named = lambda x: x["text"] != ""
+    # As in ``once``: those with a text count once, the others each.
+    listed = lambda c: F.concat(F.array_distinct(F.filter(c, named)), F.filter(c, lambda x: ~named(x)))
+    rows = by_doc(g=usable(gold), p=usable(pred)).select("doc", listed("g").alias("g"), listed("p").alias("p"))
+    # Documents without a number are nobody's: their entities match nothing.
+    met = lambda x, others: F.col("doc").isNotNull() & F.exists(others, lambda y: (x["type"] == y["type"]) & (named(x) == named(y)) & (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    count = lambda x, tp, fp, fn: F.struct(x["type"].alias("type"), *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for c, n in ((tp, "tp"), (fp, "fp"), (fn, "fn"))])
+    no = F.lit(False)
+    predicted = F.transform("p", lambda x: held(met(x, F.col("g")), lambda hit: count(x, hit & named(x), ~hit, no)))
+    true = F.transform("g", lambda x: count(x, no, no, ~met(x, F.col("p"))))
+    return _summed(rows.select(F.explode(F.concat(predicted, true)).alias("x")).select("x.*"), by_type)
 
 
 def untyped(entities: DataFrame) -> DataFrame:
