@@ -2,6 +2,8 @@
 
 import random
 
+from spanlake.operators import coverage as V
+from spanlake.operators import metrics as M
 from spanlake.operators import spans as S
 
 
@@ -64,3 +66,21 @@ def test_character_spans_group_nothing(spark):
     out = S.char_spans(tags)
     assert sorted(map(tuple, out.collect())) == [(1, "A", 0, 4), (1, "A", 12, 16), (1, "A", 16, 18), (1, "B", 8, 12)]
     assert "Aggregate" not in plan(out)
+
+
+def test_overlap_reads_each_side_once(spark):
+    side = lambda rows: spark.createDataFrame(rows, "doc long, start long, end long, type string, text string")
+    gold = side([(1, 0, 5, "A", "x"), (1, 0, 5, "A", "x"), (1, 8, 9, "A", ""), (1, 8, 9, "A", None), (None, 0, 5, "A", "x"), (2, 0, 4, "B", "y"), (2, None, 4, "B", "y")])
+    pred = side([(1, 4, 7, "A", "z"), (1, 8, 10, "A", None), (None, 0, 5, "A", "x"), (2, 0, 4, "A", "y"), (2, 3, 9, "B", "")])
+    out = M.overlap(gold, pred)
+    assert {r.type: (r.tp, r.fp, r.fn) for r in out.collect()} == {"A": (1, 2, 1), "B": (0, 1, 1), "overall": (1, 3, 2)}
+    assert "Join" not in plan(out) and plan(out).count("LogicalRDD") == 2
+
+
+def test_selected_fields_meet_in_their_record(spark):
+    records = spark.createDataFrame([(1, 5, "A", "k1"), (1, 2, "A", "k1"), (1, 3, "B", "k2"), (1, None, "A", "k3"), (2, 1, None, "k1"), (2, 1, "A", " "), (None, 1, "A", "k1")], "id long, ord long, title string, key string")
+    rows = lambda out: sorted(((r.id, r.title, r.key) for r in out.collect()), key=str)
+    assert rows(V.selected_fields(records, "all", cap=2)) == [(1, "A", "k1"), (1, "A", "k3"), (2, None, "k1"), (None, "A", "k1")]
+    out = V.selected_fields(records, "added", records.select("id", "key", "ord"), exclude=["k3"])
+    assert rows(out) == [(1, "A", "k1"), (1, "A", "k2"), (1, "B", "k1"), (1, "B", "k2"), (2, "A", "k1"), (2, None, "k1")]
+    assert "Join" not in plan(out)
