@@ -22,14 +22,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import lean, prepare
+from .tables import give_back, lean, prepare
 
 #: Words of a generation that a worker remembers; it keeps two, and a word that is used again moves to the younger one.
-GENERATION = 200_000
+GENERATION = 100_000
 #: Words of one recursive query; its rounds' rows are what it takes memory for.
-LEARNED = 25_000
+LEARNED = 12_000
 #: Text that is looked at together.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 2 << 20
 LONG = 256
 #: Over any place in a word.
 PLACES = 1 << 20
@@ -250,5 +250,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 n = pc.divide(pc.binary_length(ids), pa.scalar(4, pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), n.cast(pa.int64()), ids.cast(pa.binary()), decoded.cast(pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
                 lo = hi
+                del ids, decoded
+                give_back()  # a step's words and queries leave holes that the next ones don't fill
 
     return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -33,13 +33,18 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library: nothing to trim
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Free memory of a worker goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library: nothing to trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset, in a local session."""
     app = spark.sparkContext.applicationId

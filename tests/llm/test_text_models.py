@@ -272,3 +272,16 @@ def test_toxicity_scores_equal_brute_force(spark, docs, rows):
         z = m.bias + sum(m.weight[a] for a in own) + sum(float(m.factor[a] @ m.factor[b]) for k, a in enumerate(own) for b in own[:k])
         want[i, round(1 / (1 + math.exp(-z)) if z > -700 else 0.0, 9)] += 1
     assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, m).collect()) == want
+
+
+def test_bpe_worker_remembers_a_bounded_number_of_words():
+    from spanlake.llm.bpe import Codec
+
+    codec, most, learned = Codec.__new__(Codec), 0, []
+    codec.young, codec.old = {}, {}
+    codec.encode, codec.decode = lambda words: learned.append(len(words)) or words, lambda ids: ids
+    for lo in range(0, 600_000, 20_000):
+        words = [str(i) for i in range(lo, lo + 20_000)]
+        assert [x for x, _ in codec.known(words)] == [w.encode() for w in words]
+        most = max(most, len(codec.young) + len(codec.old))
+    assert most <= 240_000 and max(learned) <= 12_000
