@@ -3,7 +3,7 @@
 Each task asks an in-process DuckDB: token-position rows of the words join the merge table, the leftmost pair of the
 lowest rank of each word is contracted, and this recurs until no word has a pair left.  Between rounds a word is a
 string with one character per token.  Decoding joins (row, place, id) rows with the vocabulary and aggregates the
-bytes in order.  Each distinct word is encoded, and its ids decoded, once as long as a worker remembers it.  Words of
+bytes in order.  Each distinct word is encoded, and its ids decoded, once as long as a task remembers it.  Words of
 over 256 bytes would take a round per merge, and each round all places of the word; they are contracted from a heap, in
 the same order (README has figures).
 
@@ -150,19 +150,9 @@ class Codec:
         self.young.update(zip(words, found, strict=True))
         return found
 
-    def forget(self) -> None:
-        self.young.clear()
-        self.old.clear()
-
-
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str, tokens: list[bytes]) -> Codec:
-    """The worker's codec of this vocabulary."""
-    if path not in _codecs:
-        _codecs[path] = Codec(tokens)
-    return _codecs[path]
+    def close(self) -> None:
+        self.db.close()
+        self.__dict__.clear()
 
 
 #: Texts with white space beside a space, at an end, or with U+0000; matches may reach over a space of these.
@@ -233,11 +223,11 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def scan(batches) -> Iterator[pa.RecordBatch]:
         import regex
 
-        known, find = codec(path, vocabulary.value), regex.compile(pattern).findall
+        known, find = Codec(vocabulary.value), regex.compile(pattern).findall
         try:
             yield from spelt(batches, known, find)
         finally:
-            known.forget()  # the worker may be kept for tasks of other kinds
+            known.close()  # an executor keeps more workers than it has tasks
 
     def spelt(batches, known: Codec, find) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -96,34 +96,56 @@ def previous_factors(text: np.ndarray, places: np.ndarray, length: int) -> np.nd
     """
     n = len(text)
     pad = np.concatenate([text, np.zeros(8, np.uint8)])
-    rank = np.zeros(n, np.uint64)
+    pair = np.zeros(n, np.uint64)
     for i in range(8):
-        rank = (rank << np.uint64(8)) | pad[i : i + n]
+        pair <<= np.uint64(8)
+        pair |= pad[i : i + n]
     span = 8
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
     while span < length:
+        rank = _ranks(pair)
         step = span if 2 * span <= length else length - span
         if 2 * span >= length:  # the last: only the places asked for
-            pair = (rank[places] << np.uint64(32)) | rank[places + step]
+            pair = rank[places].astype(np.uint64)
+            pair <<= np.uint64(32)
+            pair |= rank[places + step]
             order = np.argsort(pair, kind="stable")
+            pair = pair[order]
             found = np.zeros(len(places), bool)
-            found[order[1:]] = pair[order[1:]] == pair[order[:-1]]
+            found[order[1:]] = pair[1:] == pair[:-1]
             return found
-        follow = np.zeros(n, np.uint64)
-        follow[: max(0, n - step)] = rank[step:]
-        rank = np.unique((rank << np.uint64(32)) | follow, return_inverse=True)[1].astype(np.uint64)
+        pair = rank.astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair[: max(0, n - step)] |= rank[step:]
         span += step
     raise ValueError("length must be over 8")
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones; ``values`` are sorted in place, so that they are held once."""
+    order = np.argsort(values, kind="stable")
+    values[:] = values[order]
+    new = np.zeros(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    rank = np.empty(len(values), np.uint32)
+    rank[order] = np.cumsum(new, dtype=np.uint32)
+    return rank
+
+
 def _flat(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each run."""
+    """start, start + 1, ... of each run; steps are summed in place, so nothing else is as long."""
+    full = counts > 0
+    starts, counts = starts[full].astype(np.int64), counts[full].astype(np.int64)
     ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(out):
+        out[0] = starts[0]
+        out[ends[:-1]] = starts[1:] - starts[:-1] - counts[:-1] + 1
+        np.cumsum(out, out=out)
+    return out
 
 
 #: Bytes of text whose suffixes are ranked at once; a shard with more is cut by anchor.
-RANKED_BYTES = 3 << 20
+RANKED_BYTES = 1 << 20
 
 
 def _judge(group: pa.Table) -> pa.Table:
@@ -262,9 +284,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, row:
 def _cut(r: dict, data: np.ndarray, sizes: np.ndarray, gone: np.ndarray, length: int) -> pa.RecordBatch:
     """The rows of a batch, in which the windows that begin where ``gone`` is set are removed."""
     total = np.cumsum(gone, dtype=np.int32)
-    covered = total.copy()
-    covered[length:] -= total[:-length] if len(total) > length else 0
-    covered = covered > 0
+    covered = gone.copy()
+    covered[:length] = total[:length] > 0
+    covered[length:] = total[length:] > total[:-length]
+    del total
     offs = np.r_[0, np.cumsum(sizes)]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = covered[:-1], covered[1:]
@@ -272,15 +295,18 @@ def _cut(r: dict, data: np.ndarray, sizes: np.ndarray, gone: np.ndarray, length:
     after[offs[1:][sizes > 0] - 1] = False
     begin, end = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1
     bound = np.searchsorted(begin, offs)
-    left, removed = np.r_[0, np.cumsum(~covered)], np.r_[0, np.cumsum(covered)]
+    removed = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(covered, dtype=np.int32, out=removed[1:])
+    removed = removed[offs].astype(np.int64)
+    left = offs - removed
     doc = np.repeat(np.arange(len(sizes)), np.diff(bound))
     span = pa.StructArray.from_arrays([pa.array(begin - offs[doc]), pa.array(end - offs[doc])], ["first", "end"])
-    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left[offs].astype(np.int64)), pa.py_buffer(data[~covered])])
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left), pa.py_buffer(data[~covered])])
     return pa.RecordBatch.from_arrays(
         [
             pa.array(unpack(r["ids"], np.int64), mask=unpack(r["nulls"], bool)),
             pa.array(sizes),
-            pa.array(removed[offs[1:]] - removed[offs[:-1]]),
+            pa.array(np.diff(removed)),
             pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), span),
             kept.cast(pa.binary()),
         ],
