@@ -11,8 +11,10 @@ sets, once per pair.
 Sets that are equal (told by the SHA-256 of all their n-grams' hashes) are one class and filed once.  Components are
 asked for, not pairs, so a list isn't paired off: first, its members meet the one that is most like their mean, in blocks
 of bounded size whose centres meet again; what these links leave in different components then meets within the list, rows
-outside its largest component against all its rows, block by block.  No link between different sets is lost: every pair
-that shares a prefix n-gram is either in one component already or held against the filters.
+outside its largest component against all its rows, block by block.  Passing pairs aren't emitted, only the homes (groups
+by nearest centre) that they lie between; the members of such homes meet once and are compared on full sets.  No link
+between different sets is lost: every pair that shares a prefix n-gram is either in one component already or held
+against the filters.
 
 Null and empty texts have no n-grams and no links.  A text of fewer words than an n-gram is one n-gram.  Rows of one id
 are one document, so their texts are linked; classes that have null ids alone are linked with nothing.  Very long texts
@@ -45,6 +47,8 @@ BLOCK_ROWS, PAIRS = 2048, 1 << 16
 STEP = 1 << 13
 #: Lists of a set in which it looks for a centre.
 STAR_LISTS = 3
+#: Sets of a centre's members that are checked together, and n-grams of these, about.
+HOME_ROWS, HOME_GRAMS = 512, 1 << 17
 
 
 def prefix_length(n: np.ndarray | int):
@@ -147,11 +151,13 @@ def _by_unit(rows: DataFrame, columns: tuple[str, ...], work, schema: str) -> Da
     return rows.select("unit", *columns, "parts").repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(scan), schema)
 
 
-STAR = "a long, b long, key long, pos int, members long"
+STAR = "a long, b long, key long, pos int, members long, apart long"
 
 
 def _to_centre(unit, key, rep, n, pos, members, parts) -> pa.RecordBatch:
-    """(a, b, key, pos, blocks): each member b of a unit that may be linked with its centre a; of a list in several blocks also (a, a).
+    """(a, b, key, pos, blocks, apart): each member b of a unit that may be linked with its centre a; of a list in several blocks also (a, a).
+
+    ``apart`` is how far the sizes of their parts differ.
 
     The centre is the member whose parts are nearest to the unit's mean: finding it takes no pairs.
     """
@@ -165,12 +171,13 @@ def _to_centre(unit, key, rep, n, pos, members, parts) -> pa.RecordBatch:
     centre = first[number]
     ok = (rep != rep[centre]) & _fits(np.arange(len(rep)), centre, n, pos, parts)
     again = first[members[first] > BLOCK_ROWS]
-    cols = [np.r_[rep[centre][ok], rep[again]], np.r_[rep[ok], rep[again]], np.r_[key[ok], key[again]], np.r_[pos[ok], pos[again]], -(-np.r_[members[ok], members[again]] // BLOCK_ROWS)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "key", "pos", "members"])
+    apart = np.abs(parts[ok].astype(np.int16) - parts[centre[ok]]).sum(1, dtype=np.int64)
+    cols = [np.r_[rep[centre][ok], rep[again]], np.r_[rep[ok], rep[again]], np.r_[key[ok], key[again]], np.r_[pos[ok], pos[again]], -(-np.r_[members[ok], members[again]] // BLOCK_ROWS), np.r_[apart, np.zeros(len(again), np.int64)]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "key", "pos", "members", "apart"])
 
 
 def stars(members: DataFrame, people: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): members of the lists ``members(key, rep, pos, members)`` that may be linked with their centres; and the tables it reads."""
+    """(a, b, apart): members b of the lists ``members(key, rep, pos, members)`` that may be linked with their centres a; and the tables it reads."""
     level, tables = members, []
     pairs = None
     while True:
@@ -178,16 +185,24 @@ def stars(members: DataFrame, people: DataFrame) -> tuple[DataFrame, list[DataFr
         rows = level.join(people, "rep").withColumn("unit", F.xxhash64("key", block))
         found = materialize(_by_unit(rows, ("key", "rep", "n", "pos", "members"), _to_centre, STAR))
         tables.append(found)
-        mine = found.filter("a <> b").select("a", "b")
+        mine = found.filter("a <> b").select("a", "b", "apart")
         pairs = mine if pairs is None else pairs.union(mine)
         # The centres of a long list's blocks are a list once more.
         level = found.filter("a = b").select("key", F.col("a").alias("rep"), "pos", "members")
         if level.isEmpty():
-            return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tables
+            return pairs.distinct(), tables
+
+
+def homes_of(star: DataFrame, people: DataFrame) -> DataFrame:
+    """(rep, home): a set is at home with the centre that it is most like, or alone; large homes are dealt into blocks."""
+    centres = star.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("centre")).withColumnRenamed("b", "rep")
+    blocks = centres.join(people.select("rep", "n"), "rep").groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / HOME_ROWS, F.sum("n") / HOME_GRAMS)).alias("blocks"))
+    centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
+    return people.select("rep").join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home"))
 
 
-def _across(unit, rep, n, pos, label, left, right, parts) -> pa.RecordBatch:
-    """(a, b): left and right rows of one unit, of different components, that may be linked."""
+def _across(unit, home, n, pos, label, left, right, parts) -> pa.RecordBatch:
+    """(a, b): homes of left and right rows of one unit, of different components, that may be linked."""
     rights, lefts = np.flatnonzero(right), np.flatnonzero(left)
     lo, hi = np.searchsorted(unit[rights], unit[lefts], "left"), np.searchsorted(unit[rights], unit[lefts], "right")
     counts = hi - lo
@@ -201,20 +216,20 @@ def _across(unit, rep, n, pos, label, left, right, parts) -> pa.RecordBatch:
         ok = label[i] != label[j]
         i, j = i[ok], j[ok]
         ok = _fits(i, j, n, pos, parts)
-        i, j = rep[i[ok]], rep[j[ok]]
+        i, j = home[i[ok]], home[j[ok]]
         out.append(np.unique(np.c_[np.minimum(i, j), np.maximum(i, j)], axis=0))
     found = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def across(members: DataFrame, people: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of one list that may be linked and aren't in one component of ``labels(rep, label)``.
+def across(members: DataFrame, people: DataFrame) -> DataFrame:
+    """(a, b): homes of ``people(rep, home, n, label, parts)`` with members in one list that may be linked and aren't in one component.
 
     Rows outside a list's largest component meet all its rows, block by block.
     """
-    labelled = members.select("key", "rep", "pos").join(labels, "rep")
+    labelled = members.select("key", "rep").join(people.select("rep", "label"), "rep")
     sizes = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.sum("count").alias("m"), F.max("count").alias("most")).filter("most < m")
-    rows = labelled.join(sizes, "key").join(people, "rep")
+    rows = members.select("key", "rep", "pos").join(sizes, "key").join(people, "rep")
     minor = F.col("label") != F.col("top")
     a, b = (F.ceil(x / F.lit(BLOCK_ROWS)) for x in (F.col("m") - F.col("most"), F.col("m")))
     i, j = (F.pmod(F.xxhash64("rep"), x) for x in (a, b))
@@ -225,8 +240,8 @@ def across(members: DataFrame, people: DataFrame, labels: DataFrame) -> DataFram
         F.when(minor, F.transform(F.sequence(zero, b - 1), lambda x: at(i, x, yes, no))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,left:boolean,right:boolean>>")),
     )
     places = F.explode(F.when((a == 1) & (b == 1), F.array(at(zero, zero, minor, yes))).otherwise(wide)).alias("p")
-    rows = rows.select("key", "rep", "n", "pos", "label", "parts", places).withColumn("unit", F.xxhash64("key", "p.i", "p.j")).select("unit", "rep", "n", "pos", "label", "p.left", "p.right", "parts")
-    return _by_unit(rows, ("rep", "n", "pos", "label", "left", "right"), _across, "a long, b long").distinct()
+    rows = rows.select("key", "home", "n", "pos", "label", "parts", places).withColumn("unit", F.xxhash64("key", "p.i", "p.j")).select("unit", "home", "n", "pos", "label", "p.left", "p.right", "parts")
+    return _by_unit(rows, ("home", "n", "pos", "label", "left", "right"), _across, "a long, b long").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -261,6 +276,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def linked_across(pairs: DataFrame, people: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of ``pairs(a, b)`` of homes, of ``people(rep, home, n, label, parts, grams)``.
+
+    A home is one row, which goes once to each of its pairs; there, members of different components whose sizes and parts
+    allow it are compared on full sets.  Members found linked are one component from then on.
+    """
+    fields = ("rep", "n", "label", "parts", "grams")
+    packed = people.groupBy("home").agg(F.collect_list(F.struct(*fields)).alias("people"))
+    at = pairs.select("a", "b", F.xxhash64("a", "b").alias("group"))
+    at = at.select("group", "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("home"), (F.col("a") == F.col("b")).alias("same"))
+    rows = at.join(packed, "home").select("group", (F.col("home") == F.col("a")).alias("left"), "same", "people")
+
+    def links(homes: list[tuple[bool, bool, pa.StructArray]]):
+        rep, n, label = (np.concatenate([x.field(f).to_numpy() for *_, x in homes]) for f in fields[:3])
+        parts = np.frombuffer(b"".join(b for *_, x in homes for b in x.field("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
+        sets = [np.frombuffer(b, np.uint64) for *_, x in homes for b in x.field("grams").to_pylist()]
+        left, found, anywhere = np.repeat([side for side, *_ in homes], [len(x) for *_, x in homes]), [], np.zeros(len(rep), np.int64)
+        mine, other = np.flatnonzero(left), np.flatnonzero(~left)
+        for at, x in enumerate(mine):
+            rest = mine[at + 1 :] if homes[0][1] else other
+            rest = rest[label[rest] != label[x]]
+            for y in rest[_fits(np.full(len(rest), x), rest, n, anywhere, parts)]:
+                if label[x] != label[y] and similar(sets[x], sets[y]):
+                    found.append((rep[x], rep[y]))
+                    label[label == label[y]] = label[x]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def scan(batches):
+        group, held = None, []
+        for b in batches:
+            people, offs = b.column("people").flatten(), np.r_[0, np.cumsum(b.column("people").value_lengths().to_numpy())]
+            for i, (g, left, same) in enumerate(zip(*(b.column(c).to_pylist() for c in ("group", "left", "same")), strict=True)):
+                if held and g != group:
+                    yield links(held)
+                    held = []
+                group = g
+                held.append((left, same, people.slice(offs[i], offs[i + 1] - offs[i])))
+        if held:
+            yield links(held)
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(lean(scan), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, size: int = GRAM) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     prepare(docs.sparkSession)
@@ -282,8 +340,8 @@ def similar_groups(docs: DataFrame, size: int = GRAM) -> DataFrame:
     release(*used)
     of_pairs = lambda pairs: own.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
     sets = materialize(full_sets(docs, of_pairs(star), size))
-    links = confirmed(star, sets)
-    release(star, sets)
+    links = confirmed(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    release(sets)
     # Texts of one id are one document.
     several = signed.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most")
     of_id = signed.select("doc_id", "digest").join(several, "doc_id").filter("digest is not null").select(F.col("least"), "digest").distinct()
@@ -291,13 +349,16 @@ def similar_groups(docs: DataFrame, size: int = GRAM) -> DataFrame:
     links = materialize(links.unionByName(same))
 
     found = components(links)
-    labels = everyone.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
-    more = materialize(across(members, everyone, labels))
+    labels = everyone.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "parts", F.coalesce("label", "rep").alias("label"))
+    people = materialize(labels.join(homes_of(star, everyone), "rep"))
+    more = materialize(across(members, people))
     if not more.isEmpty():
-        sets = materialize(full_sets(docs, of_pairs(more), size))
-        found = components(links.unionByName(confirmed(more, sets)))
-        release(sets)
-    release(members, everyone, more)
+        met = people.join(more.select(F.explode(F.array("a", "b")).alias("home")).distinct(), "home", "left_semi")
+        sets = materialize(full_sets(docs, own.join(met.select("rep"), "rep", "left_semi"), size))
+        new = materialize(linked_across(more, met.join(sets, "rep")))
+        found = components(links.unionByName(new))
+        release(sets, new)
+    release(members, everyone, star, people, more)
     labelled = found.withColumnRenamed("node", "rep").join(own, "rep")
     lowest = labelled.join(labelled.groupBy("label").agg(F.min("low").alias("lowest")), "label").select("rep", "lowest")
     classed = materialize(own.join(lowest, "rep", "left").select("digest", "low", F.coalesce("lowest", "low").alias("lowest")))

@@ -103,3 +103,20 @@ def test_filters_keep_every_link():
         parts = np.array([np.minimum(255, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS)).astype(np.uint8) for s in (x, y)])
         assert _fits(np.array([0]), np.array([1]), np.array([len(x), len(y)]), np.array([px.index(first), py.index(first)]), parts).all()
     assert seen > 100
+
+
+def test_families_that_nearly_link_meet_as_homes(spark, monkeypatch):
+    """Two families of near copies pass the filters against each other, but aren't linked: their pairs aren't emitted."""
+    rnd, counts = random.Random(2), []
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(1000)]
+    other = [*base[:400], *(f"o{i}" for i in range(92)), *base[492:]]
+    rows = []
+    for family in (base, other):
+        for _ in range(20):
+            w = list(family)
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    found = ngramjoin.across
+    monkeypatch.setattr(ngramjoin, "across", lambda *x: (out := found(*x), counts.append(out.count()))[0])
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert counts and counts[0] <= 20
