@@ -9,6 +9,7 @@ import __spark_entry__
 from spanlake.functions import text as T
 from spanlake.operators import compose as P
 from spanlake.operators import fold as D
+from spanlake.operators import prefix
 
 
 def test_sentence_chunks(spark):
@@ -141,3 +142,36 @@ def test_long_texts_of_many_words_fold_in_time(spark):
     assert len(chunks) == 328 and "".join(c.body for c in sorted(chunks, key=lambda c: c.chunk)) == " ".join(words)
     assert time.time() - began < 60
 
+
+
+def test_near_duplicates_meet_by_rare_shingles_and_compare_in_groups(spark, monkeypatch):
+    """Against brute force, with homes of a few sets; and only prefixes become rows: every shingle did before."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for base in range(6):
+        w = [rnd.choice(vocabulary) for _ in range(80)]
+        for k in range(12):
+            x = list(w)
+            for _ in range(rnd.randrange(5)):
+                x[rnd.randrange(len(x))] = rnd.choice(vocabulary)
+            rows.append((100 * base + k, "  ".join(x), "en" if base else None))
+    rows += [(900, "a b", "en"), (901, "a\tb\n", "en"), (902, "A b", "en"), (903, None, "en"), (904, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    sets = {}
+    for i, t, lang in rows:
+        w = (t or "").split()
+        if w:
+            sets.setdefault((lang, frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))), i)
+    want = {(min(i, j), max(i, j)) for (a, x), i in sets.items() for (b, y), j in sets.items() if i < j and a == b and 4 * len(x & y) >= 3 * len(x | y)}
+    assert len(want) > 40
+    got = [tuple(r) for r in P.near_duplicate_pairs(docs, "lang").collect()]
+    assert sorted(got) == sorted(want)
+    monkeypatch.setattr(prefix, "HOME_ROWS", 2)
+    assert {tuple(r) for r in P.near_duplicate_pairs(docs, "lang", meeting_rows=3).collect()} == want
+    sets = P._shingle_sets(docs, "lang", 5).filter("g is not null")
+    found = prefix.prefixes(sets, prefix.frequency_order(sets), 0.75)
+    assert found.filter("size(prefix) <> n - ceil(0.75 * n) + 1").count() == 0
+    some = docs.filter("doc_id in (3, 903)").select("doc_id")
+    assert {3, 903} <= {r.doc_id for r in prefix.passing(docs, some).collect()}
