@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textscan as T
 from .components import components
 from .sets import full_sets, set_digest, shingle_rows
-from .tables import lean, materialize, prepare, release
+from .tables import compacted, lean, prepare, release
 
 SHINGLE, SYMBOLS, CHUNK = 5, 48, 3
 #: Symbols in which two signatures may differ.
@@ -181,11 +181,11 @@ def stars(members: DataFrame, reps: DataFrame) -> DataFrame:
     schema = "a long, b long, near long, bucket long"
     block = F.when(F.col("members") > BLOCK_ROWS, F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK_ROWS))).otherwise(F.lit(0))
     rows = members.select(F.xxhash64("key", block).alias("unit"), "rep", F.when(F.col("members") > BLOCK_ROWS, F.col("key")).alias("bucket"))
-    found = materialize(_by_unit(rows.join(reps, "rep").withColumn("bucket", F.coalesce("bucket", F.lit(0).cast("long"))), ("bucket", "rep", "n"), _to_centre, schema).filter("a <> b or bucket <> 0").distinct())
+    found = compacted(_by_unit(rows.join(reps, "rep").withColumn("bucket", F.coalesce("bucket", F.lit(0).cast("long"))), ("bucket", "rep", "n"), _to_centre, schema).filter("a <> b or bucket <> 0").distinct())
     # The centres of a large bucket's blocks are its members once more.
     again = found.filter("a = b").select(F.col("bucket").alias("unit"), F.lit(0).cast("long").alias("bucket"), F.col("a").alias("rep"))
     more = _by_unit(again.join(reps, "rep"), ("bucket", "rep", "n"), _to_centre, schema)
-    out = materialize(found.unionByName(more).filter("a <> b").select("a", "b", "near").distinct())
+    out = compacted(found.unionByName(more).filter("a <> b").select("a", "b", "near").distinct())
     release(found)
     return out
 
@@ -254,7 +254,7 @@ def confirmed(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
     A set isn't sent with each of its pairs, but once to each pair of homes(rep, home) that its pairs lie between.
     """
     at = pairs.select("a", "b").join(homes.toDF("a", "ha"), "a").join(homes.toDF("b", "hb"), "b")
-    at = materialize(at.select("a", "b", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("group")))
+    at = compacted(at.select("a", "b", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("group")))
     needed = at.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
     rows = needed.select("group", "rep", F.lit(None).cast("long").alias("other"), "shingles").unionByName(
         at.select("group", F.col("a").alias("rep"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("shingles"))
@@ -274,7 +274,7 @@ def confirmed(pairs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
                     o.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
 
-    out = materialize(rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(lean(check), "a long, b long"))
+    out = compacted(rows.repartition("group").sortWithinPartitions("group", F.col("other").asc_nulls_first()).mapInArrow(lean(check), "a long, b long"))
     release(at)
     return out
 
@@ -327,16 +327,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     ``row`` names a column of longs that numbers the rows; it is then returned as ``row``.
     """
     prepare(docs.sparkSession)
-    signed = materialize(sign(docs, size, row))
+    signed = compacted(sign(docs, size, row))
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # Numbers are fixed once the table is written.
-    classes = materialize(classes.filter("low is not null").withColumn("rep", F.monotonically_increasing_id()))
+    classes = compacted(classes.filter("low is not null").withColumn("rep", F.monotonically_increasing_id()))
     reps = classes.select("rep", "n", "sig")
 
     filed = file_under(reps)
     shared = filed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    members = materialize(filed.join(shared, "key"))
-    everyone = materialize(shortened(reps.join(members.select("rep").distinct(), "rep")))
+    members = compacted(filed.join(shared, "key"))
+    everyone = compacted(shortened(reps.join(members.select("rep").distinct(), "rep")))
 
     # The first keys of an order that all share: alike rows have some of these in common; what they don't find is left to ``across``.
     first = Window.partitionBy("rep").orderBy(F.xxhash64("key"))
@@ -346,29 +346,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, row: str | None = None
     centres = star.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("centre")).withColumnRenamed("b", "rep")
     blocks = centres.join(everyone.select("rep", "n"), "rep").groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / HOME_ROWS, F.sum("n") / HOME_SHINGLES)).alias("blocks"))
     centres = centres.join(blocks, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
-    homes = materialize(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
+    homes = compacted(everyone.join(centres, "rep", "left").select("rep", F.xxhash64(F.coalesce("centre", "rep"), F.coalesce("block", F.lit(0).cast("long"))).alias("home")))
     wanted = classes.select("rep", "low", "digest").join(everyone.select("rep"), "rep", "left_semi")
-    sets = materialize(full_sets(docs, wanted, size).withColumnRenamed("grams", "shingles"))
+    sets = compacted(full_sets(docs, wanted, size).withColumnRenamed("grams", "shingles"))
     links = confirmed(star, homes, sets)
     labels = components(links)
 
     of = homes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "home", F.coalesce("label", "rep").alias("label"))
-    people = materialize(of.join(everyone, "rep"))
-    more = materialize(across(members, people))
+    people = compacted(of.join(everyone, "rep"))
+    more = compacted(across(members, people))
     new = linked_across(more, people.join(sets, "rep"))
     own = ["row"] if row else []
     some = signed.filter("n > 0").select("doc_id", "n", "digest", *own)
-    classed = materialize(some.join(classes.select("digest", "low", "rep"), "digest", "left").drop("digest"))
-    empty = materialize(signed.filter("n = 0").select("doc_id", "n", *own))
+    classed = compacted(some.join(classes.select("digest", "low", "rep"), "digest", "left").drop("digest"))
+    empty = compacted(signed.filter("n = 0").select("doc_id", "n", *own))
     if not row:
         of_id = classed.filter("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
         new = new.unionByName(of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")))
-    new = materialize(new)
+    new = compacted(new)
     if not new.isEmpty():
         labels = components(links.unionByName(new))
     release(signed, members, everyone, star, homes, sets, people, more)
     labelled = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "low"), "rep")
-    lowest = materialize(labelled.join(labelled.groupBy("label").agg(F.min("low").alias("lowest")), "label").select("rep", "lowest"))
+    lowest = compacted(labelled.join(labelled.groupBy("label").agg(F.min("low").alias("lowest")), "label").select("rep", "lowest"))
     release(classes, links, new)
     out = classed.join(lowest, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("class_id"), F.coalesce("lowest", "low", "doc_id").alias("component_id"), *own)
     none = empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), *own)

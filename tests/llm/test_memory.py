@@ -5,7 +5,9 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from spanlake.llm import bpe, repeats
+from pyspark.sql import functions as F
+
+from spanlake.llm import bpe, neardup, repeats, tables
 
 
 def peak(work, *args):
@@ -58,3 +60,37 @@ def test_a_closed_codec_holds_nothing():
     assert not vars(codec)
     with pytest.raises(Exception, match="closed"):
         db.execute("SELECT 1")
+
+
+def test_compacted_tables_have_few_files_and_all_rows(spark):
+    """Numbers by partition stay unique; near duplicates wrote a file for each of 60 partitions before."""
+    rows = spark.range(1000).repartition(60, "id").withColumn("number", F.monotonically_increasing_id())
+    out = tables.compacted(rows)
+    most = tables.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert len(out.inputFiles()) <= most < 60
+    found = out.collect()
+    assert {r.id for r in found} == set(range(1000)) and len({r.number for r in found}) == 1000
+
+
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    counts, write = [], tables.materialize
+
+    def counted(df):
+        out = write(df)
+        counts.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(tables, "materialize", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        base = [f"w{i}" for i in range(60)]
+        texts = [" ".join([*base[: 59 - k % 3], f"x{k}"]) for k in range(40)] + [f"alone{k} a b c d e f" for k in range(40)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
+        kept = [r.doc_id for r in neardup.near_duplicates(docs).filter("kept").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert sorted(kept) == [0, *range(40, 80)]
+    assert counts and max(counts) <= tables.TASKS_A_CORE * spark.sparkContext.defaultParallelism
