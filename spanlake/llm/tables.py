@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between Spark and Python; long texts are bounded by the bytes.
-ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
 #: Bytes that a task holds of a table it writes.
 ROW_GROUP = 16 << 20
 #: Tasks, for each core of the session, that write a compacted table.
@@ -81,7 +81,8 @@ def compacted(df: DataFrame) -> DataFrame:
 
     On a local store an executor starts a process for each file it creates, to set permissions; until that runs, it
     counts as a copy of the executor's memory, so thousands of small files may seem to take twice what is held.  Not for
-    rows that are numbered by the task that they are made in.
+    rows that are numbered by the task that they are made in, nor for large rows: their tasks would
+    hold more.
     """
     return materialize(df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
 
