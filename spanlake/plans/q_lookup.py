@@ -89,8 +89,11 @@ def j2_lexicon(spark, d):
 @query("j3_contexts")
 def j3_contexts(spark, d):
     """Fields of orders with their neighbours, and the texts of the vectors most like the order's own as examples."""
-    e = table(spark, d, "embeddings").filter("embedding is not null")
-    best = C.top_similar(e.select("vec_id", "embedding"), e.filter("vec_id % 50 = 0").select("vec_id", "embedding"), 3)
-    hits = best.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select(F.col("query_id").alias("id"), "rank", "text")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("vec_id")).distinct()
+    best = C.top_similar(e, e.join(orders, "vec_id", "left_semi"), 3).filter("score is not null")
+    # As they are shown; whole texts needn't move.
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), C.shown_examples(F.array("text"))[0].alias("text"))
+    hits = best.join(texts, "vec_id").select(F.col("query_id").alias("id"), "rank", "text")
     out = scorer_contexts(B.records(spark, d), B.keys(spark, d), B.aliases(spark, d), hits)
     return out.select("id", "title", "key", F.md5("query").alias("query"), F.md5("around").alias("around"), F.md5(F.array_join("examples", "|")).alias("examples"), F.size("examples").alias("n"))

@@ -1,5 +1,6 @@
 """A scorer's context, and cuts at keys with blank lines behind them."""
 
+import hashlib
 import re
 
 from spanlake.operators import fold as D
@@ -49,3 +50,32 @@ def test_what_keys_leave_too_long_is_cut_at_blank_lines(spark):
     got = {i: [(r.start, r.end) for r in sorted(out, key=lambda r: r.chunk) if r.doc_id == i] for i, *_ in rows}
     assert got == {i: brute_cuts(t, ["KEY"], 3) for i, t in enumerate(texts)}
     assert all(texts[r.doc_id][r.start : r.end] == r.body for r in out)
+
+
+def test_every_order_with_a_vector_has_examples(spark, tmp_path):
+    import math
+
+    from spanlake import plans
+
+    vectors = [(i, [math.cos(i * i), math.sin(i * i)]) for i in range(1, 60)] + [(60, None), (61, [0.0, 0.0]), (70, [1.0, 1.0])]
+    texts = {i: f"text {i} " + "x" * (i * 10) for i, _ in vectors if i != 7}
+    tables = {
+        "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>"),
+        "documents": spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
+        "lineitem": spark.createDataFrame([(i, 1, 5, i % 3, 1.0, "A") for i in (*range(1, 62), 99)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"),
+        "part": spark.createDataFrame([(5, "brand", "name", "type", 1)], "p_partkey long, p_brand string, p_name string, p_type string, p_size int"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = {r.id: (r.n, r.examples) for r in plans.QUERIES["j3_contexts"](spark, str(tmp_path)).collect()}
+
+    def want(i):
+        own = dict(vectors).get(i)
+        if not own or not any(own):
+            return []
+        scores = [(-round(sum(x * y for x, y in zip(own, v)), 5), j) for j, v in vectors if j != i and v and any(v)]
+        scores = [(s / math.sqrt(2) if j == 70 else s, j) for s, j in scores]
+        return [texts[j] if len(texts[j]) <= 500 else texts[j][:500] + "…" for _, j in sorted(scores)[:3] if j in texts]
+
+    assert out == {i: (len(w := want(i)), hashlib.md5("|".join(w).encode()).hexdigest()) for i in (*range(1, 62), 99)}
+    assert sum(n == 3 for n, _ in out.values()) > 50 and [out[i][0] for i in (60, 61, 99)] == [0, 0, 0]

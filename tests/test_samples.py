@@ -224,3 +224,34 @@ def test_top_similar_meets_blocks_as_matrices(spark):
             s.sort(key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))
             want += [(q, r + 1, v, c) for r, (c, v) in enumerate(s[:4])]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_top_similar_of_odd_vectors_and_repeated_ids(spark):
+    from spanlake.operators import curate as C
+
+    rnd = random.Random(7)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    rows += [(150 + i, [rows[i % 3][1][0] + rnd.choice([0, 1e-9, 1e-7]), *rows[i % 3][1][1:]]) for i in range(60)]  # copies and all but copies
+    rows += [(i, [x * 1e160 for x in rows[i][1]]) for i in range(4)] + [(220 + i, [x * 1e-165 for x in rows[i][1]]) for i in range(4)]
+    rows += [(230, [math.inf, 1.0, 2.0, 3.0, 4.0, 5.0]), (231, [math.nan] * 6), (232, [1e308] * 6), (233, []), (234, [0.0] * 6), (235, [2.0]), (None, [1.0] * 6)]
+    rows += [(240 + i, [rnd.gauss(0, 1) for _ in range(2)]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = C.top_similar(df, df, 4, block=16, tile=16, parts=3)
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b):
+            return None
+        s, x, y = 0.0, 0.0, 0.0
+        for u, v in zip(a, b):
+            s, x, y = s + u * v, x + u * u, y + v * v
+        n = math.sqrt(y) * math.sqrt(x)
+        return round(s / n, 6) + 0.0 if n and math.isfinite(s / n) else None
+
+    want = []
+    for q in sorted({i for i, _ in rows if i is not None}):
+        s = [(cosine(x, y), v) for i, x in rows if i == q for v, y in rows if v != q and v is not None]
+        s.sort(key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))
+        want += [(q, r + 1, v, c) for r, (c, v) in enumerate(s[:4])]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    named = df.filter("vec_id < 40").select(F.concat(F.lit("n"), "vec_id").alias("vec_id"), "embedding")
+    assert C.top_similar(named, named.limit(5), 3, block=2, tile=8).count() == 3 * 5
